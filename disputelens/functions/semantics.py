@@ -65,7 +65,7 @@ def minute_start(c: Column | str) -> Column:
 
 def safe_number(c: Column | str) -> Column:
     """Lenient text -> integer: rounds '12.5' to 13, NULL for malformed text."""
-    return F.try_cast(col(c), "decimal(38,0)").cast("bigint")
+    return col(c).try_cast("decimal(38,0)").cast("bigint")
 
 
 def labelled(prefix: str, *parts: Column | str) -> Column:

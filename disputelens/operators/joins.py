@@ -52,6 +52,29 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Keys, left_ts: str,
     return out.drop("_lb", "_rb", "_lo", "_hi")
 
 
+def range_lookup(left: DataFrame, right: DataFrame, keys: Keys, right_ts: str,
+                 left_lo: Column, left_hi: Column, *, lo_inclusive: bool, hi_inclusive: bool,
+                 bucket_seconds: int) -> DataFrame:
+    """``left`` ⟕ ``right`` on ``keys`` and ``left_lo <(=) right_ts <(=) left_hi``.
+
+    The mirror of ``interval_join``: here the *left* row is copied into each
+    bucket its range touches, which pays off when the left side is the small
+    one (a few weeks of transactions against years of alerts). A left row comes
+    out once per touched bucket, matched or not, so use it only under an
+    aggregation per left row that ignores NULLs and repeats (max, min).
+    """
+    b = bucket_seconds
+    l = (left.withColumn("_lo", left_lo).withColumn("_hi", left_hi)
+         .withColumn("_lb", F.explode(F.sequence(F.floor(_epoch(F.col("_lo")) / b),
+                                                 F.floor(_epoch(F.col("_hi")) / b)))))
+    r = right.withColumn("_rb", F.floor(_epoch(F.col(right_ts)) / b))
+    t = F.col(right_ts)
+    lo_ok = t >= F.col("_lo") if lo_inclusive else t > F.col("_lo")
+    hi_ok = t <= F.col("_hi") if hi_inclusive else t < F.col("_hi")
+    out = l.join(r, _and(_eq(keys) + [F.col("_lb") == F.col("_rb"), lo_ok, hi_ok]), "left")
+    return out.drop("_lb", "_rb", "_lo", "_hi")
+
+
 def either_key_join(left: DataFrame, right: DataFrame, keys: Keys, left_codes: Sequence[str],
                     right_code: str, left_id: Sequence[str], *, collapse: bool = True) -> DataFrame:
     """``left`` ⟕ ``right`` on ``keys`` and (``right_code`` = any of ``left_codes``).

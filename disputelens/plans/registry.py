@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from disputelens.plans import params as P
+from disputelens.plans.dispute_wow import dispute_wow_detail, dispute_wow_summary, wow_window_cols
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
 from disputelens.sources.fixtures import Fixtures
@@ -48,5 +50,29 @@ def q_risk_cut_check(fx: Fixtures) -> DataFrame:
     return risk_cut_check(_risk_cut(fx))
 
 
+def _wow_detail(fx: Fixtures) -> DataFrame:
+    day1, day2 = P.wow_window(P.AS_OF)
+    return dispute_wow_detail(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member, fx.login_alert,
+                              day1, day2, P.DISPUTE_WIN, P.AS_OF, P.TOP_MCC, P.TOP_MERCHANT, P.TOP_STATE)
+
+
+@register("dispute_wow_detail")
+def q_dispute_wow_detail(fx: Fixtures) -> DataFrame:
+    return _wow_detail(fx)
+
+
+@register("dispute_wow_summary")
+def q_dispute_wow_summary(fx: Fixtures) -> DataFrame:
+    return dispute_wow_summary(_wow_detail(fx))
+
+
+@register("wow_window")
+def q_wow_window(fx: Fixtures) -> DataFrame:
+    """The report window for every settled date taken as a run date."""
+    runs = fx.settled_txn.select(F.to_date("transaction_timestamp").alias("as_of")).distinct()
+    day1, day2 = wow_window_cols(F.col("as_of"))
+    return runs.select("as_of", day1.alias("day1"), day2.alias("day2"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
