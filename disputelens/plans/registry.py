@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import dispute_wow_detail, dispute_wow_summary, wow_window_cols
+from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
 from disputelens.sources.fixtures import Fixtures
@@ -74,5 +75,23 @@ def q_wow_window(fx: Fixtures) -> DataFrame:
     return runs.select("as_of", day1.alias("day1"), day2.alias("day2"))
 
 
+# --- account history: the account set is every member ----------------------------
+
+@register("account_history")
+def q_account_history(fx: Fixtures) -> DataFrame:
+    return account_history(HistorySources.from_fixtures(fx), fx.member.select(F.col("id").alias("user_id")))
+
+
+def _feed(fn):
+    def run(fx: Fixtures) -> DataFrame:
+        acc = AccountSet.of(fx.member, "id")
+        return fn(HistorySources.from_fixtures(fx), acc)
+    return run
+
+
+for _key, _fn in FEEDS:
+    register(_key)(_feed(_fn))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
