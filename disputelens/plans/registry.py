@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import dispute_wow_detail, dispute_wow_summary, wow_window_cols
+from disputelens.plans.operator_queries import OPS
 from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
@@ -93,5 +94,11 @@ for _key, _fn in FEEDS:
     register(_key)(_feed(_fn))
 
 
+# --- single operators ----------------------------------------------------------------
+
+for _key, _fn in OPS.items():
+    register(_key)(_fn)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
