@@ -75,32 +75,36 @@ class AccountSet:
         return self.keep(df, col) if self.small else df
 
 
-@dataclass
 class HistorySources:
-    posted_txn: DataFrame
-    pay_friend: DataFrame
-    disputed_txn: DataFrame
-    card: DataFrame
-    pay_friend_score: DataFrame
-    auth_event: DataFrame
-    auth_decision: DataFrame
-    fraud_override: DataFrame
-    alert_auth_event: DataFrame
-    inspector_dispute: DataFrame
-    inspector_txn: DataFrame
-    dispute_claim: DataFrame
-    dispute_contact: DataFrame
-    user_session: DataFrame
-    ip_geo_map: DataFrame
-    geo_city: DataFrame
-    login_alert: DataFrame
-    login_request: DataFrame
-    version_change: DataFrame
-    menu_tap: DataFrame
+    """The 20 relations the feeds read, resolved lazily by attribute.
+
+    Each feed touches only its own relations, so building one feed does not
+    construct (and analyse) the other feeds' inputs.
+    """
+
+    FIELDS = (
+        "posted_txn", "pay_friend", "disputed_txn", "card", "pay_friend_score", "auth_event",
+        "auth_decision", "fraud_override", "alert_auth_event", "inspector_dispute", "inspector_txn",
+        "dispute_claim", "dispute_contact", "user_session", "ip_geo_map", "geo_city", "login_alert",
+        "login_request", "version_change", "menu_tap",
+    )
+
+    def __init__(self, **tables):
+        missing = set(self.FIELDS) - set(tables)
+        if missing:
+            raise ValueError(f"missing relations: {sorted(missing)}")
+        self._tables = tables
 
     @classmethod
     def from_fixtures(cls, fx) -> "HistorySources":
-        return cls(**{f: getattr(fx, f) for f in cls.__dataclass_fields__})
+        return cls(**{f: (lambda f=f: getattr(fx, f)) for f in cls.FIELDS})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        tables = self.__dict__.get("_tables", {})
+        if name not in tables:
+            raise AttributeError(name)
+        v = tables[name]
+        return v() if callable(v) else v
 
 
 def _disputes(src: HistorySources, acc: AccountSet, prefix: str = "d_") -> DataFrame:

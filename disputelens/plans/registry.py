@@ -24,9 +24,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+_FIXTURES: dict[tuple[str, str], Fixtures] = {}
+
+
+def fixtures_for(spark: SparkSession, sf_dir: str) -> Fixtures:
+    """One ``Fixtures`` per (session, sf_dir): its relation plans are built once."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _FIXTURES:
+        _FIXTURES[key] = Fixtures(spark, sf_dir)
+    return _FIXTURES[key]
+
+
 def register(key: str):
     def deco(fn: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
-        QUERIES[key] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: fn(fixtures_for(spark, sf_dir))
         return fn
     return deco
 
