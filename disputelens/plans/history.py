@@ -160,22 +160,19 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
 # -- b: authorisations ------------------------------------------------------------
 
 def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
-    """First messages of the accounts with card, follow-up, dispute, rule and override context."""
+    """First messages of the accounts with follow-up, rule, override, card and dispute context.
+
+    The three joins keyed on (user_id, auth_id) run back to back so the left
+    side is shuffled once for all of them; the dispute join follows the
+    follow-up join because it matches the follow-up's auth id too.
+    """
     rta = acc.keep(src.auth_event, "user_id").filter((F.col("original_auth_id") == 0) & (F.col("final_amt") >= 0))
     rta = rta.withColumn("_last4", F.right(F.col("pan"), F.lit(4)))
-    dc = acc.narrow(src.card, "user_id").select(
-        F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"),
-        F.col("card_type").alias("dc_card_type"), F.col("card_id").alias("dc_card_id"))
-    j = rta.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")), "left")
     dual = (acc.narrow(src.auth_event, "user_id").filter(F.col("original_auth_id") != 0)
             .select(F.col("user_id").alias("dual_user_id"), F.col("original_auth_id").alias("dual_original_auth_id"),
                     F.col("auth_id").alias("dual_auth_id"), F.col("auth_event_id").alias("dual_auth_event_id")))
-    j = j.join(dual, (F.col("auth_id") == F.col("dual_original_auth_id"))
-               & (F.col("user_id") == F.col("dual_user_id")), "left")
-    # collapse=False: the keep-first below orders a real dispute match ahead of
-    # the unmatched copy of the same row (dispute keys sort before rule keys).
-    j = either_key_join(j, _disputes(src, acc), [("user_id", "d_user_id")], ["auth_id", "dual_auth_id"],
-                        "d_authorization_code", ["auth_event_id"], collapse=False)
+    j = rta.join(dual, (F.col("user_id") == F.col("dual_user_id"))
+                 & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
     rta2 = (acc.narrow(src.auth_decision, "user_id")
             .filter((F.col("is_shadow_mode") == "false") & (F.col("policy_result") == "criteria_met")
                     & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
@@ -192,6 +189,14 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
         F.col("response_received_at").alias("o_response_received_at"))
     j = j.join(o, (F.col("user_id") == F.col("o_user_id")) & (F.col("auth_id") == F.col("o_realtime_auth_id")),
                "left")
+    dc = acc.narrow(src.card, "user_id").select(
+        F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"),
+        F.col("card_type").alias("dc_card_type"), F.col("card_id").alias("dc_card_id"))
+    j = j.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")), "left")
+    # collapse=False: the keep-first below orders a real dispute match ahead of
+    # the unmatched copy of the same row (dispute keys sort before rule keys).
+    j = either_key_join(j, _disputes(src, acc), [("user_id", "d_user_id")], ["auth_id", "dual_auth_id"],
+                        "d_authorization_code", ["auth_event_id"], collapse=False)
     return keep_first(j, ["auth_event_id"], [
         asc("o_response_received_at"), asc("dc_card_id"), asc("dual_auth_event_id"),
         asc("d_unique_transaction_id"), asc("d_claim_txn_id"), asc("rta2_policy_name"),

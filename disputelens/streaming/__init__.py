@@ -1 +1,9 @@
-"""streaming."""
+"""Streaming: nothing to build.
+
+Every analysis is a one-shot batch query over settled history; none has a
+stream source, watermark, window-on-stream or state. The only notion of
+lateness is the report's maturity filter (transactions younger than the
+dispute window are left out), which is a batch predicate in
+``disputelens.plans.dispute_wow.report_scope``. A scheduler re-runs the
+report weekly; see ``run_dispute_wow``.
+"""
