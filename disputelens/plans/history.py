@@ -31,6 +31,7 @@ from disputelens.functions.semantics import (
 )
 from disputelens.operators.dedup import keep_first
 from disputelens.operators.joins import any_party_join, either_key_join, interval_join
+from disputelens.operators.sequence import lead_in_order
 from disputelens.session import bounded_broadcast
 
 TIMELINE = (
@@ -414,13 +415,15 @@ def hist_app_views(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
 # -- i: card replacements -------------------------------------------------------------------------
 
 def hist_card_replacements(src: HistorySources, acc: AccountSet) -> DataFrame:
-    from pyspark.sql import Window
+    """Old card -> next card of the same type for the account, by creation time.
 
+    The next card is a ``lead`` per (account, card type); ``lead_in_order``
+    computes it without gathering an account's cards into one task.
+    """
     cards = acc.keep(src.card, "user_id").filter(F.col("shipped_dt").isNotNull())
-    w = Window.partitionBy("user_id", "card_type").orderBy(asc("card_created_ts"), asc("card_id"))
-    cards = (cards.withColumn("_next_ts", F.lead("card_created_ts").over(w))
-             .withColumn("_next_number", F.lead("card_number").over(w))
-             .filter(F.col("_next_ts").isNotNull()))
+    cards = lead_in_order(cards, ["user_id", "card_type"], [("card_created_ts", "asc"), ("card_id", "asc")],
+                          ["card_created_ts", "card_number"], ["_next_ts", "_next_number"])
+    cards = cards.filter(F.col("_next_ts").isNotNull())
     return timeline(
         cards,
         user_id="user_id",
