@@ -132,8 +132,8 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
     j = any_party_join(t, pf, "user_id", ["pf_sender_id", "pf_receiver_id"],
                        [("_minute", "pf_minute"), ("_abs_amt", "pf_amount")])
     d = _disputes(src, acc)
-    j = j.join(d, (F.col("authorization_code") == F.col("d_authorization_code"))
-               & (F.col("user_id") == F.col("d_user_id")), "left")
+    j = j.join(d, (F.col("user_id") == F.col("d_user_id"))
+               & (F.col("authorization_code") == F.col("d_authorization_code")), "left")
     dc = acc.narrow(src.card, "user_id").select(F.col("card_id").alias("dc_card_id"),
                                                  F.col("user_id").alias("dc_user_id"),
                                                  F.col("card_number").alias("dc_card_number"))
@@ -231,10 +231,10 @@ def hist_force_posts(src: HistorySources, acc: AccountSet, tz: str = codes.TIMEL
     ev = acc.keep(src.alert_auth_event, "user_id").filter(F.col("type") == "settle")
     rta = acc.narrow(src.auth_event, "user_id").select(F.col("user_id").alias("rta_user_id"),
                                                         F.col("auth_id").alias("rta_auth_id"))
-    ev = ev.join(rta, (F.col("auth_id") == F.col("rta_auth_id")) & (F.col("user_id") == F.col("rta_user_id")),
+    ev = ev.join(rta, (F.col("user_id") == F.col("rta_user_id")) & (F.col("auth_id") == F.col("rta_auth_id")),
                  "left_anti")
     d = _disputes(src, acc)
-    j = ev.join(d, (F.col("auth_id") == F.col("d_authorization_code")) & (F.col("user_id") == F.col("d_user_id")),
+    j = ev.join(d, (F.col("user_id") == F.col("d_user_id")) & (F.col("auth_id") == F.col("d_authorization_code")),
                 "left")
     return timeline(
         j,

@@ -97,3 +97,28 @@ def test_wow_window_dates():
     assert P.wow_window(dt.date(1999, 6, 16)) == (dt.date(1999, 5, 10), dt.date(1999, 6, 6))
     assert P.wow_window(dt.date(1999, 6, 14)) == (dt.date(1999, 5, 10), dt.date(1999, 6, 6))
     assert P.wow_window(dt.date(1999, 6, 13)) == (dt.date(1999, 5, 3), dt.date(1999, 5, 30))
+
+
+def test_weekly_step_counts_match_fixture_notes(spark):
+    from disputelens.functions import codes
+    from disputelens.plans.weekly_cases import last_complete_week, ntz, weekly_case_rows, weekly_top_cases
+
+    fx = fixtures_for(spark, "/root/testdata/sf0.01")
+    lo, hi = last_complete_week(P.AS_OF)
+    week = fx.disputed_txn.filter((F.col("dispute_created_at") >= ntz(lo)) & (F.col("dispute_created_at") < ntz(hi)))
+    assert week.count() == 51
+    assert week.filter(F.col("transaction_code").isin(*codes.WEEKLY_CASE_CODES)).count() == 47
+    rows = weekly_case_rows(fx.disputed_txn, fx.inspector_dispute, P.AS_OF)
+    assert rows.count() == 41
+    top = weekly_top_cases(fx.disputed_txn, fx.inspector_dispute, fx.inspector_txn, P.AS_OF, n=1000)
+    assert top.count() == 16
+    assert weekly_top_cases(fx.disputed_txn, fx.inspector_dispute, fx.inspector_txn, P.AS_OF).count() == 10
+
+
+def test_report_counts_match_fixture_notes(spark):
+    d = q(spark, "dispute_wow_detail", "/root/testdata/sf0.01")
+    assert d.count() == 472
+    assert d.select("user_id", "authorization_code").distinct().count() == 446
+    assert d.filter(F.col("dispute_ind_7d") == 1).count() == 102
+    assert d.filter((F.col("dispute_ind_7d") == 0) & F.col("reason").isNotNull()).count() == 63
+    assert d.filter(F.col("card_network_cd").isNull()).count() == 40
