@@ -40,10 +40,20 @@ def month_diff(start: Column | str, end: Column | str) -> Column:
     return (F.year(e) * 12 + F.month(e)) - (F.year(s) * 12 + F.month(s))
 
 
+def epoch_seconds(c: Column | str) -> Column:
+    """Whole seconds since 1970-01-01 00:00:00 of a TIMESTAMP_NTZ wall clock.
+
+    Calendar arithmetic on the NTZ fields, so the session time zone (and its
+    DST jumps) never enters.
+    """
+    x = col(c)
+    days = F.datediff(F.to_date(x), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
+
+
 def second_diff(start: Column | str, end: Column | str) -> Column:
     """Number of whole-second boundaries crossed (.9 -> 1.1 is 1)."""
-    return (F.unix_seconds(col(end).cast("timestamp"))
-            - F.unix_seconds(col(start).cast("timestamp")))
+    return epoch_seconds(end) - epoch_seconds(start)
 
 
 # -- dates and times ------------------------------------------------------------
@@ -60,7 +70,9 @@ def local_time(c: Column | str, tz: str) -> Column:
 
 
 def minute_start(c: Column | str) -> Column:
-    return F.date_trunc("minute", col(c)).cast("timestamp_ntz")
+    """``c`` truncated to the minute, as TIMESTAMP_NTZ (time zone free)."""
+    x = col(c)
+    return F.make_timestamp_ntz(F.year(x), F.month(x), F.dayofmonth(x), F.hour(x), F.minute(x), F.lit(0))
 
 
 # -- numbers and text -------------------------------------------------------------

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from disputelens.functions.semantics import epoch_seconds
 from disputelens.session import bounded_broadcast
 
 Keys = Sequence[tuple[str, str]]
@@ -25,7 +26,7 @@ def _eq(keys: Keys) -> list[Column]:
 
 
 def _epoch(c: Column) -> Column:
-    return F.unix_seconds(c.cast("timestamp"))
+    return epoch_seconds(c)
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Keys, left_ts: str,
@@ -41,8 +42,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Keys, left_ts: str,
     """
     b = bucket_seconds
     r = (right.withColumn("_lo", right_lo).withColumn("_hi", right_hi)
-         .withColumn("_rb", F.explode(F.sequence(F.floor(_epoch(F.col("_lo")) / b),
-                                                 F.floor(_epoch(F.col("_hi")) / b)))))
+         .withColumn("_rb", F.explode(F.sequence(F.floor(_epoch(F.col("_lo")) / F.lit(b)),
+                                                 F.floor(_epoch(F.col("_hi")) / F.lit(b))))))
     l = left.withColumn("_lb", F.floor(_epoch(F.col(left_ts)) / b))
     t = F.col(left_ts)
     lo_ok = t >= F.col("_lo") if lo_inclusive else t > F.col("_lo")
@@ -65,8 +66,8 @@ def range_lookup(left: DataFrame, right: DataFrame, keys: Keys, right_ts: str,
     """
     b = bucket_seconds
     l = (left.withColumn("_lo", left_lo).withColumn("_hi", left_hi)
-         .withColumn("_lb", F.explode(F.sequence(F.floor(_epoch(F.col("_lo")) / b),
-                                                 F.floor(_epoch(F.col("_hi")) / b)))))
+         .withColumn("_lb", F.explode(F.sequence(F.floor(_epoch(F.col("_lo")) / F.lit(b)),
+                                                 F.floor(_epoch(F.col("_hi")) / F.lit(b))))))
     r = right.withColumn("_rb", F.floor(_epoch(F.col(right_ts)) / b))
     t = F.col(right_ts)
     lo_ok = t >= F.col("_lo") if lo_inclusive else t > F.col("_lo")

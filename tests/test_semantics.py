@@ -125,3 +125,19 @@ def test_local_time(spark):  # D1
     df = spark.createDataFrame([(ts("1999-06-16 10:00:00"),), (ts("1999-01-16 10:00:00"),)], "t timestamp_ntz")
     assert one(df.select(S.local_time("t", "America/Los_Angeles").alias("l")), "l") == [
         ts("1999-06-16 03:00:00"), ts("1999-01-16 02:00:00")]
+
+
+def test_time_helpers_ignore_session_zone(spark):
+    # wall-clock arithmetic must not move when the session zone has a DST jump
+    df = spark.createDataFrame([(ts("2021-03-14 01:59:50"), ts("2021-03-14 03:00:10")),
+                                (ts("2021-03-14 02:30:45"), ts("2021-03-14 02:31:05"))], "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        r = df.select(S.second_diff("a", "b").alias("s"), S.minute_start("a").alias("m"),
+                      S.epoch_seconds("a").alias("e")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [x.s for x in r] == [3620, 20]
+    assert [x.m for x in r] == [ts("2021-03-14 01:59:00"), ts("2021-03-14 02:30:00")]
+    assert r[0].e == int((ts("2021-03-14 01:59:50") - ts("1970-01-01 00:00:00")).total_seconds())
