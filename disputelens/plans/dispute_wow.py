@@ -24,7 +24,7 @@ from disputelens.functions.mappings import (
     settled_merchant_state, tenure_bucket,
 )
 from disputelens.functions.semantics import month_diff, week_start
-from disputelens.operators.joins import range_lookup
+from disputelens.operators.joins import interval_join
 from disputelens.operators.topn import rank_groups, top_label
 from disputelens.session import materialize
 
@@ -125,7 +125,10 @@ def login_scores(base: DataFrame, alerts: DataFrame, day1: dt.date, day2: dt.dat
     """max(score > 0) of alerts with txn_ts - 7 d <= session_ts <= txn_ts, per (user, code).
 
     Alerts outside [day1 - 7 d, day2 + 1 d) can match no transaction of the
-    window, so that range is applied to the alert scan first.
+    window, so that range is applied to the alert scan first. The alerts (far
+    fewer than transactions) are the side copied into the 8 day buckets their
+    7-day reach covers; each transaction row meets them on (user, day) once,
+    and the max is taken with a partial aggregate before the shuffle.
     """
     lo = dt.datetime.combine(day1 - dt.timedelta(days=7), dt.time())
     hi = dt.datetime.combine(day2 + dt.timedelta(days=1), dt.time())
@@ -134,11 +137,11 @@ def login_scores(base: DataFrame, alerts: DataFrame, day1: dt.date, day2: dt.dat
                        & (F.col("session_timestamp") < F.lit(str(hi)).cast("timestamp_ntz")))
     al = al.select(F.col("user_id").alias("b_user_id"), F.col("session_timestamp").alias("b_ts"),
                    F.col("score").alias("b_score"))
-    txns = base.select("user_id", "authorization_code", "transaction_timestamp").distinct()
-    ts = F.col("transaction_timestamp")
-    j = range_lookup(txns, al, [("user_id", "b_user_id")], "b_ts",
-                     F.timestamp_add("DAY", F.lit(-7), ts), ts,
-                     lo_inclusive=True, hi_inclusive=True, bucket_seconds=86400)
+    txns = base.select("user_id", "authorization_code", "transaction_timestamp")
+    s = F.col("b_ts")
+    j = interval_join(txns, al, [("user_id", "b_user_id")], "transaction_timestamp",
+                      s, F.timestamp_add("DAY", F.lit(7), s),
+                      lo_inclusive=True, hi_inclusive=True, bucket_seconds=86400)
     return j.groupBy("user_id", "authorization_code").agg(F.max("b_score").alias("score"))
 
 
