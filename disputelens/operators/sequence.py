@@ -12,10 +12,34 @@ from disputelens.operators.dedup import keep_first
 from disputelens.session import materialize
 
 
+MAX_GROUP_ROWS = 1_000_000
+
+
 def lead_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]],
-                  values: Sequence[str], out: Sequence[str]) -> DataFrame:
+                  values: Sequence[str], out: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add ``out[i] = lead(values[i]) over (partition by keys order by order)``.
 
+    When the largest group has at most ``max_group_rows`` rows (one partial
+    aggregate finds out), a plain window is used: every task then holds a
+    bounded group. Otherwise ``lead_in_order_split`` spreads big groups.
+    """
+    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_group_rows:
+        w = Window.partitionBy(*keys).orderBy(*_sort(order))
+        for v, o in zip(values, out):
+            df = df.withColumn(o, F.lead(F.col(v)).over(w))
+        return df
+    return lead_in_order_split(df, keys, order, values, out)
+
+
+def _sort(order: Sequence[tuple[str, str]]):
+    return [asc(c) if d == "asc" else desc(c) for c, d in order]
+
+
+def lead_in_order_split(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]],
+                        values: Sequence[str], out: Sequence[str]) -> DataFrame:
+    """``lead_in_order`` for groups of any size.
+
     ``order`` is a list of (column, "asc" | "desc") with the dialect's NULL
     placement and must be total within a group (end it with a unique column).
     A plain window sends each group to one task, so one account owning a third
@@ -31,7 +55,7 @@ def lead_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
        segments per group, whose groups hold at most one row per partition;
     4. equi-join that back onto the segment tails.
     """
-    sort = [asc(c) if d == "asc" else desc(c) for c, d in order]
+    sort = _sort(order)
     s = (df.repartitionByRange(*[asc(k) for k in keys], *sort)
          .withColumn("_pid", F.spark_partition_id()))
     s = materialize(s)

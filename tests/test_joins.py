@@ -101,9 +101,13 @@ def test_lead_in_order_matches_window_on_a_hot_group(spark):
     rows = [(1 if i % 3 else 2, "A" if i % 5 else None, i // 4, i, f"n{i}") for i in range(400)]
     rows += [(3, "B", 7, 1000, "solo")]
     df = spark.createDataFrame(rows, "u long, t string, ts long, id long, v string").repartition(7)
-    got = lead_in_order(df, ["u", "t"], [("ts", "asc"), ("id", "asc")], ["ts", "v"], ["next_ts", "next_v"])
+    got = lead_in_order(df, ["u", "t"], [("ts", "asc"), ("id", "asc")], ["ts", "v"], ["next_ts", "next_v"],
+                        max_group_rows=10)
     w = Window.partitionBy("u", "t").orderBy(F.col("ts").asc_nulls_last(), F.col("id").asc_nulls_last())
     want = df.withColumn("next_ts", F.lead("ts").over(w)).withColumn("next_v", F.lead("v").over(w))
-    key = lambda r: r.id
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=lambda r: r[3]) == \
         sorted(map(tuple, want.collect()), key=lambda r: r[3])
+
+    small = lead_in_order(df, ["u", "t"], [("ts", "asc"), ("id", "asc")], ["ts", "v"], ["next_ts", "next_v"])
+    assert sorted(map(tuple, small.select(*want.columns).collect()), key=lambda r: r[3]) == \
+        sorted(map(tuple, want.collect()), key=lambda r: r[3])
