@@ -31,7 +31,9 @@ def test_relation_matches_sql_twin(spark, duck_small, name):
 
 
 def test_entry_runs(spark):
+    from disputelens.plans.dispute_wow import SUMMARY_KEYS
+
     df = E.entry(spark)
     rows = df.collect()
-    assert df.columns == ["user_id", "week", "sum_dispute", "n_disputes"]
-    assert len(rows) == 2
+    assert df.columns == [*SUMMARY_KEYS, "settled_amt_sum", "dispute_amt_sum"]
+    assert len(rows) == 45
