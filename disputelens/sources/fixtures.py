@@ -5,19 +5,23 @@ each relation is derived from the TPC-H-style driver tables by fixed integer
 rules on keys (``FIXTURES.md``). The same rules are written in DuckDB SQL in
 ``disputelens.oracle.fixtures_sql``; both sides must agree row for row.
 
-Every relation is a lazy DataFrame over one line-level base. The base joins
-``lineitem`` to ``orders`` on the order key and then groups by (order key,
-line number): the join's hash partitioning on the order key already satisfies
-the grouping, so it costs one shuffle of each input. Most relations read the
-base, several of them inside one query, so it is checkpointed once per
-session and source snapshot into the shared checkpoint folder (it plays the
-warehouse's settled-transaction table) and every relation reads it back.
+Most relations derive from one line-level base. The base joins ``lineitem``
+to ``orders`` on the order key and then groups by (order key, line number):
+the join's hash partitioning on the order key already satisfies the grouping,
+so it costs one shuffle of each input.
+
+The relations play the warehouse's stored tables, and one query reads several
+of them, several times. So each relation (and the base) is checkpointed once
+per session and source snapshot into the shared checkpoint folder, spread over
+at least the default parallelism, and every query reads it back.
+``Fixtures(..., reuse_base=False)`` gives the plain lazy derivations instead
+(the tests compare those with their SQL twins).
 """
 
 from __future__ import annotations
 
 import os
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,23 +93,52 @@ def add(unit: str, n, ts: Column) -> Column:
     return F.timestamp_add(unit, n if isinstance(n, Column) else F.lit(n), ts)
 
 
+def stored(fn):
+    """A relation computed once per session and source snapshot (see module doc)."""
+    name = fn.__name__
+
+    @wraps(fn)
+    def get(self) -> DataFrame:
+        df = fn(self)
+        if not self.reuse_base:
+            return df
+        key = (*self.snapshot_key, name)
+        if key not in _BASES:
+            _BASES[key] = materialize(_spread(df))
+        return _BASES[key]
+
+    return cached_property(get)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Round-robin to the default parallelism when a relation has fewer partitions."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+SOURCE_TABLES = ("lineitem", "orders", "customer", "events", "nation")
+
+
 class Fixtures:
-    """Lazy DataFrames T1..T25 for one ``sf_dir``."""
+    """DataFrames T1..T25 for one ``sf_dir``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, reuse_base: bool = True):
         self.src = TableSource(spark, sf_dir)
         self.reuse_base = reuse_base
 
-    # -- line-level base ----------------------------------------------------------
     @cached_property
+    def snapshot_key(self) -> tuple:
+        return (self.src.spark.sparkContext.applicationId, self.src.sf_dir,
+                *(self._snapshot(t) for t in SOURCE_TABLES))
+
+    def materialize_all(self) -> None:
+        for name in RELATIONS:
+            getattr(self, name)
+
+    # -- line-level base ----------------------------------------------------------
+    @stored
     def line_base(self) -> DataFrame:
-        if not self.reuse_base:
-            return self.derive_line_base()
-        key = (self.src.spark.sparkContext.applicationId, self.src.sf_dir,
-               *(self._snapshot(t) for t in ("lineitem", "orders")))
-        if key not in _BASES:
-            _BASES[key] = materialize(self.derive_line_base())
-        return _BASES[key]
+        return self.derive_line_base()
 
     def _snapshot(self, table: str):
         path = self.src.path(table)
@@ -150,7 +183,7 @@ class Fixtures:
         )
 
     # T24
-    @cached_property
+    @stored
     def settled_txn(self) -> DataFrame:
         return self.settled_ext.select(
             c("u").alias("user_id"), c("code").alias("authorization_code"),
@@ -184,7 +217,7 @@ class Fixtures:
             (c("code") * 10 + c("k")).alias("user_dispute_claim_txn_id"),
         )
 
-    @cached_property
+    @stored
     def disputed_txn(self) -> DataFrame:
         return self.disputed_ext.drop("pk", "sk", "qty", "k")
 
@@ -227,7 +260,7 @@ class Fixtures:
         )
 
     # T2
-    @cached_property
+    @stored
     def member_override(self) -> DataFrame:
         a = self.auth_ext.filter((c("_m") == 0) & (c("_qty") % 13 == 0))
         return a.select(
@@ -241,7 +274,7 @@ class Fixtures:
         return self.disputed_ext.select(c("user_dispute_claim_id").alias("claim")).distinct()
 
     # T4
-    @cached_property
+    @stored
     def inspector_dispute(self) -> DataFrame:
         return self.claims.filter(c("claim") % 9 != 0).select(
             (c("claim") + INSPECTOR_ID_OFFSET).alias("id"),
@@ -250,7 +283,7 @@ class Fixtures:
         )
 
     # T5
-    @cached_property
+    @stored
     def inspector_txn(self) -> DataFrame:
         d = (self.disputed_ext.filter(c("unique_transaction_id") % 2 == 0)
              .select("unique_transaction_id", "user_dispute_claim_id", "transaction_code").distinct())
@@ -261,12 +294,12 @@ class Fixtures:
         )
 
     # T6
-    @cached_property
+    @stored
     def member(self) -> DataFrame:
         return self.src.read("customer", ["c_custkey"]).select(c("c_custkey").alias("id"))
 
     # T25
-    @cached_property
+    @stored
     def dim_member(self) -> DataFrame:
         cu = self.src.read("customer", ["c_custkey", "c_nationkey"])
         return cu.select(
@@ -299,12 +332,12 @@ class Fixtures:
             "mcc_cd",
         )
 
-    @cached_property
+    @stored
     def posted_txn(self) -> DataFrame:
         return self.posted_ext.drop("pk", "sk", "qty")
 
     # T8
-    @cached_property
+    @stored
     def pay_friend(self) -> DataFrame:
         p = self.posted_ext.filter(c("description").isin(codes.PF_SENT, codes.PF_RECEIVED))
         sent = c("description") == codes.PF_SENT
@@ -320,13 +353,13 @@ class Fixtures:
         )
 
     # T10
-    @cached_property
+    @stored
     def pay_friend_score(self) -> DataFrame:
         return self.pay_friend.filter(c("id") % 3 != 0).select(
             c("id").alias("pay_friend_id"), ((c("id") % 100).cast("double") / 100).alias("score"))
 
     # T9
-    @cached_property
+    @stored
     def card(self) -> DataFrame:
         o = self.src.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
         return o.select(
@@ -342,7 +375,7 @@ class Fixtures:
         )
 
     # T11
-    @cached_property
+    @stored
     def auth_decision(self) -> DataFrame:
         a = self.auth_ext.filter(c("_pk") % 2 == 1)
         outcome = pick(DECISION_OUTCOMES, c("_pk") % 7)
@@ -357,7 +390,7 @@ class Fixtures:
         )
 
     # T12
-    @cached_property
+    @stored
     def fraud_override(self) -> DataFrame:
         a = self.auth_ext.filter(c("response_cd") == "59")
         a = a.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -373,7 +406,7 @@ class Fixtures:
         )
 
     # T13
-    @cached_property
+    @stored
     def alert_auth_event(self) -> DataFrame:
         s = self.settled_ext.filter((c("pk") % 10).isin(0, 1))
         return s.select(
@@ -387,13 +420,13 @@ class Fixtures:
         )
 
     # T14
-    @cached_property
+    @stored
     def dispute_claim(self) -> DataFrame:
         return self.claims.select(c("claim").alias("id"),
                                   pick(CLAIM_INTAKE, c("claim") % 4).alias("intake_type"))
 
     # T15
-    @cached_property
+    @stored
     def dispute_contact(self) -> DataFrame:
         return self.claims.select(
             c("claim").alias("dispute_id"),
@@ -408,7 +441,7 @@ class Fixtures:
         return e.filter(c("event_type").isin(*types))
 
     # T17
-    @cached_property
+    @stored
     def user_session(self) -> DataFrame:
         e = self._events("view")
         return e.select(
@@ -424,7 +457,7 @@ class Fixtures:
         )
 
     # T18
-    @cached_property
+    @stored
     def ip_geo_map(self) -> DataFrame:
         e = self._events("view").filter(c("event_id") % 8 < 6)
         return e.select(
@@ -433,14 +466,14 @@ class Fixtures:
         ).distinct()
 
     # T19
-    @cached_property
+    @stored
     def geo_city(self) -> DataFrame:
         n = self.src.read("nation", ["n_nationkey"]).filter(c("n_nationkey") < 18)
         return n.select(c("n_nationkey").cast("bigint").alias("geoname_id"),
                         pick(CITY_ZONES, c("n_nationkey") % 4).alias("time_zone"))
 
     # T20
-    @cached_property
+    @stored
     def login_alert(self) -> DataFrame:
         o = self.src.read("orders", ["o_orderkey", "o_custkey", "o_orderdate"])
         return o.select(
@@ -452,7 +485,7 @@ class Fixtures:
         )
 
     # T21
-    @cached_property
+    @stored
     def login_request(self) -> DataFrame:
         e = self._events("view", "error")
         ok = c("event_type") == "view"
@@ -471,7 +504,7 @@ class Fixtures:
         )
 
     # T22
-    @cached_property
+    @stored
     def version_change(self) -> DataFrame:
         o = self.src.read("orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
         field = pick(PROFILE_FIELDS, F.substring(c("o_orderpriority"), 1, 1).cast("int") - 1)
@@ -491,7 +524,7 @@ class Fixtures:
         )
 
     # T23
-    @cached_property
+    @stored
     def menu_tap(self) -> DataFrame:
         e = self._events("click")
         return e.select(
@@ -506,7 +539,7 @@ class Fixtures:
         )
 
     # T1
-    @cached_property
+    @stored
     def auth_event(self) -> DataFrame:
         return self.auth_ext.drop("_m", "_pk", "_sk", "_qty")
 
