@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,14 +61,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage and cut its lineage.
+    """Compute ``df`` once into a parquet table in the shared checkpoint folder.
 
-    Used for intermediate relations that later steps read several times
-    (the report's base table). A reliable checkpoint survives lost executors,
-    unlike ``persist`` or a local checkpoint.
+    Used for relations that later steps read several times (the report's
+    base, the derived warehouse relations). The table survives lost executors,
+    unlike ``persist`` or a local checkpoint, and reading it back keeps column
+    pruning, row-group filtering and the vectorised reader, which a
+    ``DataFrame.checkpoint`` (serialised rows) would lose.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
