@@ -450,10 +450,10 @@ FEEDS = (
 )
 
 
-def account_history(src: HistorySources, users: DataFrame, tz: str = codes.TIMELINE_TZ,
+def account_history(src: HistorySources, users: DataFrame | AccountSet, tz: str = codes.TIMELINE_TZ,
                     user_col: str = "user_id") -> DataFrame:
     """All nine feeds for the accounts in ``users``, ordered by account and time."""
-    acc = AccountSet.of(users, user_col)
+    acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
     out = None
     for _, feed in FEEDS:
         part = feed(src, acc, tz)

@@ -20,7 +20,7 @@ from disputelens.operators.dedup import keep_first
 from disputelens.operators.joins import any_party_join, interval_join, range_lookup, semi_join
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import dispute_wow_detail
-from disputelens.plans.history import AccountSet, HistorySources, hist_auths_joined, hist_disputes_joined
+from disputelens.plans.history import HistorySources, hist_auths_joined, hist_disputes_joined
 from disputelens.plans.risk_cut import join_dispute, join_dual, join_override
 from disputelens.plans.weekly_cases import last_complete_week, ntz
 from disputelens.sources.fixtures import Fixtures
@@ -322,8 +322,9 @@ def map_txn_family(fx: Fixtures) -> DataFrame:
 
 @op("map_intake_channel")
 def map_intake_channel(fx: Fixtures) -> DataFrame:
-    acc = AccountSet.of(fx.member, "id")
-    j = hist_disputes_joined(HistorySources.from_fixtures(fx), acc)
+    from disputelens.plans.registry import all_members
+
+    j = hist_disputes_joined(HistorySources.from_fixtures(fx), all_members(fx))
     return j.select("unique_transaction_id", "intake_type")
 
 
@@ -352,8 +353,9 @@ def map_decline_reason(fx: Fixtures) -> DataFrame:
 
 @op("map_rule_outcome")
 def map_rule_outcome(fx: Fixtures) -> DataFrame:
-    acc = AccountSet.of(fx.member, "id")
-    j = hist_auths_joined(HistorySources.from_fixtures(fx), acc)
+    from disputelens.plans.registry import all_members
+
+    j = hist_auths_joined(HistorySources.from_fixtures(fx), all_members(fx))
     return j.select("auth_event_id", M.rule_outcome("response_cd", "rta2_policy_name", "rta2_decision_outcome",
                                                     "o_decision_id", "o_is_suppressed", "o_response_signal")
                     .alias("rules_denied"))

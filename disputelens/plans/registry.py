@@ -89,15 +89,22 @@ def q_wow_window(fx: Fixtures) -> DataFrame:
 
 # --- account history: the account set is every member ----------------------------
 
+def all_members(fx: Fixtures) -> AccountSet:
+    """Every member as the account set; its size check runs once per relation set."""
+    acc = fx.__dict__.get("_all_members")
+    if acc is None:
+        acc = fx.__dict__["_all_members"] = AccountSet.of(fx.member, "id")
+    return acc
+
+
 @register("account_history")
 def q_account_history(fx: Fixtures) -> DataFrame:
-    return account_history(HistorySources.from_fixtures(fx), fx.member.select(F.col("id").alias("user_id")))
+    return account_history(HistorySources.from_fixtures(fx), all_members(fx))
 
 
 def _feed(fn):
     def run(fx: Fixtures) -> DataFrame:
-        acc = AccountSet.of(fx.member, "id")
-        return fn(HistorySources.from_fixtures(fx), acc)
+        return fn(HistorySources.from_fixtures(fx), all_members(fx))
     return run
 
 
