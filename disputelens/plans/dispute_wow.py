@@ -34,8 +34,6 @@ LABELS = (
     ("merchant_name_raw", "rnk_mrch", "top_merchant_name_raw"),
     ("merchant_state_cd", "rnk_mrch_state", "top_merchant_state_cd"),
 )
-PRODUCT_TYPES = 3          # card_type takes 3 values: atm, credit_purchase, debit_purchase
-
 SUMMARY_KEYS = (
     "txn_week", "card_type", "customer_state_cd", "top_merchant_state_cd", "cust_mrch_state_diff",
     "mob_cat", "card_network_cd", "new_dvc_login_ind", "atom_score_cat", "top_mcc_cd",

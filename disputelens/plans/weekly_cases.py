@@ -17,6 +17,7 @@ from disputelens.functions import codes
 from disputelens.functions.mappings import inspector_ext_id, txn_family
 from disputelens.functions.semantics import asc, desc, week_start
 from disputelens.operators.dedup import keep_first
+from disputelens.operators.joins import reduce_to_keys
 from disputelens.operators.topn import top_k
 
 
@@ -38,6 +39,8 @@ def weekly_case_rows(disputes: DataFrame, insp_disputes: DataFrame, as_of: dt.da
                         & F.col("transaction_code").isin(*codes.WEEKLY_CASE_CODES))
     i = insp_disputes.select(F.col("id").alias("r_inspector_dispute_id"),
                              F.col("claim_ext_id").cast("string").alias("_claim_ext_id"))
+    # one week of disputes against all inspector cases: cut the cases first
+    i = reduce_to_keys(i, "_claim_ext_id", d.select(d.user_dispute_claim_id.cast("string").alias("_c")), "_c")
     d = (d.join(i, d.user_dispute_claim_id.cast("string") == F.col("_claim_ext_id"), "left")
          .drop("_claim_ext_id")
          .withColumn("transaction_id", txn_family("transaction_code")))
@@ -53,6 +56,7 @@ def weekly_top_cases(disputes: DataFrame, insp_disputes: DataFrame, insp_txns: D
     t = insp_txns.select(F.col("dispute_id").alias("_t_dispute_id"),
                          F.col("transaction_ext_id").alias("_t_ext_id"),
                          F.col("investigation_resolution"))
+    t = reduce_to_keys(t, "_t_ext_id", d.select("_ext_id"), "_ext_id")
     j = d.join(t, (F.col("r_inspector_dispute_id") == F.col("_t_dispute_id"))
                & (F.col("_ext_id") == F.col("_t_ext_id")), "left")
     j = j.filter(F.coalesce(F.col("investigation_resolution"), F.col("resolution_decision"))

@@ -111,3 +111,15 @@ def test_lead_in_order_matches_window_on_a_hot_group(spark):
     small = lead_in_order(df, ["u", "t"], [("ts", "asc"), ("id", "asc")], ["ts", "v"], ["next_ts", "next_v"])
     assert sorted(map(tuple, small.select(*want.columns).collect()), key=lambda r: r[3]) == \
         sorted(map(tuple, want.collect()), key=lambda r: r[3])
+
+
+def test_reduce_to_keys_keeps_join_result(spark):
+    from disputelens.operators.joins import reduce_to_keys
+
+    big = spark.createDataFrame([(k, f"v{k}") for k in range(50)] + [(None, "n")], "k long, v string")
+    small = spark.createDataFrame([(3,), (7,), (7,), (None,), (99,)], "c long")
+    for cap in (100, 1):
+        red = reduce_to_keys(big, "k", small, "c", max_broadcast_rows=cap)
+        got = sorted(r.v for r in small.join(red, F.col("c") == F.col("k"), "left").collect() if r.v)
+        assert got == ["v3", "v7", "v7"]
+    assert reduce_to_keys(big, "k", small, "c", max_broadcast_rows=1) is big
