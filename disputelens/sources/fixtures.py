@@ -11,9 +11,9 @@ the join's hash partitioning on the order key already satisfies the grouping,
 so it costs one shuffle of each input.
 
 The relations play the warehouse's stored tables, and one query reads several
-of them, several times. So each relation (and the base) is checkpointed once
-per session and source snapshot into the shared checkpoint folder, spread over
-at least the default parallelism, and every query reads it back.
+of them, several times. So each relation (and the base) is written once per
+session and source snapshot as a rebalanced parquet table into the shared
+checkpoint folder, and every query reads it back.
 ``Fixtures(..., reuse_base=False)`` gives the plain lazy derivations instead
 (the tests compare those with their SQL twins).
 """
@@ -111,9 +111,10 @@ def stored(fn):
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin to the default parallelism when a relation has fewer partitions."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """Rebalance before writing: AQE sizes the output partitions (splitting
+    skewed ones), so a relation from a single-file source is not read back by
+    one task, and a big one is written in evenly sized files."""
+    return df.hint("rebalance")
 
 
 SOURCE_TABLES = ("lineitem", "orders", "customer", "events", "nation")
