@@ -21,7 +21,7 @@ from disputelens.operators.joins import any_party_join, interval_join, range_loo
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import dispute_wow_detail
 from disputelens.plans.history import HistorySources, hist_auths_joined, hist_disputes_joined
-from disputelens.plans.risk_cut import join_dispute, join_dual, join_override
+from disputelens.plans.risk_cut import first_per_event, join_dispute, join_dual, join_override
 from disputelens.plans.weekly_cases import last_complete_week, ntz
 from disputelens.sources.fixtures import Fixtures
 
@@ -221,9 +221,7 @@ def dedup_auth_event(fx: Fixtures) -> DataFrame:
     j = join_dual(fx.auth_event, fx.auth_event)
     j = join_override(j, fx.member_override)
     j = join_dispute(j, fx.disputed_txn, ["auth_event_id", "dual_auth_event_id"], collapse=False)
-    j = keep_first(j, ["auth_event_id"], [
-        desc("dual_original_auth_id"), asc("o2_timestamp"), asc("dt_dispute_created_at"),
-        asc("dt_unique_transaction_id"), asc("dt_user_dispute_claim_txn_id"), asc("dual_auth_event_id")])
+    j = first_per_event(j)
     return j.select("auth_event_id", "dual_auth_id", C("o2_timestamp").alias("override_ts"),
                     C("dt_unique_transaction_id").alias("unique_transaction_id"),
                     C("dt_dispute_created_at").alias("dispute_created_at"))

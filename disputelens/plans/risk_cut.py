@@ -80,6 +80,13 @@ def join_dispute(df: DataFrame, disputes: DataFrame, left_id, *, collapse: bool
                            "dt_authorization_code", left_id, collapse=collapse).drop("dt_user_id")
 
 
+def first_per_event(j: DataFrame) -> DataFrame:
+    """One row per auth event: latest follow-up, then earliest override, then earliest dispute."""
+    return keep_first(j, ["auth_event_id"], [
+        desc("dual_original_auth_id"), asc("o2_timestamp"), asc("dt_dispute_created_at"),
+        asc("dt_unique_transaction_id"), asc("dt_user_dispute_claim_txn_id"), asc("dual_auth_event_id")])
+
+
 def risk_score_cut(auth: DataFrame, overrides: DataFrame, disputes: DataFrame,
                    start: dt.date, end: dt.date) -> DataFrame:
     rae = eligible_auths(auth, start, end)
@@ -88,10 +95,7 @@ def risk_score_cut(auth: DataFrame, overrides: DataFrame, disputes: DataFrame,
     # collapse=False: the keep-first below orders a real dispute match ahead of
     # the unmatched copy of the same (event, follow-up, override) row.
     j = join_dispute(j, disputes, ["auth_event_id", "dual_auth_event_id"], collapse=False)
-    j = keep_first(j, ["auth_event_id"], [
-        desc("dual_original_auth_id"), asc("o2_timestamp"), asc("dt_dispute_created_at"),
-        asc("dt_unique_transaction_id"), asc("dt_user_dispute_claim_txn_id"),
-        asc("dual_auth_event_id")])
+    j = first_per_event(j)
     matched = F.col("dt_unique_transaction_id").isNotNull()
     flags = dispute_flags(matched, "dt_reason", "dt_resolution", "dt_resolution_decision")
     return j.select(
