@@ -63,10 +63,18 @@ class AccountSet:
 
     @classmethod
     def of(cls, users: DataFrame, col: str = "user_id") -> "AccountSet":
-        u = users.select(F.col(col).cast("bigint").alias("_uid")).distinct()
+        """Accounts from a column of ids (numbers or numeric text, as the
+        source's text user set; malformed text matches nothing)."""
+        u = (users.select(safe_number(F.col(col).cast("string")).alias("_uid"))
+             .where(F.col("_uid").isNotNull()).distinct())
         b = bounded_broadcast(u, MAX_BROADCAST_USERS)
         return cls(b, b is not u)
 
+    @classmethod
+    def of_ids(cls, spark, ids) -> "AccountSet":
+        """A handful of accounts given by id (the single-account pull)."""
+        return cls.of(spark.createDataFrame([(int(i),) for i in ids], "user_id bigint"))
+
     def keep(self, df: DataFrame, col: Column | str) -> DataFrame:
         c = F.col(col) if isinstance(col, str) else col
         return df.join(self.users, c == F.col("_uid"), "left_semi")

@@ -122,3 +122,22 @@ def test_report_counts_match_fixture_notes(spark):
     assert d.filter(F.col("dispute_ind_7d") == 1).count() == 102
     assert d.filter((F.col("dispute_ind_7d") == 0) & F.col("reason").isNotNull()).count() == 63
     assert d.filter(F.col("card_network_cd").isNull()).count() == 40
+
+
+def test_single_account_pull_plans_a_hash_semi_join(spark):
+    fx = fixtures_for(spark, SMALL)
+    src = HistorySources.from_fixtures(fx)
+    acc = AccountSet.of_ids(spark, [3])
+    df = account_history(src, acc)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    users = fx.member.select(F.col("id").alias("user_id"))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, account_history(
+        src, users).filter(F.col("user_id") == 3).collect()))
+
+
+def test_account_set_accepts_text_ids(spark):
+    df = spark.createDataFrame([("3",), ("3.0",), ("anon-1",), (None,), ("7",)], "user_id string")
+    acc = AccountSet.of(df)
+    assert sorted(r._uid for r in acc.users.collect()) == [3, 7]
