@@ -132,9 +132,15 @@ class Fixtures:
         return (self.src.spark.sparkContext.applicationId, self.src.sf_dir,
                 *(self._snapshot(t) for t in SOURCE_TABLES))
 
-    def materialize_all(self) -> None:
-        for name in RELATIONS:
-            getattr(self, name)
+    def materialize_all(self, threads: int = 4) -> None:
+        """Write every relation now. After the shared base, the writes are
+        independent Spark jobs, submitted from a few driver threads at once."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        for shared in ("line_base", "settled_ext", "disputed_ext", "auth_ext", "posted_ext", "claims", "pay_friend"):
+            getattr(self, shared)
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            list(pool.map(lambda n: getattr(self, n), RELATIONS))
 
     # -- line-level base ----------------------------------------------------------
     @stored
