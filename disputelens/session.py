@@ -24,10 +24,15 @@ SESSION_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "disputelens") -> SparkSession:
+                  app_name: str = "disputelens", driver_memory: str | None = None) -> SparkSession:
+    """A session with ``SESSION_CONF``. ``driver_memory`` matters in local mode
+    only, where the driver JVM also runs every task; it applies when this call
+    starts the JVM."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

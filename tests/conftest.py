@@ -17,7 +17,7 @@ def spark():
     from disputelens.session import SESSION_CONF, ensure_checkpoint_dir
 
     b = SparkSession.builder.master("local[4]").appName("disputelens-tests") \
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "4g")
     for k, v in SESSION_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
