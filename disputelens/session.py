@@ -75,12 +75,37 @@ def materialize(df: DataFrame) -> DataFrame:
     ``DataFrame.checkpoint`` (serialised rows) would lose.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables_root(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _tables_root(spark: SparkSession) -> str:
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete this application's materialised tables from the checkpoint folder.
+
+    Call it when the session's work is done: DataFrames read from those
+    tables stop working afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+    # forget the relations that were read from them
+    from disputelens.plans import registry
+    from disputelens.sources import fixtures
+
+    app = spark.sparkContext.applicationId
+    for cache in (fixtures._BASES, registry._FIXTURES):
+        for key in [k for k in cache if k[0] == app]:
+            del cache[key]
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only when ``df`` provably has at most ``max_rows`` rows.
 

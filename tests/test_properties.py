@@ -141,3 +141,21 @@ def test_account_set_accepts_text_ids(spark):
     df = spark.createDataFrame([("3",), ("3.0",), ("anon-1",), (None,), ("7",)], "user_id string")
     acc = AccountSet.of(df)
     assert sorted(r._uid for r in acc.users.collect()) == [3, 7]
+
+
+def test_drop_materialized_removes_this_apps_tables(spark):
+    from disputelens.session import _tables_root, drop_materialized, materialize
+
+    from disputelens.plans import registry
+    from disputelens.sources import fixtures
+
+    df = materialize(spark.range(10))
+    root = _tables_root(spark).replace("file:", "")
+    assert os.path.isdir(root) and df.count() == 10
+    fixtures_for(spark, SMALL).member  # a cached relation of this application
+    drop_materialized(spark)
+    assert not os.path.isdir(root)
+    app = spark.sparkContext.applicationId
+    assert not any(k[0] == app for k in fixtures._BASES) and not any(k[0] == app for k in registry._FIXTURES)
+    # later queries rebuild what they need
+    assert q(spark, "user_set").count() > 0
