@@ -26,6 +26,9 @@ def spark():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="disputelens-test-ckpt-"))
     ensure_checkpoint_dir(s)
     yield s
+    from disputelens.session import drop_materialized
+
+    drop_materialized(s)
     s.stop()
 
 
