@@ -126,16 +126,21 @@ def semi_join(df: DataFrame, keys_df: DataFrame, col: str, keys_col: str,
 
 
 def reduce_to_keys(big: DataFrame, col: str, keys_df: DataFrame, keys_col: str,
-                   max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                   max_broadcast_rows: int = 2_000_000, known_small: bool | None = None) -> DataFrame:
     """``big`` cut to rows whose ``col`` occurs in ``keys_df.keys_col``, when that is cheap.
 
     Before a left join of a small left side to a big right side: if the
     distinct keys of the small side fit a checked broadcast, the big side is
     semi-joined map-side first, so only its matching rows reach the shuffle.
     Otherwise ``big`` is returned unchanged and the join shuffles it as usual.
+    ``known_small`` skips the check when the caller has already bounded the
+    key set (True: broadcast, False: leave ``big`` alone).
     """
     ks = keys_df.select(F.col(keys_col).alias("_rk")).where(F.col("_rk").isNotNull()).distinct()
-    b = bounded_broadcast(ks, max_broadcast_rows)
+    if known_small is None:
+        b = bounded_broadcast(ks, max_broadcast_rows)
+    else:
+        b = F.broadcast(ks) if known_small else ks
     if b is ks:
         return big
     return big.join(b, F.col(col) == F.col("_rk"), "left_semi")
