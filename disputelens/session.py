@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Settings every job assumes. Session time zone UTC: the jobs store UTC wall
-# clock in TIMESTAMP_NTZ and only the boundary helpers cast through TIMESTAMP.
+# Settings every job assumes. Times are UTC wall clock in TIMESTAMP_NTZ and
+# the helpers do calendar arithmetic on them; the UTC session zone keeps any
+# TIMESTAMP a user derives consistent with that.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -44,10 +45,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint`` usable and return the directory.
+    """Return the shared folder for materialised tables and checkpoints.
 
-    On a cluster the shared folder named by ``spark.checkpoint.dir`` is used
-    as is. Only a local-mode session without that setting (tests) gets a fresh
+    On a cluster the folder named by ``spark.checkpoint.dir`` is used as is.
+    Only a local-mode session without that setting (tests) gets a fresh
     folder under the system temp directory.
     """
     sc = spark.sparkContext
