@@ -85,6 +85,11 @@ def test_run_dispute_wow_writes_detail_and_summary(spark):
     out = tempfile.mkdtemp(prefix="disputelens-wow-")
     run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
     assert os.path.isdir(os.path.join(out, "dispute_wow_detail"))
+    for table in ("dispute_wow_detail", "dispute_wow_summary"):
+        parts = [p for p in os.listdir(os.path.join(out, table)) if p.startswith("txn_week=")]
+        assert parts, table  # partitioned by week: readers prune to the weeks they ask for
+    pruned = spark.read.parquet(os.path.join(out, "dispute_wow_detail")).filter(F.col("txn_week") == F.lit(day1))
+    assert "PartitionFilters: [isnotnull(txn_week" in pruned._jdf.queryExecution().executedPlan().toString()
     written = spark.read.parquet(os.path.join(out, "dispute_wow_summary"))
     direct = dispute_wow_summary(dispute_wow_detail(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member,
                                                     fx.login_alert, day1, day2, P.DISPUTE_WIN, P.AS_OF))
