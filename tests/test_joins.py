@@ -123,3 +123,21 @@ def test_reduce_to_keys_keeps_join_result(spark):
         got = sorted(r.v for r in small.join(red, F.col("c") == F.col("k"), "left").collect() if r.v)
         assert got == ["v3", "v7", "v7"]
     assert reduce_to_keys(big, "k", small, "c", max_broadcast_rows=1) is big
+
+
+def test_bounded_broadcast_only_under_the_bound(spark):
+    from disputelens.session import bounded_broadcast
+
+    df = spark.range(100)
+    small = bounded_broadcast(df, 100)
+    big = bounded_broadcast(df, 99)
+    assert big is df and small is not df
+    probe = spark.range(1000).withColumnRenamed("id", "k")
+    plan_small = probe.join(small, F.col("k") == F.col("id"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan_small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_big = probe.join(big, F.col("k") == F.col("id"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan_big
