@@ -76,8 +76,16 @@ def bitmap_of(df: DataFrame, position: Column, n_bits: int) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
+class BitFilter:
+    """Tests many 64-bit hashes against the bytes of ``bitmap_of``."""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, dtype=np.uint8)
+        self.mask = U64(len(bits) * 8 - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) & self.mask
+        return (self.bits[(at >> U64(3)).view(np.int64)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
 # --- Arrow batches to byte arrays ------------------------------------------------
@@ -168,6 +176,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def valid_starts(words: "Words", size: int) -> np.ndarray:
+    """Indices of words at which ``size`` words of one text start."""
+    left = np.repeat(words.range[1:], words.count) - np.arange(len(words.starts))
+    return np.flatnonzero(left >= size)
+
+
 class Words:
     """Words of several texts: bytes, spans, and the word range of each text."""
 

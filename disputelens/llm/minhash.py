@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import (NON_SPACE, U64, Rolling, Words, bitmap_of, lists_of, mix, prepare, shingle_hash, store,
-                                    text_chunks, unpack_bits)
+from disputelens.llm.common import (NON_SPACE, U64, BitFilter, Rolling, Words, bitmap_of, lists_of, mix, prepare,
+                                    shingle_hash, store, text_chunks)
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -132,12 +132,12 @@ def _sets(wanted):
     """Emit the set of each row whose (set key, id) is in the bitmap ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        bits = unpack_bits(wanted.value)
+        passes = BitFilter(wanted.value)
         for rows, texts in text_chunks(batches, "text"):
             values, offsets = shingle_sets(texts, rolling)
             k1, k2 = set_keys(values, offsets)
             id_hash = np.asarray(rows.column("id_hash").to_numpy(zero_copy_only=False), dtype=np.int64)
-            hit = bits[(k1 ^ id_hash) & np.int64(FILTER_BITS - 1)] & (np.diff(offsets) > 0)
+            hit = passes(k1 ^ id_hash) & (np.diff(offsets) > 0)
             if not hit.any():
                 continue
             at = np.flatnonzero(hit)

@@ -8,22 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from disputelens.llm import sql
 from disputelens.llm.common import prepare, read_table
+from disputelens.llm.decontam import decontaminate
 from disputelens.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op8_minhash": op8_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": sql.DECONTAMINATE,
         "op8_minhash": sql.NEAR_DUPLICATES,
     }
