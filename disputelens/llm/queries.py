@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disputelens.llm import sql
+from disputelens.llm import bpe, sql
 from disputelens.llm.common import prepare, read_table
 from disputelens.llm.decontam import decontaminate
 from disputelens.llm.minhash import near_duplicates
@@ -23,10 +23,22 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def vocabulary_path() -> str:
+    """The public tokenizer file of the contract; only this query names it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(prepare(spark), sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op8_minhash": op8_minhash,
+        "op9_bpe": op9_bpe,
     }
 
 
