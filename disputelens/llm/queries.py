@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disputelens.llm import bpe, sql
+from disputelens.llm import bpe, quality_qda, quality_rules, sql, toxicity
 from disputelens.llm.common import prepare, read_table
 from disputelens.llm.decontam import decontaminate
 from disputelens.llm.minhash import near_duplicates
@@ -19,6 +19,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return quality_qda.classify(docs, read_table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return quality_rules.judge(docs, read_table(spark, sf_dir, "labels"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -34,11 +44,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(prepare(spark), sf_dir, "documents"), vocabulary_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents")
+    return toxicity.classify(docs, read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op5_quality": op5_quality,
+        "op6_quality_rules": op6_quality_rules,
         "op8_minhash": op8_minhash,
         "op9_bpe": op9_bpe,
+        "op10_toxicity": op10_toxicity,
     }
 
 
