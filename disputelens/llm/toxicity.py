@@ -32,9 +32,11 @@ from disputelens.llm.quality_qda import held_out
 BITS = 18
 BUCKETS = 1 << BITS
 MAX_TRAIN = 20_000
-SHARDS = 8
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+SHARDS = 1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 20.0, 0.0
+#: Weight of a toxic row's gradient (they are the rarer class).
+POSITIVE = 5.0
 
 
 def hashed(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +78,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, float]:
             at = np.concatenate([x, bias])
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+            g *= POSITIVE if y else 1.0
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
