@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disputelens.llm import bpe, langid, quality_qda, quality_rules, sql, toxicity
+from disputelens.llm import bpe, langid, quality_qda, quality_rules, sql, toxicity, warc
 from disputelens.llm.common import prepare, read_table
 from disputelens.llm.decontam import decontaminate
 from disputelens.llm.minhash import near_duplicates
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures_of(read_table(prepare(spark), sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_warc": op2_warc,
         "op4_language": op4_language,
         "op5_quality": op5_quality,
         "op6_quality_rules": op6_quality_rules,
@@ -68,5 +73,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": sql.DECONTAMINATE,
+        "op2_warc": sql.CAPTURES,
         "op8_minhash": sql.NEAR_DUPLICATES,
     }
