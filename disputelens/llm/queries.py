@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disputelens.llm import bpe, langid, quality_qda, quality_rules, sql, toxicity, warc
+from disputelens.llm import bpe, langid, license_scan, quality_qda, quality_rules, sql, toxicity, warc
 from disputelens.llm.common import prepare, read_table
 from disputelens.llm.decontam import decontaminate
 from disputelens.llm.minhash import near_duplicates
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, read_table(spark, sf_dir, "labels"))
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op4_language": op4_language,
         "op5_quality": op5_quality,
         "op6_quality_rules": op6_quality_rules,
+        "op7_license": op7_license,
         "op8_minhash": op8_minhash,
         "op9_bpe": op9_bpe,
         "op10_toxicity": op10_toxicity,
