@@ -44,15 +44,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
+#: Rows that one file of a table of known size holds.
+FILE_ROWS = 100_000
+
+
+def store(df: DataFrame, name: str = "t", most_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     A lost executor then costs the running tasks only. The schema is passed on,
-    so an empty table reads back too.
+    so an empty table reads back too. ``most_rows`` is a bound on the rows, if
+    one is known: small tables then get few files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    if most_rows is not None:
+        df = df.coalesce(1 + most_rows // FILE_ROWS)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

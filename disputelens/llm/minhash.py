@@ -15,8 +15,8 @@ agrees for two sets with probability equal to their Jaccard similarity, and
   components and take the class with most confirmed links as centre, which
   finds the original of a family whose copies are too far from each other. The
   rounds end when one adds no link.
-* Each candidate is confirmed on the full sets; components follow by label
-  propagation with tables in the shared folder between the steps. Nothing but
+* Each candidate is confirmed on the full sets; components follow by
+  contracting the links, with tables in the shared folder between the steps. Nothing but
   a fixed-size bitmap and row counts reaches the driver.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disputelens.llm.common import (NON_SPACE, U64, BitFilter, Rolling, Words, bitmap_of, lists_of, mix, prepare,
@@ -186,11 +186,12 @@ def _shared_buckets(classes: DataFrame) -> DataFrame:
     return store(rows.join(several.select("bucket"), "bucket", "left_semi"), "buckets")
 
 
-def _star(buckets: DataFrame, rank: list) -> DataFrame:
+def _star(buckets: DataFrame, rank: list[str], when: Column | None = None) -> DataFrame:
     """Distinct (a, b), a < b: each class of a bucket with the one that comes last by ``rank``."""
-    centre = buckets.groupBy("bucket").agg(F.max(F.struct(*rank, "cid", "n")).alias("centre"))
+    rest = [c for c in buckets.columns if c not in ("bucket", *rank, "cid")]
+    centre = buckets.groupBy("bucket").agg(F.max(F.struct(*rank, "cid", *rest)).alias("centre"))
     pairs = buckets.join(centre, "bucket").filter(
-        (F.col("cid") != F.col("centre.cid"))
+        (F.col("cid") != F.col("centre.cid")) & (F.lit(True) if when is None else when)
         # sizes alone rule out a similarity of PERCENT
         & (F.least("n", "centre.n") * 100 >= F.greatest("n", "centre.n") * PERCENT))
     return pairs.select(F.least("cid", "centre.cid").alias("a"), F.greatest("cid", "centre.cid").alias("b")).distinct()
@@ -211,50 +212,65 @@ def _confirm(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return both.filter(inter * 100 >= union * PERCENT).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, comp): the smallest cid that each linked class reaches.
+def contract(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b): the least node that it reaches.
 
-    Hash-to-min with pointer jumping: every step takes the least label among
-    the neighbours and then the label's own label, so a path of length n needs
-    about log n steps.
+    Each step sends a node to the least of itself and its neighbours and keeps
+    the edges that still join different nodes, so a family around one centre
+    is gone after two steps and the edges shrink from step to step.
     """
-    edges = store(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                  .union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    label = store(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("comp"))
-                  .withColumnRenamed("u", "cid"), "label")
+    roots, n = None, edges.count()
     while True:
-        near = edges.join(label.withColumnRenamed("cid", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
-        step = label.join(near, label.cid == near.u).select("cid", F.col("comp").alias("old"),
-                                                            F.least("comp", "near").alias("comp"))
-        jump = label.select(F.col("cid").alias("comp"), F.col("comp").alias("far"))
-        new = store(step.join(jump, "comp", "left").select("cid", "old", F.least("comp", "far").alias("comp")), "label")
-        if new.filter("comp < old").isEmpty():
-            return new.select("cid", "comp")
-        label = new.select("cid", "comp")
-
-
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): confirmed links between classes."""
+        near = (edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
+                                              F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
+                .groupBy("node").agg(F.min("other").alias("other"))
+                .select("node", F.least("node", "other").alias("root")))
+        near = store(near, "near", 2 * n)
+        edges = (edges.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+                 .join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+                 .filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = store(edges, "edges", n)
+        roots = near if roots is None else follow(roots, near)
+        n = edges.count()
+        if not n:
+            return roots
+
+
+def follow(roots: DataFrame, later: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with each root replaced by its own root in ``later``."""
+    far = later.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return roots.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+
+
+def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, root) of the classes with a confirmed link."""
     keyed = _keyed(docs, id_col, text_col)
     buckets = _shared_buckets(classes)
     tried = store(_star(buckets, []), "pairs")
-    linked = store(_confirm(keyed, classes, tried), "links")
+    links = store(_confirm(keyed, classes, tried), "links")
+    roots = store(contract(links), "roots", 2 * links.count())
     while True:
-        comp = components(linked)
-        ends = linked.select(F.explode(F.array("a", "b")).alias("cid"))
-        degree = ends.groupBy("cid").agg(F.count("*").alias("degree"))
-        rows = (buckets.join(comp, "cid", "left").join(degree, "cid", "left")
-                .select("bucket", "cid", "n", F.coalesce("comp", "cid").alias("comp"),
-                        F.coalesce("degree", F.lit(0)).alias("degree")))
-        split = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        rows = rows.join(split.select("bucket"), "bucket", "left_semi")
-        new = store(_star(rows, ["degree"]).join(tried, ["a", "b"], "left_anti"), "pairs")
+        degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree"))
+        known = roots.withColumnRenamed("node", "cid").join(degree, "cid", "left")
+        rows = buckets.join(known, "cid", "left").select(
+            "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        split = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        buckets = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
+        new = store(_star(buckets, ["degree"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"),
+                    "pairs")
         if new.isEmpty():
-            return linked
+            return roots
         more = store(_confirm(keyed, classes, new), "links")
         if more.isEmpty():
-            return linked
-        tried, linked = tried.union(new), linked.union(more)
+            return roots
+        tried, links = tried.union(new), links.union(more)
+        of = roots.select(F.col("node"), F.col("root"))
+        ends = (more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left")
+                .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct())
+        merged = contract(store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                                "edges"))
+        roots = store(follow(roots, merged).union(merged.join(roots.select("node"), "node", "left_anti")), "roots")
+        buckets = buckets.select("bucket", "cid", "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,8 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     sig = store(signatures(docs, id_col, text_col), "sig")
     classes = _classes(sig)
-    comp = components(links(docs, classes, id_col, text_col))
-    named = classes.join(comp, "cid", "left").select("k1", "k2", "rep", F.coalesce("comp", "cid").alias("comp"))
+    roots = linked_components(docs, classes, id_col, text_col).withColumnRenamed("node", "cid")
+    named = classes.join(roots, "cid", "left").select("k1", "k2", "rep", F.coalesce("root", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_set = named.join(least, "comp").select("k1", "k2", "component_id")
     out = sig.select("id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
