@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from disputelens.llm import bpe, langid, license_scan, quality_qda, quality_rules, sql, toxicity, warc
+from disputelens.llm import bpe, langid, license_scan, quality_qda, quality_rules, sql, suffix_dedup, toxicity, warc
 from disputelens.llm.common import prepare, read_table
 from disputelens.llm.decontam import decontaminate
 from disputelens.llm.minhash import near_duplicates
@@ -23,6 +23,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures_of(read_table(prepare(spark), sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_warc": op2_warc,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language": op4_language,
         "op5_quality": op5_quality,
         "op6_quality_rules": op6_quality_rules,
