@@ -165,3 +165,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "row")
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) without a hit word."""
+    numbered = store(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = decontaminate(numbered.select(F.col("row").alias("number"), F.col(f"doc.`{text_col}`").alias("text")), bench,
+                          "number", "text")
+    hit = found.filter("contaminated").select(F.col("number").alias("row"))
+    return numbered.join(hit, "row", "left_anti").select("doc.*")

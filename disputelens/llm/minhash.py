@@ -300,9 +300,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prepare(docs.sparkSession)
     numbered = store(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    found = near_duplicates(numbered.select("row", F.col(f"doc.{id_col}").alias("id"),
-                                            F.col(f"doc.{text_col}").alias("text"))
-                            .withColumn("id", F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")),
-                            "id", "text")
+    of_doc = F.col(f"doc.`{id_col}`")
+    # ordered by id with nulls last, then by row: every row has an id of its own
+    rank = F.struct(of_doc.isNull().alias("unnamed"), of_doc.alias("id"), F.col("row"))
+    found = near_duplicates(numbered.select(rank.alias("id"), F.col(f"doc.`{text_col}`").alias("text")), "id", "text")
     kept = found.filter("kept").select(F.col("id.row").alias("row"))
     return numbered.join(kept, "row", "left_semi").select("doc.*")
