@@ -13,14 +13,15 @@ fit into memory (2 GB at most); a task walks it record by record by
 Content-Length.
 
 Assembly. Responses and revisits, requests, and metadata meet by the
-concurrent-to identifiers in shuffled equi joins on the record id, which is unique, and give
-one nested row per capture. Payloads stay out of the joins unless asked for.
+concurrent-to identifiers in equi joins on the record id and give one nested row per
+capture. Payloads stay out of the joins unless asked for.
 
 Defined cases: null html is an empty payload; a null url leaves the target out;
 a null page id is carried as null and loses to any other as the response, so
-copies whose ids are all null are all responses; rows repeating the largest
-page id are each a revisit but for the last one read. Extra columns are ignored. An empty
-table writes an empty archive and reads back no row.
+copies whose ids are all null are all responses, as are rows repeating the largest
+page id. Repeated rows (same id, url and html) share their record ids and are each
+returned. Extra columns are ignored. An empty table writes an empty archive and
+reads back no row.
 """
 
 from __future__ import annotations
@@ -46,9 +47,10 @@ CRLF = "\r\n"
 
 # --- writing -----------------------------------------------------------------------
 
-def _urn(kind: str, row: Column) -> Column:
-    """A record id from the kind of record and the row's number."""
-    h = F.md5(F.concat(F.lit(f"{kind}:"), row.cast("string")))
+def _urn(kind: str, page: Column, url: Column, digest: Column) -> Column:
+    """A record id from the kind of record and what it is about: the same whenever it is computed."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    h = F.md5(F.concat_ws("\n", F.lit(kind), text(page), digest, text(url)))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -63,32 +65,32 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 
 def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, row, digest, n_bytes, and (for revisits) the response's row and page id."""
+    """page_id, url, html, digest, n_bytes, and ``first`` (for revisits): the response's page id and url."""
     rows = pages.select(
         "page_id", F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("row"),
     ).withColumns({"digest": F.sha1("html"), "n_bytes": F.octet_length("html").cast("long")})
     groups = (rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes")
-              .agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n"))
+              .agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
               .filter((F.col("n") > 1) & F.col("first.page_id").isNotNull())
               .select("digest", "n_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    salted = rows.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = salted.join(groups, ["digest", "n_bytes", "salt"], "left").drop("salt")
-    return joined.withColumn("first", F.when(F.col("first.row") != F.col("row"), F.col("first")))
+    return joined.withColumn("first", F.when(~F.col("first.page_id").eqNullSafe(F.col("page_id")), F.col("first")))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
     """Write the archives of ``pages`` (page_id, url, html) under ``path``."""
     p = with_roles(pages, min_bytes)
     uri = F.regexp_replace("url", r"[\r\n]", "%0A")
-    of = {kind: _urn(kind, F.col("row")) for kind in ("request", "response", "metadata")}
+    about_page = F.col("page_id"), F.col("url"), F.col("digest")
+    of = {kind: _urn(kind, *about_page) for kind in ("request", "response", "metadata")}
     host = F.coalesce(F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1), F.lit(""))
     target = F.coalesce(F.regexp_extract(uri, "^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("/"))
     request = F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("n_bytes").cast("string"), F.lit(CRLF * 2))
-    revisit = F.col("first").isNotNull()
+    revisit = F.col("first.page_id").isNotNull()
     field = lambda name, value: F.coalesce(
         F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
     about = F.concat(field("page-id", F.col("page_id")), field("payload-length", F.col("n_bytes")),
@@ -99,7 +101,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) ->
                  ("WARC-Concurrent-To", of["response"]), *common,
                  ("Content-Type", "application/http;msgtype=request")], request),
         _record([("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", of["response"]),
-                 ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("first.row")))),
+                 ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("first.page_id"), F.col("first.url"),
+                                                         F.col("digest")))),
                  ("WARC-Profile", F.when(revisit, PROFILE)), *common,
                  ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
                  ("Content-Type", "application/http;msgtype=response")],
