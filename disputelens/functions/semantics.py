@@ -7,7 +7,8 @@ conversion, lenient number parsing, NULL-skipping labels).
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,8 +79,8 @@ def minute_start(c: Column | str) -> Column:
 # -- numbers and text -------------------------------------------------------------
 
 def safe_number(c: Column | str) -> Column:
-    """Lenient text -> integer: rounds '12.5' to 13, NULL for malformed text."""
-    return col(c).try_cast("decimal(38,0)").cast("bigint")
+    """Lenient text -> integer: rounds '12.5' to 13, NULL for malformed text and beyond BIGINT."""
+    return col(c).try_cast("decimal(38,0)").try_cast("bigint")
 
 
 def labelled(prefix: str, *parts: Column | str) -> Column:
@@ -87,24 +88,9 @@ def labelled(prefix: str, *parts: Column | str) -> Column:
     return F.coalesce(F.concat(F.lit(prefix), *[col(p) for p in parts]), F.lit(""))
 
 
-def like_to_regex(pattern: str) -> str:
-    """LIKE pattern (``%`` any run, ``_`` one character) -> Java regex body."""
-    out = []
-    for ch in pattern:
-        out.append(".*" if ch == "%" else "." if ch == "_" else re.escape(ch))
-    return "".join(out)
-
-
 def ilike_any(c: Column | str, substrings) -> Column:
-    """OR of ``c ILIKE '%s%'`` over ``substrings``, in one pass.
-
-    ``x ILIKE p`` is ``lower(x) LIKE lower(p)``; ``'%s%'`` holds when the
-    regex of ``s`` is found anywhere in ``lower(x)`` ('_' matching any
-    character, newline included). One ``lower`` and one alternation regex per
-    row replace a chain of LIKE terms, each re-evaluating its input.
-    """
-    alts = "|".join(like_to_regex(s.lower()) for s in substrings)
-    return F.lower(col(c)).rlike(f"(?s){alts}")
+    """OR of ``c ILIKE '%s%'`` over ``substrings``."""
+    return reduce(or_, [col(c).ilike(f"%{s}%") for s in substrings])
 
 
 def money(c: Column | str) -> Column:

@@ -2,21 +2,21 @@
 
 Every shape here keeps an equality on a high-cardinality key so Spark can plan
 a hash or sort-merge join; none falls back to a nested loop or a cartesian
-product, and none compares all pairs inside a group (a user who owns a third
-of all rows would otherwise become one task doing quadratic work).
+product. ``interval_join`` and ``range_lookup`` compare the pairs of a key that
+lie in the same or neighbouring time buckets; where only a maximum is wanted,
+``running_max_within`` forms no pairs at all.
 
 Callers give both sides distinct column names; conditions use names only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disputelens.functions.semantics import epoch_seconds
-from disputelens.session import bounded_broadcast
 
 Keys = Sequence[tuple[str, str]]
 
@@ -77,73 +77,93 @@ def range_lookup(left: DataFrame, right: DataFrame, keys: Keys, right_ts: str,
 
 
 def either_key_join(left: DataFrame, right: DataFrame, keys: Keys, left_codes: Sequence[str],
-                    right_code: str, left_id: Sequence[str], *, collapse: bool = True) -> DataFrame:
+                    right_code: str, *, collapse: bool = True) -> DataFrame:
     """``left`` ⟕ ``right`` on ``keys`` and (``right_code`` = any of ``left_codes``).
 
     The distinct non-NULL codes of each left row are exploded and joined on
     equality, so the OR never reaches the join condition. A left row whose
     codes all miss would then appear once per code; ``collapse`` removes those
-    copies (one window over ``left_id``), and drops the unmatched copies of a
-    row that matched through another code. Pass ``collapse=False`` only when a
-    later keep-first over the same rows orders a match before a NULL match.
+    copies and drops the unmatched copies of a row that matched through another
+    code. It numbers the left rows for that, so equal left rows each stay. Pass
+    ``collapse=False`` only when a later keep-first over the same rows orders a
+    match before a NULL match.
     """
     codes = F.array_distinct(F.filter(F.array(*[F.col(c) for c in left_codes]), lambda x: x.isNotNull()))
-    l = left.withColumn("_code", F.explode_outer(codes))
+    l = left.withColumn("_row", F.monotonically_increasing_id()) if collapse else left
+    l = l.withColumn("_code", F.explode_outer(codes))
     r = right.withColumn("_hit", F.lit(1))
     out = l.join(r, _and(_eq(keys) + [F.col("_code") == F.col(right_code)]), "left")
     if collapse:
-        w = Window.partitionBy(*left_id)
+        w = Window.partitionBy("_row")
         out = (out.withColumn("_any", F.max(F.coalesce(F.col("_hit"), F.lit(0))).over(w))
                .withColumn("_n", F.row_number().over(w.orderBy(F.col("_code").asc_nulls_last())))
                .filter(F.col("_hit").isNotNull() | ((F.col("_any") == 0) & (F.col("_n") == 1)))
-               .drop("_any", "_n"))
+               .drop("_any", "_n", "_row"))
     return out.drop("_code", "_hit")
 
 
 def any_party_join(left: DataFrame, right: DataFrame, left_party: str, right_parties: Sequence[str],
-                   keys: Keys, how: str = "left") -> DataFrame:
+                   keys: Keys, how: str = "left", cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """``left`` ⟕ ``right`` on ``keys`` and ``left_party`` = any of ``right_parties``.
 
     Each right row is exploded into its distinct non-NULL parties, so a pair
     meets at most once and the join is a plain equi join on (party, keys).
+    ``cut`` may drop parties (rows, name of the party column) before the join.
     """
     parties = F.array_distinct(F.filter(F.array(*[F.col(c) for c in right_parties]), lambda x: x.isNotNull()))
     r = right.withColumn("_party", F.explode(parties))
+    r = cut(r, "_party") if cut else r
     out = left.join(r, _and([F.col(left_party) == F.col("_party")] + _eq(keys)), how)
     return out.drop("_party")
 
 
-def semi_join(df: DataFrame, keys_df: DataFrame, col: str, keys_col: str,
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def semi_join(df: DataFrame, keys_df: DataFrame, col: str, keys_col: str) -> DataFrame:
     """Rows of ``df`` whose ``col`` is in ``keys_df.keys_col`` (an IN subquery).
 
-    The key set is de-duplicated and broadcast when it has at most
-    ``max_broadcast_rows`` rows; a bigger set is shuffled like any join.
+    No hint: the planner broadcasts the distinct keys if their measured size
+    allows it, and shuffles both sides otherwise.
     """
-    ks = keys_df.select(F.col(keys_col).alias("_k")).distinct()
-    ks = bounded_broadcast(ks, max_broadcast_rows)
+    ks = keys_df.select(F.col(keys_col).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     return df.join(ks, F.col(col) == F.col("_k"), "left_semi")
 
 
-def reduce_to_keys(big: DataFrame, col: str, keys_df: DataFrame, keys_col: str,
-                   max_broadcast_rows: int = 2_000_000, known_small: bool | None = None) -> DataFrame:
-    """``big`` cut to rows whose ``col`` occurs in ``keys_df.keys_col``, when that is cheap.
+def running_max_within(points: DataFrame, events: DataFrame, key: str, ts: str, value: str,
+                       seconds: int, bucket_seconds: int = 3600) -> DataFrame:
+    """(key, ts, value): for each distinct (key, ts) of ``points`` the largest
+    ``value`` of the ``events`` with ts - ``seconds`` <= event ts <= ts (NULL without any).
 
-    Before a left join of a small left side to a big right side: if the
-    distinct keys of the small side fit a checked broadcast, the big side is
-    semi-joined map-side first, so only its matching rows reach the shuffle.
-    Otherwise ``big`` is returned unchanged and the join shuffles it as usual.
-    ``known_small`` skips the check when the caller has already bounded the
-    key set (True: broadcast, False: leave ``big`` alone).
+    No pair of a point and an event is ever formed. The range is cut at bucket
+    borders: whole buckets inside it need one maximum per bucket, and the two
+    buckets at its ends a running maximum in time order. ``seconds`` is a whole
+    number of buckets, and both inputs name their columns alike. A
+    hot key is spread over its buckets; the window over a key's buckets has one
+    row per bucket.
     """
-    ks = keys_df.select(F.col(keys_col).alias("_rk")).where(F.col("_rk").isNotNull()).distinct()
-    if known_small is None:
-        b = bounded_broadcast(ks, max_broadcast_rows)
-    else:
-        b = F.broadcast(ks) if known_small else ks
-    if b is ks:
-        return big
-    return big.join(b, F.col(col) == F.col("_rk"), "left_semi")
+    n = seconds // bucket_seconds
+    bucket = F.floor(_epoch(F.col(ts)) / F.lit(bucket_seconds))
+    p = points.select(key, ts).where(F.col(ts).isNotNull()).distinct().withColumn("_b", bucket)
+    e = events.select(key, ts, value).where(F.col(ts).isNotNull()).withColumn("_b", bucket)
+
+    # whole buckets strictly between the two ends
+    cells = (e.select(key, "_b", value).unionByName(p.select(key, "_b", F.lit(None).cast(e.schema[value].dataType).alias(value)))
+             .groupBy(key, "_b").agg(F.max(value).alias("_v")))
+    span = Window.partitionBy(key).orderBy("_b").rangeBetween(-(n - 1), -1)
+    middle = cells.select(key, "_b", F.max("_v").over(span).alias("_middle"))
+
+    def end(shift: int, frame) -> DataFrame:
+        """Largest value in the bucket of (ts - shift), on the frame's side of that time."""
+        at = F.timestamp_add("SECOND", F.lit(-shift), F.col(ts))
+        marks = p.select(key, F.col(ts).alias("_of"), at.alias(ts), F.lit(None).cast(e.schema[value].dataType).alias(value))
+        both = (marks.unionByName(e.select(key, F.lit(None).cast(p.schema[ts].dataType).alias("_of"), ts, value))
+                .withColumn("_b", bucket))
+        w = frame(Window.partitionBy(key, "_b").orderBy(ts))
+        return (both.withColumn("_v", F.max(value).over(w)).where(F.col("_of").isNotNull())
+                .select(key, F.col("_of").alias(ts), "_v"))
+
+    upto = end(0, lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).withColumnRenamed("_v", "_late")
+    since = end(seconds, lambda w: w.rangeBetween(Window.currentRow, Window.unboundedFollowing)).withColumnRenamed("_v", "_early")
+    return (p.join(middle, [key, "_b"], "left").join(upto, [key, ts], "left").join(since, [key, ts], "left")
+            .select(key, ts, F.greatest("_middle", "_late", "_early").alias(value)))
 
 
 def _and(conds: list[Column]) -> Column:

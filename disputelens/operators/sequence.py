@@ -4,78 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disputelens.functions.semantics import asc, desc
 from disputelens.operators.dedup import keep_first
-from disputelens.session import materialize
 
 
-MAX_GROUP_ROWS = 1_000_000
-
-
-def lead_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]],
-                  values: Sequence[str], out: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``out[i] = lead(values[i]) over (partition by keys order by order)``.
-
-    When the largest group has at most ``max_group_rows`` rows (one partial
-    aggregate finds out), a plain window is used: every task then holds a
-    bounded group. Otherwise ``lead_in_order_split`` spreads big groups.
-    """
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_group_rows:
-        w = Window.partitionBy(*keys).orderBy(*_sort(order))
-        for v, o in zip(values, out):
-            df = df.withColumn(o, F.lead(F.col(v)).over(w))
-        return df
-    return lead_in_order_split(df, keys, order, values, out)
-
-
-def _sort(order: Sequence[tuple[str, str]]):
+def _sort(order: Sequence[tuple[str, str]]) -> list[Column]:
     return [asc(c) if d == "asc" else desc(c) for c, d in order]
 
 
-def lead_in_order_split(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]],
-                        values: Sequence[str], out: Sequence[str]) -> DataFrame:
-    """``lead_in_order`` for groups of any size.
+def lead_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]], values: Sequence[str],
+                  out: Sequence[str], segment: Column) -> DataFrame:
+    """Add ``out[i] = lead(values[i]) over (partition by keys order by order)``, lazily.
 
     ``order`` is a list of (column, "asc" | "desc") with the dialect's NULL
-    placement and must be total within a group (end it with a unique column).
-    A plain window sends each group to one task, so one account owning a third
-    of the rows would be one task. Here the rows are range-partitioned on
-    (keys, order) instead, which splits a big group over many partitions:
-
-    1. range-partition and tag each row with its partition id; materialise,
-       so both uses below see the same split;
-    2. lead within each (partition, group) segment: a window whose groups are
-       bounded by the partition size;
-    3. the successor of a segment's last row is the first row of the group's
-       next segment: one first row per segment (keep-first), then a lead over
-       segments per group, whose groups hold at most one row per partition;
-    4. equi-join that back onto the segment tails.
+    placement, total within a group (end it with a unique column). ``segment`` is
+    a number that never falls along that order, such as the day of an ascending
+    time; rows without one come last. A group is then worked on segment by
+    segment, so an account with a third of all rows is as many tasks' work as it
+    has days:
+
+    1. lead within each (group, segment);
+    2. the successor of a segment's last row is the first row of the group's
+       next segment that has rows: one first row per segment (keep-first), then
+       a lead over a group's segments;
+    3. an equi join puts it onto the segments' last rows.
     """
     sort = _sort(order)
-    s = (df.repartitionByRange(*[asc(k) for k in keys], *sort)
-         .withColumn("_pid", F.spark_partition_id()))
-    s = materialize(s)
-
-    w = Window.partitionBy("_pid", *keys).orderBy(*sort)
-    s = s.withColumn("_seg_last", F.lead(F.lit(1)).over(w).isNull())
+    s = df.withColumn("_seg", F.coalesce(segment.cast("bigint"), F.lit(2**62)))
+    within = Window.partitionBy(*keys, "_seg").orderBy(*sort)
+    heads = keep_first(s.select("_seg", *dict.fromkeys([*keys, *[c for c, _ in order], *values])), [*keys, "_seg"], sort)
+    over = Window.partitionBy(*keys).orderBy("_seg")
+    following = heads.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"),
+                             *[F.lead(F.col(v)).over(over).alias(f"_f_{o}") for v, o in zip(values, out)])
+    s = s.withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
     for v, o in zip(values, out):
-        s = s.withColumn(o, F.lead(F.col(v)).over(w))
-
-    order_cols = [c for c, _ in order if c not in keys]
-    heads = keep_first(s.select("_pid", *keys, *dict.fromkeys(order_cols + list(values))),
-                       ["_pid", *keys], sort)
-    ws = Window.partitionBy(*keys).orderBy("_pid")
-    nxt = heads.select(*[F.col(k).alias(f"_hk_{k}") for k in keys], F.col("_pid").alias("_hpid"),
-                       *[F.lead(F.col(v)).over(ws).alias(f"_n_{o}") for v, o in zip(values, out)])
-
-    cond = F.col("_pid") == F.col("_hpid")
+        s = s.withColumn(o, F.lead(F.col(v)).over(within))
+    on = F.col("_last") & (F.col("_seg") == F.col("_k_seg"))
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
-    tails = s.filter(F.col("_seg_last")).join(nxt, cond, "left")
-    tails = tails.select(*[F.col(f"_n_{c}").alias(c) if c in out else F.col(c) for c in s.columns])
-    body = s.filter(~F.col("_seg_last"))
-    return body.unionByName(tails).drop("_pid", "_seg_last")
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = s.join(following, on, "left")
+    return joined.select(*df.columns, *[F.when(F.col("_last"), F.col(f"_f_{o}")).otherwise(F.col(o)).alias(o) for o in out])

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the 25 derived relations (same rules as ``sources.fixtures``).
+"""DuckDB SQL for the 24 derived relations (same rules as ``sources.fixtures``).
 
 ``with_relations(query, names)`` prefixes ``query`` with the CTEs it needs, in
 dependency order, so each oracle query is one self-contained statement over
@@ -77,9 +77,9 @@ FROM settled_ext""")
 
 rel("disputed_ext", ("settled_ext",), f"""
 SELECT pk, sk, qty, k,
-       u AS user_id, code AS authorization_code, code AS unique_transaction_id,
+       u + CASE WHEN k = 2 THEN 1 ELSE 0 END AS user_id, code AS authorization_code, code AS unique_transaction_id,
        transaction_cd AS transaction_code, transaction_timestamp,
-       {add('DAY', 'qty % 15 + k', 'transaction_timestamp')} AS dispute_created_at,
+       {add('DAY', 'qty % 15 + CASE WHEN k = 2 THEN 4000 ELSE k END', 'transaction_timestamp')} AS dispute_created_at,
        {pick(fx.DISPUTE_REASONS, 'disc % 4')} AS reason,
        {pick(fx.DISPUTE_RESOLUTIONS, 'pk % 3')} AS resolution,
        {pick(fx.DISPUTE_DECISIONS, 'qty % 4')} AS resolution_decision,
@@ -90,8 +90,8 @@ SELECT pk, sk, qty, k,
        'MERCHANT ' || CAST(sk % 40 AS VARCHAR) AS merchant_name,
        code // 10 AS user_dispute_claim_id,
        code * 10 + k AS user_dispute_claim_txn_id
-FROM settled_ext, (SELECT unnest([0, 1]) AS k) ks
-WHERE rf = 'R' AND (k = 0 OR qty % 5 = 0)""")
+FROM settled_ext, (SELECT unnest([0, 1, 2]) AS k) ks
+WHERE rf = 'R' AND (k = 0 OR k = 1 AND qty % 5 = 0 OR k = 2 AND qty % 5 = 1)""")
 
 rel("disputed_txn", ("disputed_ext",), """
 SELECT user_id, authorization_code, unique_transaction_id, transaction_code, transaction_timestamp,
@@ -235,20 +235,20 @@ SELECT claim AS id, {pick(fx.CLAIM_INTAKE, 'claim % 4')} AS intake_type FROM cla
 rel("dispute_contact", ("claims",), f"""
 SELECT claim AS dispute_id,
        CASE WHEN claim % 5 = 0 THEN 'Other' ELSE {lit(codes.CONTACT_CATEGORY_FILING)} END AS dispute_contact_category,
-       CASE WHEN claim % 3 = 0 THEN 'App>chat' ELSE 'ivr>agent' END AS interactions_str_seq,
-       {pick(fx.CONTACT_FLOWS, 'claim % 3')} AS contact_flow
-FROM claims""")
+       CASE WHEN (claim + m) % 3 = 0 THEN 'App>chat' ELSE 'ivr>agent' END AS interactions_str_seq,
+       {pick(fx.CONTACT_FLOWS, '(claim + m) % 3')} AS contact_flow
+FROM claims, (SELECT unnest([0, 1]) AS m) ms WHERE m = 0 OR claim % 4 = 0""")
 
 rel("user_session", (), f"""
 SELECT user_id, ts AS session_timestamp,
        'd' || CAST(event_id % 5 AS VARCHAR) AS device_id,
-       {pick(fx.DEVICE_MODELS, 'event_id % 3')} AS device_model,
+       {pick(fx.DEVICE_MODELS, '(event_id + m) % 3')} AS device_model,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'en_US' END AS locale,
        {pick(fx.TIMEZONES, 'event_id % 4')} AS timezone,
        {pick(fx.CARRIERS, 'event_id % 5')} AS network_carrier,
-       '10.0.' || CAST(user_id AS VARCHAR) || '.' || CAST(event_id % 8 AS VARCHAR) AS ip,
-       {pick(fx.PLATFORMS, 'event_id % 2')} AS platform
-FROM events WHERE event_type = 'view'""")
+       '10.0.' || CAST(user_id AS VARCHAR) || '.' || CAST((event_id + m) % 8 AS VARCHAR) AS ip,
+       {pick(fx.PLATFORMS, '(event_id + m) % 2')} AS platform
+FROM events, (SELECT unnest([0, 1]) AS m) ms WHERE event_type = 'view' AND (m = 0 OR event_id % 11 = 0)""")
 
 rel("ip_geo_map", (), """
 SELECT DISTINCT '10.0.' || CAST(user_id AS VARCHAR) || '.' || CAST(event_id % 8 AS VARCHAR) AS ip,
@@ -267,14 +267,16 @@ FROM orders""")
 
 rel("login_request", (), f"""
 SELECT user_id, 'd' || CAST(event_id % 5 AS VARCHAR) AS segment_device_id,
-       {add('SECOND', '-(event_id % 120) - 20', 'ts')} AS login_started_at,
-       CASE WHEN event_type = 'view' THEN {add('SECOND', '-(event_id % 120)', 'ts')} END AS login_success_at,
+       {add('SECOND', '-(event_id % (CASE WHEN m = 1 THEN 60 ELSE 120 END)) - 20 - m', 'ts')} AS login_started_at,
+       CASE WHEN event_type = 'view'
+            THEN {add('SECOND', '-(event_id % (CASE WHEN m = 1 THEN 60 ELSE 120 END))', 'ts')} END AS login_success_at,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE {pick(fx.TFA_METHODS, 'event_id % 2')} END AS tfa_method,
-       {pick(fx.TFA_DEPRECATED, 'event_id % 3')} AS tfa_method_deprecated,
+       {pick(fx.TFA_DEPRECATED, '(event_id + m) % 3')} AS tfa_method_deprecated,
        {pick(fx.PLATFORMS, 'event_id % 2')} AS platform,
        CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS login_success,
        CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS mfa_auth_success
-FROM events WHERE event_type IN ('view', 'error')""")
+FROM events, (SELECT unnest([0, 1]) AS m) ms
+WHERE event_type IN ('view', 'error') AND (m = 0 OR event_id % 5 = 0)""")
 
 _field = pick(fx.PROFILE_FIELDS, "CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1")
 rel("version_change", (), f"""
@@ -293,6 +295,7 @@ FROM orders""")
 rel("menu_tap", (), f"""
 SELECT CASE WHEN event_id % 7 = 0 THEN 'anon-' || CAST(event_id AS VARCHAR)
             WHEN event_id % 7 = 1 THEN CAST(user_id AS VARCHAR) || '.4'
+            WHEN event_id % 7 = 2 THEN '99999999999999999999'
             ELSE CAST(user_id AS VARCHAR) END AS user_id,
        ts AS original_timestamp,
        'd' || CAST(event_id % 5 AS VARCHAR) AS context_device_id,
@@ -319,5 +322,5 @@ def _order(names) -> list[str]:
 
 def with_relations(query: str, names) -> str:
     """``WITH <relations and their dependencies> <query>``."""
-    ctes = ",\n".join(f"{n} AS ({RELATIONS[n][1].strip()})" for n in _order(names))
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({RELATIONS[n][1].strip()})" for n in _order(names))
     return f"WITH {ctes}\n{query.strip()}"

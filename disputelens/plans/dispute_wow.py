@@ -24,9 +24,9 @@ from disputelens.functions.mappings import (
     settled_merchant_state, tenure_bucket,
 )
 from disputelens.functions.semantics import month_diff, week_start
-from disputelens.operators.joins import interval_join
+from disputelens.operators.joins import running_max_within
 from disputelens.operators.topn import rank_groups, top_label
-from disputelens.session import materialize
+from disputelens.session import materialized
 
 # label specs: (value column, rank column, label column, top n)
 LABELS = (
@@ -119,39 +119,41 @@ def add_top_labels(base: DataFrame, n_mcc: int, n_merchant: int, n_state: int) -
     return out
 
 
-def login_scores(base: DataFrame, alerts: DataFrame, day1: dt.date, day2: dt.date) -> DataFrame:
+def alerts_in_reach(alerts: DataFrame, day1: dt.date, day2: dt.date) -> DataFrame:
+    """Alerts in [day1 - 7 d, day2 + 1 d): no other can match a transaction of the window."""
+    lo = dt.datetime.combine(day1 - dt.timedelta(days=7), dt.time())
+    hi = dt.datetime.combine(day2 + dt.timedelta(days=1), dt.time())
+    return alerts.filter((F.col("session_timestamp") >= F.lit(str(lo)).cast("timestamp_ntz"))
+                         & (F.col("session_timestamp") < F.lit(str(hi)).cast("timestamp_ntz")))
+
+
+def login_scores(base: DataFrame, alerts: DataFrame) -> DataFrame:
     """max(score > 0) of alerts with txn_ts - 7 d <= session_ts <= txn_ts, per (user, code).
 
-    Alerts outside [day1 - 7 d, day2 + 1 d) can match no transaction of the
-    window, so that range is applied to the alert scan first. The alerts (far
-    fewer than transactions) are the side copied into the 8 day buckets their
-    7-day reach covers; each transaction row meets them on (user, day) once,
-    and the max is taken with a partial aggregate before the shuffle.
+    The maximum comes from maxima per hour and running maxima at the two ends, so
+    an account with very many transactions and alerts is never paired up.
     """
-    lo = dt.datetime.combine(day1 - dt.timedelta(days=7), dt.time())
-    hi = dt.datetime.combine(day2 + dt.timedelta(days=1), dt.time())
-    al = alerts.filter((F.col("score") > 0)
-                       & (F.col("session_timestamp") >= F.lit(str(lo)).cast("timestamp_ntz"))
-                       & (F.col("session_timestamp") < F.lit(str(hi)).cast("timestamp_ntz")))
-    al = al.select(F.col("user_id").alias("b_user_id"), F.col("session_timestamp").alias("b_ts"),
-                   F.col("score").alias("b_score"))
-    txns = base.select("user_id", "authorization_code", "transaction_timestamp")
-    s = F.col("b_ts")
-    j = interval_join(txns, al, [("user_id", "b_user_id")], "transaction_timestamp",
-                      s, F.timestamp_add("DAY", F.lit(7), s),
-                      lo_inclusive=True, hi_inclusive=True, bucket_seconds=86400)
-    return j.groupBy("user_id", "authorization_code").agg(F.max("b_score").alias("score"))
+    ts = "transaction_timestamp"
+    txns = base.select("user_id", "authorization_code", ts).distinct()
+    al = alerts.filter(F.col("score") > 0).select("user_id", F.col("session_timestamp").alias(ts), "score")
+    best = running_max_within(txns, al, "user_id", ts, "score", seconds=7 * 86400)
+    return (txns.join(best, ["user_id", ts], "left").groupBy("user_id", "authorization_code")
+            .agg(F.max("score").alias("score")))
 
 
 def dispute_wow_detail(settled: DataFrame, disputes: DataFrame, auth: DataFrame, members: DataFrame,
                        alerts: DataFrame, day1: dt.date, day2: dt.date, dispute_win: int,
-                       as_of: dt.date, n_mcc: int = 9, n_merchant: int = 20, n_state: int = 9,
-                       materialize_base: bool = True) -> DataFrame:
+                       as_of: dt.date, n_mcc: int = 9, n_merchant: int = 20, n_state: int = 9) -> DataFrame:
+    """The report's rows, lazily. ``detail_of`` takes a base that was written first."""
     base = detail_base(settled, disputes, auth, members, day1, day2, dispute_win, as_of)
-    if materialize_base:
-        base = materialize(base)
+    return detail_of(base, alerts, day1, day2, n_mcc, n_merchant, n_state)
+
+
+def detail_of(base: DataFrame, alerts: DataFrame, day1: dt.date, day2: dt.date,
+              n_mcc: int = 9, n_merchant: int = 20, n_state: int = 9) -> DataFrame:
+    """Labels and login scores on a base that is read several times."""
     t2 = add_top_labels(base, n_mcc, n_merchant, n_state)
-    t3 = (login_scores(base, alerts, day1, day2)
+    t3 = (login_scores(base, alerts_in_reach(alerts, day1, day2))
           .select(F.col("user_id").alias("s_user_id"), F.col("authorization_code").alias("s_code"), "score"))
     out = t2.join(t3, (F.col("user_id") == F.col("s_user_id")) & (F.col("authorization_code") == F.col("s_code")),
                   "left")
@@ -185,10 +187,12 @@ def run_dispute_wow(spark, sources, out_dir: str, day1: dt.date, day2: dt.date,
     whole on each run. The summary is computed from the written detail, so the
     detail's joins run once.
     """
-    as_of = as_of or dt.date.today()
-    detail = dispute_wow_detail(sources.settled_txn, sources.disputed_txn, sources.auth_event,
-                                sources.dim_member, sources.login_alert, day1, day2, dispute_win, as_of)
+    as_of = as_of or spark.sql("SELECT current_date()").first()[0]
     detail_path, summary_path = f"{out_dir}/dispute_wow_detail", f"{out_dir}/dispute_wow_summary"
-    detail.write.mode("overwrite").partitionBy("txn_week").parquet(detail_path)
+    with materialized(detail_base(sources.settled_txn, sources.disputed_txn, sources.auth_event, sources.dim_member,
+                                  day1, day2, dispute_win, as_of)) as base:
+        # a week's rows meet in a few files of even size
+        (detail_of(base, sources.login_alert, day1, day2).hint("rebalance", "txn_week")
+         .write.mode("overwrite").partitionBy("txn_week").parquet(detail_path))
     summary = dispute_wow_summary(spark.read.parquet(detail_path))
     summary.write.mode("overwrite").partitionBy("txn_week").parquet(summary_path)

@@ -1,7 +1,7 @@
 """Account history: one time-ordered timeline per account from nine feeds.
 
-Every feed is cut to the account set *first* (a semi join, broadcast when the
-set is small), then joined to its context tables, de-duplicated where the
+Every feed and every context table with an account column is cut to the account
+set *first* (a semi join), then joined to its context tables, de-duplicated where the
 analysis does so, and cast to the 13-column timeline schema:
 
     user_id, timestamp, id, merchant_name, type, description, card_type,
@@ -30,9 +30,9 @@ from disputelens.functions.semantics import (
     asc, desc, ilike_any, labelled, local_time, minute_start, safe_number, second_diff,
 )
 from disputelens.operators.dedup import keep_first
-from disputelens.operators.joins import any_party_join, either_key_join, interval_join
+from disputelens.operators.joins import any_party_join, either_key_join, interval_join, semi_join
 from disputelens.operators.sequence import lead_in_order
-from disputelens.session import bounded_broadcast, materialize
+from disputelens.session import materialized
 
 TIMELINE = (
     ("user_id", "bigint"), ("timestamp", "timestamp_ntz"), ("id", "string"), ("merchant_name", "string"),
@@ -41,9 +41,6 @@ TIMELINE = (
     ("amt", "decimal(18,2)"), ("is_disputed", "string"),
 )
 NA = "n/a"
-MAX_BROADCAST_USERS = 2_000_000
-
-
 def timeline(df: DataFrame, **cols: Column | str) -> DataFrame:
     """Project ``df`` onto the timeline schema; missing columns become 'n/a'."""
     out = []
@@ -59,7 +56,6 @@ class AccountSet:
     """The accounts to pull (a one-column ``user_id`` BIGINT relation)."""
 
     users: DataFrame
-    small: bool
 
     @classmethod
     def of(cls, users: DataFrame, col: str = "user_id") -> "AccountSet":
@@ -67,8 +63,7 @@ class AccountSet:
         source's text user set; malformed text matches nothing)."""
         u = (users.select(safe_number(F.col(col).cast("string")).alias("_uid"))
              .where(F.col("_uid").isNotNull()).distinct())
-        b = bounded_broadcast(u, MAX_BROADCAST_USERS)
-        return cls(b, b is not u)
+        return cls(u)
 
     @classmethod
     def of_ids(cls, spark, ids) -> "AccountSet":
@@ -76,13 +71,11 @@ class AccountSet:
         return cls.of(spark.createDataFrame([(int(i),) for i in ids], "user_id bigint"))
 
     def keep(self, df: DataFrame, col: Column | str) -> DataFrame:
+        """Rows of the accounts. Every table with an account column is cut so
+        before its joins; Spark chooses how from the set's measured size."""
         c = F.col(col) if isinstance(col, str) else col
         return df.join(self.users, c == F.col("_uid"), "left_semi")
 
-    def narrow(self, df: DataFrame, col: str) -> DataFrame:
-        """Cut a context table to the accounts when that costs no shuffle."""
-        return self.keep(df, col) if self.small else df
-
 
 class HistorySources:
     """The 20 relations the feeds read, resolved lazily by attribute.
@@ -117,7 +110,7 @@ class HistorySources:
 
 
 def _disputes(src: HistorySources, acc: AccountSet, prefix: str = "d_") -> DataFrame:
-    d = acc.narrow(src.disputed_txn, "user_id")
+    d = acc.keep(src.disputed_txn, "user_id")
     return d.select(F.col("user_id").alias(f"{prefix}user_id"),
                     F.col("authorization_code").alias(f"{prefix}authorization_code"),
                     F.col("unique_transaction_id").alias(f"{prefix}unique_transaction_id"),
@@ -138,11 +131,12 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
         F.col("receiver_id").alias("pf_receiver_id"), F.abs("amount").alias("pf_amount"),
         minute_start("created_at").alias("pf_minute"), transfer_kind("type_code").alias("pf_txn_type"))
     j = any_party_join(t, pf, "user_id", ["pf_sender_id", "pf_receiver_id"],
-                       [("_minute", "pf_minute"), ("_abs_amt", "pf_amount")])
+                       [("_minute", "pf_minute"), ("_abs_amt", "pf_amount")],
+                       cut=lambda parties, party: acc.keep(parties, party))
     d = _disputes(src, acc)
     j = j.join(d, (F.col("user_id") == F.col("d_user_id"))
                & (F.col("authorization_code") == F.col("d_authorization_code")), "left")
-    dc = acc.narrow(src.card, "user_id").select(F.col("card_id").alias("dc_card_id"),
+    dc = acc.keep(src.card, "user_id").select(F.col("card_id").alias("dc_card_id"),
                                                  F.col("user_id").alias("dc_user_id"),
                                                  F.col("card_number").alias("dc_card_number"))
     j = j.join(dc, (F.col("card_id").cast("string") == F.col("dc_card_id"))
@@ -177,12 +171,12 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     """
     rta = acc.keep(src.auth_event, "user_id").filter((F.col("original_auth_id") == 0) & (F.col("final_amt") >= 0))
     rta = rta.withColumn("_last4", F.right(F.col("pan"), F.lit(4)))
-    dual = (acc.narrow(src.auth_event, "user_id").filter(F.col("original_auth_id") != 0)
+    dual = (acc.keep(src.auth_event, "user_id").filter(F.col("original_auth_id") != 0)
             .select(F.col("user_id").alias("dual_user_id"), F.col("original_auth_id").alias("dual_original_auth_id"),
                     F.col("auth_id").alias("dual_auth_id"), F.col("auth_event_id").alias("dual_auth_event_id")))
     j = rta.join(dual, (F.col("user_id") == F.col("dual_user_id"))
                  & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
-    rta2 = (acc.narrow(src.auth_decision, "user_id")
+    rta2 = (acc.keep(src.auth_decision, "user_id")
             .filter((F.col("is_shadow_mode") == "false") & (F.col("policy_result") == "criteria_met")
                     & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
                     & F.col("decision_outcome").isin(*codes.ACTED_RULE_OUTCOMES))
@@ -191,21 +185,22 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
                     F.col("decision_outcome").alias("rta2_decision_outcome")))
     j = j.join(rta2, (F.col("user_id") == F.col("rta2_user_id")) & (F.col("auth_id") == F.col("rta2_auth_id")),
                "left")
-    o = acc.narrow(src.fraud_override, "user_id").select(
+    o = acc.keep(src.fraud_override, "user_id").select(
         F.col("user_id").alias("o_user_id"), F.col("realtime_auth_id").alias("o_realtime_auth_id"),
         F.col("decision_id").alias("o_decision_id"), F.col("is_suppressed").alias("o_is_suppressed"),
         F.col("response_signal").alias("o_response_signal"),
         F.col("response_received_at").alias("o_response_received_at"))
     j = j.join(o, (F.col("user_id") == F.col("o_user_id")) & (F.col("auth_id") == F.col("o_realtime_auth_id")),
                "left")
-    dc = acc.narrow(src.card, "user_id").select(
-        F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"),
-        F.col("card_type").alias("dc_card_type"), F.col("card_id").alias("dc_card_id"))
+    # the keep-first takes the least card id: only that card of an account and its last digits can be shown
+    dc = (acc.keep(src.card, "user_id")
+          .groupBy(F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"))
+          .agg(F.min("card_id").alias("dc_card_id"), F.min_by("card_type", "card_id").alias("dc_card_type")))
     j = j.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")), "left")
     # collapse=False: the keep-first below orders a real dispute match ahead of
     # the unmatched copy of the same row (dispute keys sort before rule keys).
     j = either_key_join(j, _disputes(src, acc), [("user_id", "d_user_id")], ["auth_id", "dual_auth_id"],
-                        "d_authorization_code", ["auth_event_id"], collapse=False)
+                        "d_authorization_code", collapse=False)
     return keep_first(j, ["auth_event_id"], [
         asc("o_response_received_at"), asc("dc_card_id"), asc("dual_auth_event_id"),
         asc("d_unique_transaction_id"), asc("d_claim_txn_id"), asc("rta2_policy_name"),
@@ -237,7 +232,7 @@ def hist_auths(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ
 
 def hist_force_posts(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ) -> DataFrame:
     ev = acc.keep(src.alert_auth_event, "user_id").filter(F.col("type") == "settle")
-    rta = acc.narrow(src.auth_event, "user_id").select(F.col("user_id").alias("rta_user_id"),
+    rta = acc.keep(src.auth_event, "user_id").select(F.col("user_id").alias("rta_user_id"),
                                                         F.col("auth_id").alias("rta_auth_id"))
     ev = ev.join(rta, (F.col("user_id") == F.col("rta_user_id")) & (F.col("auth_id") == F.col("rta_auth_id")),
                  "left_anti")
@@ -263,7 +258,10 @@ def hist_force_posts(src: HistorySources, acc: AccountSet, tz: str = codes.TIMEL
 # -- d: disputes ---------------------------------------------------------------------
 
 def hist_disputes_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
-    dt = acc.keep(src.disputed_txn, "user_id")
+    # a transaction's latest row may be another account's: cut to the transactions the
+    # accounts touch, take the latest row over all accounts, and choose accounts last
+    touched = acc.keep(src.disputed_txn, "user_id").select("unique_transaction_id")
+    dt = semi_join(src.disputed_txn, touched, "unique_transaction_id", "unique_transaction_id")
     d = src.inspector_dispute.select(F.col("id").alias("r_inspector_dispute_id"),
                                      F.col("claim_ext_id").cast("string").alias("d_claim_ext_id"),
                                      F.col("intake_type").alias("d_intake_type"))
@@ -283,9 +281,11 @@ def hist_disputes_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
                                  F.col("transaction_ext_id").alias("t_ext_id"), "investigation_resolution")
     j = j.join(t, (F.col("r_inspector_dispute_id") == F.col("t_dispute_id")) & (F.col("_ext_id") == F.col("t_ext_id")),
                "left")
-    return keep_first(j, ["unique_transaction_id"], [
+    latest = keep_first(j, ["unique_transaction_id"], [
         desc("dispute_created_at"), desc("user_dispute_claim_txn_id"), asc("r_inspector_dispute_id"),
+        asc("dc_intake_type"), asc("mc_interactions_str_seq"), asc("mc_contact_flow"),
         asc("investigation_resolution")])
+    return acc.keep(latest, "user_id")
 
 
 def hist_disputes(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ) -> DataFrame:
@@ -316,12 +316,12 @@ def hist_logins_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
          .join(loc, F.col("loc_geoname_id") == F.col("map_geoname_id"), "left"))
     # Only the highest alert score of a (user, device) survives the dedup, so
     # the alerts are reduced to it before the join instead of fanning out.
-    atom = (acc.narrow(src.login_alert, "user_id").filter(F.col("score") != 0)
+    atom = (acc.keep(src.login_alert, "user_id").filter(F.col("score") != 0)
             .groupBy(F.col("user_id").alias("atom_user_id"), F.col("device_id").alias("atom_device_id"))
             .agg(F.max("score").alias("atom_score")))
     j = j.join(atom, (F.col("user_id") == F.col("atom_user_id")) & (F.col("device_id") == F.col("atom_device_id")),
                "left")
-    lr = acc.narrow(src.login_request, "user_id").select(
+    lr = acc.keep(src.login_request, "user_id").select(
         F.col("user_id").alias("lr_user_id"), F.col("segment_device_id").alias("lr_device_id"),
         F.col("login_success_at").alias("lr_login_success_at"),
         F.col("login_started_at").alias("lr_login_started_at"),
@@ -332,7 +332,8 @@ def hist_logins_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
                       lo_inclusive=True, hi_inclusive=True, bucket_seconds=60)
     return keep_first(j, ["user_id", "session_timestamp", "device_id"], [
         desc("lr_login_success_at"), desc("lr_login_started_at"), asc("lr_tfa_method_deprecated"),
-        asc("loc_time_zone")])
+        asc("loc_time_zone"), asc("ip"), asc("device_model"), asc("platform"), asc("locale"), asc("timezone"),
+        asc("network_carrier")])
 
 
 def login_description(score, device_model, locale, timezone, carrier, ip, ip_zone, platform, tfa,
@@ -429,8 +430,9 @@ def hist_card_replacements(src: HistorySources, acc: AccountSet) -> DataFrame:
     computes it without gathering an account's cards into one task.
     """
     cards = acc.keep(src.card, "user_id").filter(F.col("shipped_dt").isNotNull())
+    day = F.datediff(F.to_date("card_created_ts"), F.lit("1970-01-01").cast("date"))
     cards = lead_in_order(cards, ["user_id", "card_type"], [("card_created_ts", "asc"), ("card_id", "asc")],
-                          ["card_created_ts", "card_number"], ["_next_ts", "_next_number"])
+                          ["card_created_ts", "card_number"], ["_next_ts", "_next_number"], segment=day)
     cards = cards.filter(F.col("_next_ts").isNotNull())
     return timeline(
         cards,
@@ -471,10 +473,23 @@ def account_history(src: HistorySources, users: DataFrame | AccountSet, tz: str
                     user_col: str = "user_id") -> DataFrame:
     """All nine feeds for the accounts in ``users``, ordered by account and time.
 
-    The sort range-partitions on (account, time) so a hot account is split,
-    but its sampling pass would run every feed's last stage a second time:
-    the union is written once and the sort reads that.
+    Lazy. The sort range-partitions on (account, time), so a hot account is split.
+    """
+    acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
+    return account_timeline(src, acc, tz).orderBy(*timeline_order())
+
+
+def timeline_order() -> list[Column]:
+    return [asc("user_id"), asc("timestamp"), asc("type"), asc("id")]
+
+
+def write_account_history(src: HistorySources, users: DataFrame | AccountSet, path: str, tz: str = codes.TIMELINE_TZ,
+                          user_col: str = "user_id") -> None:
+    """Write the timeline under ``path``: files ranged by (account, time) and sorted inside.
+
+    The nine feeds run once, into a table of the checkpoint folder that is deleted
+    when the ranged copy is written.
     """
     acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
-    timeline_df = materialize(account_timeline(src, acc, tz))
-    return timeline_df.orderBy(asc("user_id"), asc("timestamp"), asc("type"), asc("id"))
+    with materialized(account_timeline(src, acc, tz)) as rows:
+        rows.repartitionByRange(*timeline_order()).sortWithinPartitions(*timeline_order()).write.mode("overwrite").parquet(path)

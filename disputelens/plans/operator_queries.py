@@ -17,9 +17,9 @@ from disputelens.functions.semantics import (
     second_diff, week_start,
 )
 from disputelens.operators.dedup import keep_first
-from disputelens.operators.joins import any_party_join, interval_join, range_lookup, semi_join
+from disputelens.operators.joins import any_party_join, interval_join, semi_join
 from disputelens.plans import params as P
-from disputelens.plans.dispute_wow import dispute_wow_detail
+from disputelens.plans.dispute_wow import dispute_wow_detail, login_scores
 from disputelens.plans.history import HistorySources, hist_auths_joined, hist_disputes_joined
 from disputelens.plans.risk_cut import first_per_event, join_dispute, join_dual, join_override
 from disputelens.plans.weekly_cases import last_complete_week, ntz
@@ -44,7 +44,7 @@ def first_messages(fx: Fixtures) -> DataFrame:
 
 @op("join_dual_message")
 def join_dual_message(fx: Fixtures) -> DataFrame:
-    return join_dual(first_messages(fx), fx.auth_event).select(
+    return join_dual(fx.auth_event, fx.auth_event).select(
         "auth_event_id", "auth_id", "dual_auth_id", "dual_auth_event_id")
 
 
@@ -56,8 +56,7 @@ def join_override_1h(fx: Fixtures) -> DataFrame:
 
 @op("join_dispute_either_code")
 def join_dispute_either_code(fx: Fixtures) -> DataFrame:
-    j = join_dispute(join_dual(fx.auth_event, fx.auth_event), fx.disputed_txn,
-                     ["auth_event_id", "dual_auth_event_id"], collapse=True)
+    j = join_dispute(join_dual(fx.auth_event, fx.auth_event), fx.disputed_txn, collapse=True)
     return j.select("auth_event_id", "dual_auth_event_id",
                     C("dt_unique_transaction_id").alias("unique_transaction_id"),
                     C("dt_user_dispute_claim_txn_id").alias("user_dispute_claim_txn_id"),
@@ -146,19 +145,13 @@ def join_login_60s(fx: Fixtures) -> DataFrame:
 
 @op("join_alert_7d")
 def join_alert_7d(fx: Fixtures) -> DataFrame:
-    al = fx.login_alert.filter(C("score") > 0).select(C("user_id").alias("b_user_id"),
-                                                      C("session_timestamp").alias("b_ts"),
-                                                      C("score").alias("b_score"))
-    txns = fx.settled_txn.select("user_id", "authorization_code", "transaction_timestamp")
-    ts = C("transaction_timestamp")
-    j = range_lookup(txns, al, [("user_id", "b_user_id")], "b_ts", F.timestamp_add("DAY", F.lit(-7), ts), ts,
-                     lo_inclusive=True, hi_inclusive=True, bucket_seconds=86400)
-    return j.groupBy("user_id", "authorization_code").agg(F.max("b_score").alias("score"))
+    return login_scores(fx.settled_txn, fx.login_alert)
 
 
 @op("semi_join_users")
 def semi_join_users(fx: Fixtures) -> DataFrame:
-    return semi_join(fx.posted_txn, fx.member, "user_id", "id").select("authorization_code", "user_id")
+    some = fx.member.filter(C("id") < P.SUBSET_BELOW)
+    return semi_join(fx.posted_txn, some, "user_id", "id").select("authorization_code", "user_id")
 
 
 @op("user_set")
@@ -220,7 +213,7 @@ def filter_ilike_any(fx: Fixtures) -> DataFrame:
 def dedup_auth_event(fx: Fixtures) -> DataFrame:
     j = join_dual(fx.auth_event, fx.auth_event)
     j = join_override(j, fx.member_override)
-    j = join_dispute(j, fx.disputed_txn, ["auth_event_id", "dual_auth_event_id"], collapse=False)
+    j = join_dispute(j, fx.disputed_txn, collapse=False)
     j = first_per_event(j)
     return j.select("auth_event_id", "dual_auth_id", C("o2_timestamp").alias("override_ts"),
                     C("dt_unique_transaction_id").alias("unique_transaction_id"),
@@ -256,7 +249,7 @@ def dedup_login(fx: Fixtures) -> DataFrame:
 def label_top_n(fx: Fixtures) -> DataFrame:
     day1, day2 = P.wow_window(P.AS_OF)
     d = dispute_wow_detail(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member, fx.login_alert,
-                           day1, day2, P.DISPUTE_WIN, P.AS_OF, P.TOP_MCC, P.TOP_MERCHANT, P.TOP_STATE)
+                           day1, day2, P.DISPUTE_WIN, P.AS_OF, P.LABEL_TOP, P.LABEL_TOP, P.LABEL_TOP)
     return d.select("authorization_code", "top_mcc_cd", "top_merchant_name_raw", "top_merchant_state_cd")
 
 

@@ -15,6 +15,10 @@ TOP_CASES = 10
 TOP_MCC = 9
 TOP_MERCHANT = 20
 TOP_STATE = 9
+# Accounts of the selective history pull: members with an id below this.
+SUBSET_BELOW = 150
+# Ranks kept by the label_top_n query: fewer than there are groups, so that some fall out.
+LABEL_TOP = 3
 
 
 def wow_window(as_of: dt.date) -> tuple[dt.date, dt.date]:

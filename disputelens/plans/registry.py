@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disputelens.plans import params as P
-from disputelens.plans.dispute_wow import dispute_wow_detail, dispute_wow_summary, wow_window_cols
+from disputelens.plans.dispute_wow import (
+    detail_base, detail_of, dispute_wow_summary, run_dispute_wow, wow_window_cols,
+)
 from disputelens.plans.operator_queries import OPS
 from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
+from disputelens.session import materialize, scratch_folder
 from disputelens.sources.fixtures import Fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +67,17 @@ def q_risk_cut_check(fx: Fixtures) -> DataFrame:
 
 
 def _wow_detail(fx: Fixtures) -> DataFrame:
+    """The detail on a base written first, as the procedure does (it is read several times)."""
     day1, day2 = P.wow_window(P.AS_OF)
-    return dispute_wow_detail(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member, fx.login_alert,
-                              day1, day2, P.DISPUTE_WIN, P.AS_OF, P.TOP_MCC, P.TOP_MERCHANT, P.TOP_STATE)
+    base = materialize(detail_base(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member,
+                                   day1, day2, P.DISPUTE_WIN, P.AS_OF))
+    return detail_of(base, fx.login_alert, day1, day2, P.TOP_MCC, P.TOP_MERCHANT, P.TOP_STATE)
+
+
+@register("risk_cut_stored_check")
+def q_risk_cut_stored_check(fx: Fixtures) -> DataFrame:
+    """The check of a cut that was stored as a table."""
+    return risk_cut_check(materialize(_risk_cut(fx)))
 
 
 @register("dispute_wow_detail")
@@ -79,6 +90,16 @@ def q_dispute_wow_summary(fx: Fixtures) -> DataFrame:
     return dispute_wow_summary(_wow_detail(fx))
 
 
+@register("dispute_wow_run")
+def q_dispute_wow_run(fx: Fixtures) -> DataFrame:
+    """The scheduled procedure: write the detail, read it back, write the summary; the written summary."""
+    spark = fx.src.spark
+    day1, day2 = P.wow_window(P.AS_OF)
+    out = scratch_folder(spark, "wow-run")
+    run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
+    return spark.read.parquet(f"{out}/dispute_wow_summary")
+
+
 @register("wow_window")
 def q_wow_window(fx: Fixtures) -> DataFrame:
     """The report window for every settled date taken as a run date."""
@@ -90,7 +111,7 @@ def q_wow_window(fx: Fixtures) -> DataFrame:
 # --- account history: the account set is every member ----------------------------
 
 def all_members(fx: Fixtures) -> AccountSet:
-    """Every member as the account set; its size check runs once per relation set."""
+    """Every member as the account set."""
     acc = fx.__dict__.get("_all_members")
     if acc is None:
         acc = fx.__dict__["_all_members"] = AccountSet.of(fx.member, "id")
@@ -102,6 +123,14 @@ def q_account_history(fx: Fixtures) -> DataFrame:
     return account_history(HistorySources.from_fixtures(fx), all_members(fx))
 
 
+@register("account_history_subset")
+def q_account_history_subset(fx: Fixtures) -> DataFrame:
+    """The pull of a few accounts, given as text ids of which one is malformed."""
+    ids = fx.member.filter(F.col("id") < P.SUBSET_BELOW).select(F.col("id").cast("string").alias("user_id"))
+    ids = ids.union(ids.limit(1).select(F.lit("not-an-id").alias("user_id")))
+    return account_history(HistorySources.from_fixtures(fx), ids)
+
+
 def _feed(fn):
     def run(fx: Fixtures) -> DataFrame:
         return fn(HistorySources.from_fixtures(fx), all_members(fx))

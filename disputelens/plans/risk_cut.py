@@ -72,12 +72,12 @@ DISPUTE_COLUMNS = ("unique_transaction_id", "user_dispute_claim_txn_id", "disput
                    "resolution_decision", "reason", "resolution")
 
 
-def join_dispute(df: DataFrame, disputes: DataFrame, left_id, *, collapse: bool = True) -> DataFrame:
+def join_dispute(df: DataFrame, disputes: DataFrame, *, collapse: bool = True) -> DataFrame:
     d = disputes.select(F.col("user_id").alias("dt_user_id"),
                         F.col("authorization_code").alias("dt_authorization_code"),
                         *[F.col(c).alias(f"dt_{c}") for c in DISPUTE_COLUMNS])
     return either_key_join(df, d, [("user_id", "dt_user_id")], ["auth_id", "dual_auth_id"],
-                           "dt_authorization_code", left_id, collapse=collapse).drop("dt_user_id")
+                           "dt_authorization_code", collapse=collapse).drop("dt_user_id")
 
 
 def first_per_event(j: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def risk_score_cut(auth: DataFrame, overrides: DataFrame, disputes: DataFrame,
     j = join_override(j, overrides)
     # collapse=False: the keep-first below orders a real dispute match ahead of
     # the unmatched copy of the same (event, follow-up, override) row.
-    j = join_dispute(j, disputes, ["auth_event_id", "dual_auth_event_id"], collapse=False)
+    j = join_dispute(j, disputes, collapse=False)
     j = first_per_event(j)
     matched = F.col("dt_unique_transaction_id").isNotNull()
     flags = dispute_flags(matched, "dt_reason", "dt_resolution", "dt_resolution_decision")

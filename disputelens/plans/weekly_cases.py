@@ -17,7 +17,7 @@ from disputelens.functions import codes
 from disputelens.functions.mappings import inspector_ext_id, txn_family
 from disputelens.functions.semantics import asc, desc, week_start
 from disputelens.operators.dedup import keep_first
-from disputelens.operators.joins import reduce_to_keys
+from disputelens.operators.joins import semi_join
 from disputelens.operators.topn import top_k
 
 
@@ -32,29 +32,19 @@ def last_complete_week(as_of: dt.date) -> tuple[dt.date, dt.date]:
     return monday - dt.timedelta(days=7), monday
 
 
-MAX_WEEK_KEYS = 2_000_000
-
-
 def week_disputes(disputes: DataFrame, as_of: dt.date) -> DataFrame:
     lo, hi = last_complete_week(as_of)
     return disputes.filter((F.col("dispute_created_at") >= ntz(lo)) & (F.col("dispute_created_at") < ntz(hi))
                            & F.col("transaction_code").isin(*codes.WEEKLY_CASE_CODES))
 
 
-def week_is_small(disputes: DataFrame, as_of: dt.date) -> bool:
-    """The week's dispute rows bound every key set the job derives from them."""
-    return week_disputes(disputes, as_of).limit(MAX_WEEK_KEYS + 1).count() <= MAX_WEEK_KEYS
-
-
-def weekly_case_rows(disputes: DataFrame, insp_disputes: DataFrame, as_of: dt.date,
-                     small: bool | None = None) -> DataFrame:
+def weekly_case_rows(disputes: DataFrame, insp_disputes: DataFrame, as_of: dt.date) -> DataFrame:
     """Disputes of the last complete week, one (latest) row per transaction."""
     d = week_disputes(disputes, as_of)
     i = insp_disputes.select(F.col("id").alias("r_inspector_dispute_id"),
                              F.col("claim_ext_id").cast("string").alias("_claim_ext_id"))
     # one week of disputes against all inspector cases: cut the cases first
-    i = reduce_to_keys(i, "_claim_ext_id", d.select(d.user_dispute_claim_id.cast("string").alias("_c")), "_c",
-                       MAX_WEEK_KEYS, known_small=small)
+    i = semi_join(i, d.select(d.user_dispute_claim_id.cast("string").alias("_c")), "_claim_ext_id", "_c")
     d = (d.join(i, d.user_dispute_claim_id.cast("string") == F.col("_claim_ext_id"), "left")
          .drop("_claim_ext_id")
          .withColumn("transaction_id", txn_family("transaction_code")))
@@ -65,13 +55,13 @@ def weekly_case_rows(disputes: DataFrame, insp_disputes: DataFrame, as_of: dt.da
 
 def weekly_top_cases(disputes: DataFrame, insp_disputes: DataFrame, insp_txns: DataFrame,
                      as_of: dt.date, n: int = 10) -> DataFrame:
-    small = week_is_small(disputes, as_of)
-    d = weekly_case_rows(disputes, insp_disputes, as_of, small)
+    d = weekly_case_rows(disputes, insp_disputes, as_of)
     d = d.withColumn("_ext_id", inspector_ext_id("transaction_code", "authorization_code"))
     t = insp_txns.select(F.col("dispute_id").alias("_t_dispute_id"),
                          F.col("transaction_ext_id").alias("_t_ext_id"),
                          F.col("investigation_resolution"))
-    t = reduce_to_keys(t, "_t_ext_id", d.select("_ext_id"), "_ext_id", MAX_WEEK_KEYS, known_small=small)
+    ids = week_disputes(disputes, as_of).select(inspector_ext_id("transaction_code", "authorization_code").alias("_id"))
+    t = semi_join(t, ids, "_t_ext_id", "_id")
     j = d.join(t, (F.col("r_inspector_dispute_id") == F.col("_t_dispute_id"))
                & (F.col("_ext_id") == F.col("_t_ext_id")), "left")
     j = j.filter(F.coalesce(F.col("investigation_resolution"), F.col("resolution_decision"))

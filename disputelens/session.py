@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job assumes. Times are UTC wall clock in TIMESTAMP_NTZ and
 # the helpers do calendar arithmetic on them; the UTC session zone keeps any
@@ -81,6 +81,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside this application's materialised tables (gone with ``drop_materialized``)."""
+    return f"{_tables_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def materialized(df: DataFrame):
+    """``materialize`` for the length of a job: the table is deleted when the block ends."""
+    spark = df.sparkSession
+    path = f"{_tables_root(spark)}/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system, if it is there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
 def _tables_root(spark: SparkSession) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/tables/{spark.sparkContext.applicationId}"
@@ -92,11 +118,7 @@ def drop_materialized(spark: SparkSession) -> None:
     Call it when the session's work is done: DataFrames read from those
     tables stop working afterwards.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        fs.delete(path, True)
+    delete_path(spark, _tables_root(spark))
     # forget the relations that were read from them
     from disputelens.plans import registry
     from disputelens.sources import fixtures
@@ -105,14 +127,3 @@ def drop_materialized(spark: SparkSession) -> None:
     for cache in (fixtures._BASES, registry._FIXTURES):
         for key in [k for k in cache if k[0] == app]:
             del cache[key]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when ``df`` provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Bigger inputs are returned
-    unhinted: the planner shuffles them, and AQE may still broadcast at run time
-    from measured sizes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -201,16 +201,19 @@ class Fixtures:
     @cached_property
     def disputed_ext(self) -> DataFrame:
         s = self.settled_ext.filter(c("rf") == "R")
+        # k = 2: the next account disputes the same transaction id, much later
         s = s.withColumn("k", F.explode(
-            F.when(c("qty") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+            F.when(c("qty") % 5 == 0, F.array(F.lit(0), F.lit(1)))
+            .when(c("qty") % 5 == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))))
         return s.select(
             "pk", "sk", "qty", "k",
-            c("u").alias("user_id"),
+            (c("u") + F.when(c("k") == 2, 1).otherwise(0)).alias("user_id"),
             c("code").alias("authorization_code"),
             c("code").alias("unique_transaction_id"),
             c("transaction_cd").alias("transaction_code"),
             "transaction_timestamp",
-            add("DAY", c("qty") % 15 + c("k"), c("transaction_timestamp")).alias("dispute_created_at"),
+            add("DAY", c("qty") % 15 + F.when(c("k") == 2, 4000).otherwise(c("k")), c("transaction_timestamp"))
+            .alias("dispute_created_at"),
             pick(DISPUTE_REASONS, c("disc") % 4).alias("reason"),
             pick(DISPUTE_RESOLUTIONS, c("pk") % 3).alias("resolution"),
             pick(DISPUTE_DECISIONS, c("qty") % 4).alias("resolution_decision"),
@@ -435,12 +438,16 @@ class Fixtures:
     # T15
     @stored
     def dispute_contact(self) -> DataFrame:
-        return self.claims.select(
+        # some claims have two contacts, which tell different stories
+        contacts = self.claims.withColumn("m", F.explode(
+            F.when(c("claim") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        return contacts.select(
             c("claim").alias("dispute_id"),
             F.when(c("claim") % 5 == 0, F.lit("Other")).otherwise(F.lit(codes.CONTACT_CATEGORY_FILING))
             .alias("dispute_contact_category"),
-            F.when(c("claim") % 3 == 0, F.lit("App>chat")).otherwise(F.lit("ivr>agent")).alias("interactions_str_seq"),
-            pick(CONTACT_FLOWS, c("claim") % 3).alias("contact_flow"),
+            F.when((c("claim") + c("m")) % 3 == 0, F.lit("App>chat")).otherwise(F.lit("ivr>agent"))
+            .alias("interactions_str_seq"),
+            pick(CONTACT_FLOWS, (c("claim") + c("m")) % 3).alias("contact_flow"),
         )
 
     def _events(self, *types: str) -> DataFrame:
@@ -450,17 +457,19 @@ class Fixtures:
     # T17
     @stored
     def user_session(self) -> DataFrame:
-        e = self._events("view")
+        # some sessions come twice, from another place and device (m = 1)
+        e = self._events("view").withColumn("m", F.explode(
+            F.when(c("event_id") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         return e.select(
             "user_id",
             c("ts").alias("session_timestamp"),
             F.concat(F.lit("d"), txt(c("event_id") % 5)).alias("device_id"),
-            pick(DEVICE_MODELS, c("event_id") % 3).alias("device_model"),
+            pick(DEVICE_MODELS, (c("event_id") + c("m")) % 3).alias("device_model"),
             F.when(c("event_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("en_US")).alias("locale"),
             pick(TIMEZONES, c("event_id") % 4).alias("timezone"),
             pick(CARRIERS, c("event_id") % 5).alias("network_carrier"),
-            F.concat(F.lit("10.0."), txt(c("user_id")), F.lit("."), txt(c("event_id") % 8)).alias("ip"),
-            pick(PLATFORMS, c("event_id") % 2).alias("platform"),
+            F.concat(F.lit("10.0."), txt(c("user_id")), F.lit("."), txt((c("event_id") + c("m")) % 8)).alias("ip"),
+            pick(PLATFORMS, (c("event_id") + c("m")) % 2).alias("platform"),
         )
 
     # T18
@@ -496,15 +505,18 @@ class Fixtures:
     def login_request(self) -> DataFrame:
         e = self._events("view", "error")
         ok = c("event_type") == "view"
-        back = c("event_id") % 120
+        # some requests come twice: both succeed up to a minute before the session (m = 1)
+        e = e.withColumn("m", F.explode(
+            F.when(c("event_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        back = F.when(c("m") == 1, c("event_id") % 60).otherwise(c("event_id") % 120)
         return e.select(
             "user_id",
             F.concat(F.lit("d"), txt(c("event_id") % 5)).alias("segment_device_id"),
-            add("SECOND", -back - 20, c("ts")).alias("login_started_at"),
+            add("SECOND", -back - 20 - c("m"), c("ts")).alias("login_started_at"),
             F.when(ok, add("SECOND", -back, c("ts"))).alias("login_success_at"),
             F.when(c("event_id") % 4 == 0, F.lit(None).cast("string"))
             .otherwise(pick(TFA_METHODS, c("event_id") % 2)).alias("tfa_method"),
-            pick(TFA_DEPRECATED, c("event_id") % 3).alias("tfa_method_deprecated"),
+            pick(TFA_DEPRECATED, (c("event_id") + c("m")) % 3).alias("tfa_method_deprecated"),
             pick(PLATFORMS, c("event_id") % 2).alias("platform"),
             F.when(ok, F.lit(1)).otherwise(F.lit(0)).alias("login_success"),
             F.when(c("event_id") % 6 == 0, F.lit(1)).otherwise(F.lit(0)).alias("mfa_auth_success"),
@@ -537,6 +549,7 @@ class Fixtures:
         return e.select(
             F.when(c("event_id") % 7 == 0, F.concat(F.lit("anon-"), txt(c("event_id"))))
             .when(c("event_id") % 7 == 1, F.concat(txt(c("user_id")), F.lit(".4")))
+            .when(c("event_id") % 7 == 2, F.lit("99999999999999999999"))
             .otherwise(txt(c("user_id"))).alias("user_id"),
             c("ts").alias("original_timestamp"),
             F.concat(F.lit("d"), txt(c("event_id") % 5)).alias("context_device_id"),

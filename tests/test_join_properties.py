@@ -21,8 +21,7 @@ right_rows = st.lists(st.tuples(st.integers(1, 3), codes), min_size=0, max_size=
 def test_either_key_join_is_the_or_join(spark, lrows, rrows):
     left = spark.createDataFrame([(i, u, a, b) for i, (u, a, b) in enumerate(lrows)], "lid int, u long, k1 long, k2 long")
     right = spark.createDataFrame([(u, c, j) for j, (u, c) in enumerate(rrows)], "ru long, code long, rid int")
-    got = sorted(((r.lid, r.rid) for r in either_key_join(left, right, [("u", "ru")], ["k1", "k2"], "code",
-                                                          ["lid"]).collect()),
+    got = sorted(((r.lid, r.rid) for r in either_key_join(left, right, [("u", "ru")], ["k1", "k2"], "code").collect()),
                  key=lambda x: (x[0], -1 if x[1] is None else x[1]))
     want = []
     for i, (u, a, b) in enumerate(lrows):

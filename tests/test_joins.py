@@ -2,10 +2,15 @@
 
 import datetime as dt
 import itertools
+import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from disputelens.operators.joins import any_party_join, either_key_join, interval_join, range_lookup, semi_join
+from disputelens.operators.joins import (
+    any_party_join, either_key_join, interval_join, range_lookup, running_max_within, semi_join,
+)
 
 
 def ts(s):
@@ -69,7 +74,7 @@ def test_either_key_join_matches_or_join(spark):
     right_rows = [(1, 10, 100), (1, 10, 101), (1, 20, 102), (2, 30, 103), (1, None, 104), (1, 30, 105)]
     left = spark.createDataFrame(left_rows, "lid int, u long, k1 long, k2 long")
     right = spark.createDataFrame(right_rows, "ru long, code long, rid int")
-    j = either_key_join(left, right, [("u", "ru")], ["k1", "k2"], "code", ["lid"], collapse=True)
+    j = either_key_join(left, right, [("u", "ru")], ["k1", "k2"], "code", collapse=True)
     got = sorted(((r.lid, r.rid) for r in j.collect()), key=lambda x: (x[0], x[1] is None, x[1] or 0))
     assert got == brute_either(left_rows, right_rows)
 
@@ -86,58 +91,51 @@ def test_any_party_join_counts_each_pair_once(spark):
     assert j.filter(F.col("pid").isNull()).count() == 1
 
 
-def test_semi_join_small_and_large_sets(spark):
+def test_either_key_join_keeps_equal_left_rows(spark):
+    left = spark.createDataFrame([(1, 1, 50, 60), (1, 1, 50, 60), (2, 1, 10, 60), (2, 1, 10, 60)],
+                                 "lid int, u long, k1 long, k2 long")
+    right = spark.createDataFrame([(1, 10, 100)], "ru long, code long, rid int")
+    j = either_key_join(left, right, [("u", "ru")], ["k1", "k2"], "code")
+    assert sorted(((r.lid, r.rid) for r in j.collect()), key=str) == [(1, None), (1, None), (2, 100), (2, 100)]
+
+
+def test_semi_join_is_an_in_subquery(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "u long")
-    keys = spark.createDataFrame([(1,), (3,), (3,)], "k long")
+    keys = spark.createDataFrame([(1,), (3,), (3,), (None,)], "k long")
     assert sorted(r.u for r in semi_join(df, keys, "u", "k").collect()) == [1, 3]
-    assert sorted(r.u for r in semi_join(df, keys, "u", "k", max_broadcast_rows=1).collect()) == [1, 3]
-
+    plan = semi_join(df, keys, "u", "k")._jdf.queryExecution().logical().toString()
+    assert "hint" not in plan.lower()  # how to join is left to the measured sizes
 
-def test_lead_in_order_matches_window_on_a_hot_group(spark):
-    from pyspark.sql import Window
 
+@pytest.mark.parametrize("segment", ["ts", "ts div 10", "0", "cast(null as bigint)"])
+def test_lead_in_order_matches_window_on_a_hot_group(spark, segment):
     from disputelens.operators.sequence import lead_in_order
 
-    rows = [(1 if i % 3 else 2, "A" if i % 5 else None, i // 4, i, f"n{i}") for i in range(400)]
+    rows = [(1 if i % 3 else 2, "A" if i % 5 else None, i // 4 if i % 17 else None, i, f"n{i}") for i in range(400)]
     rows += [(3, "B", 7, 1000, "solo")]
     df = spark.createDataFrame(rows, "u long, t string, ts long, id long, v string").repartition(7)
     got = lead_in_order(df, ["u", "t"], [("ts", "asc"), ("id", "asc")], ["ts", "v"], ["next_ts", "next_v"],
-                        max_group_rows=10)
+                        segment=F.expr(segment))
     w = Window.partitionBy("u", "t").orderBy(F.col("ts").asc_nulls_last(), F.col("id").asc_nulls_last())
     want = df.withColumn("next_ts", F.lead("ts").over(w)).withColumn("next_v", F.lead("v").over(w))
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=lambda r: r[3]) == \
         sorted(map(tuple, want.collect()), key=lambda r: r[3])
 
-    small = lead_in_order(df, ["u", "t"], [("ts", "asc"), ("id", "asc")], ["ts", "v"], ["next_ts", "next_v"])
-    assert sorted(map(tuple, small.select(*want.columns).collect()), key=lambda r: r[3]) == \
-        sorted(map(tuple, want.collect()), key=lambda r: r[3])
-
 
-def test_reduce_to_keys_keeps_join_result(spark):
-    from disputelens.operators.joins import reduce_to_keys
-
-    big = spark.createDataFrame([(k, f"v{k}") for k in range(50)] + [(None, "n")], "k long, v string")
-    small = spark.createDataFrame([(3,), (7,), (7,), (None,), (99,)], "c long")
-    for cap in (100, 1):
-        red = reduce_to_keys(big, "k", small, "c", max_broadcast_rows=cap)
-        got = sorted(r.v for r in small.join(red, F.col("c") == F.col("k"), "left").collect() if r.v)
-        assert got == ["v3", "v7", "v7"]
-    assert reduce_to_keys(big, "k", small, "c", max_broadcast_rows=1) is big
-
-
-def test_bounded_broadcast_only_under_the_bound(spark):
-    from disputelens.session import bounded_broadcast
-
-    df = spark.range(100)
-    small = bounded_broadcast(df, 100)
-    big = bounded_broadcast(df, 99)
-    assert big is df and small is not df
-    probe = spark.range(1000).withColumnRenamed("id", "k")
-    plan_small = probe.join(small, F.col("k") == F.col("id"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
-    assert "BroadcastHashJoin" in plan_small
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan_big = probe.join(big, F.col("k") == F.col("id"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" not in plan_big
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_running_max_within_against_all_pairs(spark, seed):
+    """A hot account and its borders: exactly 7 days before, the very moment, bucket borders, no event at all."""
+    r = random.Random(seed)
+    base, week = dt.datetime(2020, 1, 10), dt.timedelta(days=7)
+    moment = lambda: base + dt.timedelta(seconds=r.choice([3600, 60, 1]) * r.randint(-500, 500))
+    events = [(1 if r.random() < 0.7 else r.randint(2, 6), moment(), round(r.random(), 3)) for _ in range(150)]
+    points = [(1 if r.random() < 0.7 else r.randint(2, 8), moment()) for _ in range(150)]
+    points += [(u, t) for u, t, _ in events[:20]] + [(u, t + week) for u, t, _ in events[20:40]] + [(9, None)]
+    points += [(u, t + week + dt.timedelta(seconds=1)) for u, t, _ in events[40:60]]
+    got = running_max_within(spark.createDataFrame(points, "u long, t timestamp_ntz"),
+                             spark.createDataFrame(events, "u long, t timestamp_ntz, s double"), "u", "t", "s", 7 * 86400)
+    want = {(u, t): max((s for eu, et, s in events if eu == u and t - week <= et <= t), default=None)
+            for u, t in points if t is not None}
+    assert {(x.u, x.t): x.s for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SMALL
 from disputelens.plans import params as P
-from disputelens.plans.dispute_wow import dispute_wow_detail, dispute_wow_summary, run_dispute_wow
-from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history, account_timeline
-from disputelens.plans.registry import fixtures_for
+from disputelens.plans.dispute_wow import detail_base, dispute_wow_detail, dispute_wow_summary, run_dispute_wow
+from disputelens.plans.history import (
+    FEEDS, AccountSet, HistorySources, account_history, account_timeline, hist_disputes, write_account_history,
+)
+from disputelens.plans.registry import fixtures_for, queries
+from disputelens.plans.weekly_cases import weekly_top_cases
+from disputelens.sources.fixtures import RELATIONS
 
 
 def q(spark, key, sf=SMALL):
@@ -59,16 +63,86 @@ def test_one_account_equals_its_rows_among_many(spark):
     assert a == b and len(a) > 0
 
 
-def test_account_set_broadcast_decision(spark):
-    fx = fixtures_for(spark, SMALL)
-    assert AccountSet.of(fx.member, "id").small
+def _executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_nested_loop_or_cartesian_plans(spark):
-    bad = ("BroadcastNestedLoopJoin", "CartesianProduct")
-    for key, fn in E.queries().items():
-        plan = fn(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert not any(b in plan for b in bad), key
+    """Every registered result, and the plans that the stored ones come from."""
+    fx = fixtures_for(spark, SMALL)
+    day1, day2 = P.wow_window(P.AS_OF)
+    plans = {key: fn(spark, SMALL) for key, fn in queries().items()}
+    plans["timeline"] = account_timeline(HistorySources.from_fixtures(fx), AccountSet.of(fx.member, "id"))
+    plans["base"] = detail_base(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member, day1, day2,
+                                P.DISPUTE_WIN, P.AS_OF)
+    plans["cut"] = q(spark, "risk_score_cut")
+    for key, df in plans.items():
+        assert not any(b in _executed(df) for b in ("BroadcastNestedLoopJoin", "CartesianProduct")), key
+
+
+def test_builders_are_lazy(spark):
+    """Calling a job's function runs no job (the sorted timeline is nine feeds in one plan)."""
+    fx = fixtures_for(spark, SMALL)
+    src, acc = HistorySources.from_fixtures(fx), AccountSet.of(fx.member, "id")
+    day1, day2 = P.wow_window(P.AS_OF)
+    inputs = [getattr(fx, r) for r in RELATIONS]  # written on first use, outside the count
+    assert len(inputs) == len(RELATIONS)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "builders")
+    try:
+        history = account_history(src, acc)
+        dispute_wow_detail(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member, fx.login_alert, day1, day2,
+                           P.DISPUTE_WIN, P.AS_OF)
+        weekly_top_cases(fx.disputed_txn, fx.inspector_dispute, fx.inspector_txn, P.AS_OF)
+        assert list(tracker.getJobIdsForGroup("lazy")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert _executed(history).count("Union") >= 1
+
+
+def test_every_account_table_is_cut_to_the_accounts(spark):
+    """One account: a semi-join stands on each scan with an account column."""
+    fx = fixtures_for(spark, SMALL)
+    plan = account_timeline(HistorySources.from_fixtures(fx), AccountSet.of_ids(spark, [3]))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    # 9 feeds' own scans and 12 context scans with an account column
+    assert text.count("LeftSemi") >= 20
+
+
+def test_fixtures_exercise_the_operators(spark):
+    fx = fixtures_for(spark, "/root/testdata/sf0.01")
+    posted = fx.posted_txn.count()
+    assert 0 < q(spark, "semi_join_users", "/root/testdata/sf0.01").count() < posted
+    logins = q(spark, "join_login_60s", "/root/testdata/sf0.01").count()
+    assert q(spark, "dedup_login", "/root/testdata/sf0.01").count() < logins
+    labels = q(spark, "label_top_n", "/root/testdata/sf0.01")
+    assert labels.filter("top_mcc_cd = '99.others'").count() > 0 and labels.filter("top_mcc_cd like '3.%'").count() > 0
+    shared = fx.disputed_txn.groupBy("unique_transaction_id").agg(F.count_distinct("user_id").alias("n")).filter("n > 1")
+    assert shared.count() > 0
+    contacts = fx.dispute_contact.filter("dispute_contact_category = 'Filing'").groupBy("dispute_id").count()
+    assert contacts.filter("count > 1").count() > 0
+
+
+def test_account_filter_comes_after_the_dispute_dedup(spark):
+    """A transaction whose latest row is another account's is not in the first account's history."""
+    fx = fixtures_for(spark, "/root/testdata/sf0.01")
+    src = HistorySources.from_fixtures(fx)
+    latest = q(spark, "dedup_dispute", "/root/testdata/sf0.01").select("user_dispute_claim_txn_id")
+    for user in (3, 7, 11):
+        own = fx.disputed_txn.filter(F.col("user_id") == user)
+        want = own.join(latest, "user_dispute_claim_txn_id", "left_semi").count()
+        assert hist_disputes(src, AccountSet.of_ids(spark, [user])).count() == want
+    assert fx.disputed_txn.join(latest, "user_dispute_claim_txn_id", "left_anti").count() > 0
+
+
+def test_write_account_history_is_ranged_and_sorted(spark, tmp_path):
+    fx = fixtures_for(spark, SMALL)
+    src, acc = HistorySources.from_fixtures(fx), AccountSet.of(fx.member, "id")
+    path = str(tmp_path / "history")
+    write_account_history(src, acc, path)
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=key) == sorted(
+        map(tuple, account_timeline(src, acc).collect()), key=key)
 
 
 def test_filters_reach_the_scan(spark):
@@ -135,7 +209,7 @@ def test_single_account_pull_plans_a_hash_semi_join(spark):
     acc = AccountSet.of_ids(spark, [3])
     plan = account_timeline(src, acc)._jdf.queryExecution().executedPlan().toString()
     df = account_history(src, acc)
-    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert "LeftSemi" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     users = fx.member.select(F.col("id").alias("user_id"))
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, account_history(
