@@ -287,7 +287,9 @@ def _runs(fragments: DataFrame, group: int) -> DataFrame:
     columns = "core", "key", "n", "left", "weight", "flanks"
     small = fragments.join(large, "core", "left_anti").select(*columns)
     schema = "core long, key long, first long, last long"
-    by_transform = small.repartition("core").sortWithinPartitions("core", "key").mapInArrow(_transform, schema)
+    symbols = fragments.select(F.sum(F.col("n") + (DEPTH - 1))).first()[0] or 0
+    parts = 1 + symbols // (2 * BLOCK)
+    by_transform = small.repartition(parts, "core").sortWithinPartitions("core", "key").mapInArrow(_transform, schema)
     hashed = fragments.join(large, "core", "left_semi").select(*columns).mapInArrow(
         _window_hashes, "core long, key long, weight long, i long, hash long")
     again = hashed.groupBy("core", "hash").agg(F.sum("weight").alias("w")).filter("w >= 2").select("core", "hash")
@@ -310,9 +312,10 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
         "name binary, core long, key long, at long, n long, left long, flanks binary"), "places")
     alike = places.select("name", "core", "at", "n").join(cores.filter("alike").select("core"), "core", "left_semi")
     several = cores.filter("not alike").select("core")
-    fragments = (places.join(several, "core", "left_semi").groupBy("core", "key")
+    # copies are added up by (core, key) first: a k-gram with very many places is a few rows at the join
+    fragments = (places.filter(F.col("flanks").isNotNull()).groupBy("core", "key")
                  .agg(F.first("n").alias("n"), F.first("left").alias("left"), F.count("*").alias("weight"),
-                      F.first("flanks").alias("flanks")))
+                      F.first("flanks").alias("flanks")).join(several, "core", "left_semi"))
     runs = store(_runs(store(fragments, "fragments"), group), "runs")
     back = places.select("name", "core", "key", "at").join(runs, ["core", "key"])
     spans = alike.select("name", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("hi")).union(
