@@ -86,7 +86,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) ->
     about_page = F.col("page_id"), F.col("url"), F.col("digest")
     of = {kind: _urn(kind, *about_page) for kind in ("request", "response", "metadata")}
     host = F.coalesce(F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1), F.lit(""))
-    target = F.coalesce(F.regexp_extract(uri, "^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("/"))
+    path_of = F.regexp_extract(uri, "^[a-z]+://[^/?#]*([^#]*)", 1)
+    target = F.when(path_of.startswith("/"), path_of).otherwise(F.concat(F.lit("/"), F.coalesce(path_of, F.lit(""))))
     request = F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("n_bytes").cast("string"), F.lit(CRLF * 2))
