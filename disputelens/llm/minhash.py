@@ -98,14 +98,11 @@ def one_permutation(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ok = filled[r, source]
         sig[r[ok], c[ok]] = sig[r[ok], source[ok]]
         r, c = r[~ok], c[~ok]
-    while len(r):  # all draws missed: the next filled bin to the right
+    if len(r):  # all draws missed: the next filled bin to the right
         source = (c + 1) % BINS
-        step = np.ones(len(r), dtype=np.int64)
-        while not filled[r, source].all():
-            source = np.where(filled[r, source], source, (source + 1) % BINS)
-            step += 1
+        while not (ok := filled[r, source]).all():
+            source = np.where(ok, source, (source + 1) % BINS)
         sig[r, c] = sig[r, source]
-        break
     return sig
 
 
