@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from disputelens.functions.semantics import asc, desc
 
 
-def rank_groups(df: DataFrame, partition: str, value: str, measure: str, n: int,
+def rank_groups(df: DataFrame, partition: Sequence[str], value: str, measure: str, n: Column | int,
                 rank_col: str) -> DataFrame:
     """Groups (``partition``, ``value``) ranked per ``partition`` by sum of ``measure``.
 
@@ -19,10 +19,9 @@ def rank_groups(df: DataFrame, partition: str, value: str, measure: str, n: int,
     Only ranks <= ``n`` are kept, so the result has at most n rows per
     partition value.
     """
-    sums = df.groupBy(partition, value).agg(F.sum(measure).alias("_sum"))
-    w = Window.partitionBy(partition).orderBy(desc("_sum"), asc(value))
-    return (sums.withColumn(rank_col, F.row_number().over(w))
-            .filter(F.col(rank_col) <= n).drop("_sum"))
+    sums = df.groupBy(*partition, value).agg(F.sum(measure).alias("_sum"))
+    w = Window.partitionBy(*partition).orderBy(desc("_sum"), asc(value))
+    return sums.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n).drop("_sum")
 
 
 def top_label(rank: Column | str, value: Column | str, n: int) -> Column:

@@ -3,10 +3,10 @@
 detail (31 columns)
   base   settled transactions of [day1, day2], mature for ``dispute_win`` days,
          purchase or ATM codes, ⟕ disputes, ⟕ auths, ⟕ member (fan-out kept);
-         26 columns. Materialised once: everything below reads it several times.
+         26 columns. The run writes it once: everything below reads it.
   labels top MCC / merchant / merchant state per product, ranked by 7-day
-         disputed dollars in the latest week of the base; three tiny
-         broadcast joins.
+         disputed dollars in the latest week of the base; one scan ranks all
+         three, and a scalar map of the ranks labels the rows.
   score  highest login-alert score in the 7 days up to each transaction.
 summary  ``groupBy(17 keys)`` over the materialised detail, 2 sums.
 """
@@ -104,18 +104,24 @@ def latest_week_disputed(base: DataFrame) -> DataFrame:
 def add_top_labels(base: DataFrame, n_mcc: int, n_merchant: int, n_state: int) -> DataFrame:
     """Three '<rank>.<value>' labels; rows outside the top n get '99.others'.
 
-    Each ranked list keeps at most n rows per product type, 3 x n rows in all,
-    so broadcasting it is bounded by construction.
+    One scan of the latest week ranks all three lists. They hold at most n rows
+    per product type each, so they become one small map, a scalar that every row
+    looks its labels up in: no join touches the base.
     """
-    scope = latest_week_disputed(base)
+    tops = dict(zip([label for _, _, label in LABELS], (n_mcc, n_merchant, n_state)))
+    entries = F.array(*[F.struct(F.lit(label).alias("label"), F.col(value).cast("string").alias("value"))
+                        for value, _, label in LABELS])
+    long = latest_week_disputed(base).select("card_type", "settled_amt", F.inline(entries))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in tops.items() for x in pair]), F.col("label"))
+    ranked = rank_groups(long, ["label", "card_type"], "value", "settled_amt", limit, "place")
+    key = F.struct("label", "card_type", "value")
+    places = ranked.where(F.col("value").isNotNull()).select(
+        F.map_from_entries(F.collect_list(F.struct(key, F.col("place"))))).scalar()
     out = base
-    for (value, rank, label), n in zip(LABELS, (n_mcc, n_merchant, n_state)):
-        ranked = (rank_groups(scope, "card_type", value, "settled_amt", n, rank)
-                  .select(F.col("card_type").alias("_ct"), F.col(value).alias("_v"), rank))
-        out = (out.join(F.broadcast(ranked), (F.col(value) == F.col("_v")) & (F.col("card_type") == F.col("_ct")),
-                        "left")
-               .withColumn(label, top_label(rank, value, n))
-               .drop("_ct", "_v", rank))
+    for value, _, label in LABELS:
+        place = F.element_at(places, F.struct(F.lit(label).alias("label"), F.col("card_type"),
+                                              F.col(value).cast("string").alias("value")))
+        out = out.withColumn(label, top_label(place, value, tops[label]))
     return out
 
 

@@ -139,3 +139,16 @@ def test_running_max_within_against_all_pairs(spark, seed):
     assert {(x.u, x.t): x.s for x in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rank_groups_ties_null_groups_and_null_sums(spark):
+    from disputelens.operators.topn import rank_groups, top_label
+
+    rows = [("a", "x", 5), ("a", "y", 5), ("a", None, 9), ("a", "z", None), ("a", "w", 1), ("b", "x", 1), ("b", "y", 2)]
+    df = spark.createDataFrame(rows, "p string, v string, m long")
+    got = {(r.p, r.v): r.k for r in rank_groups(df, ["p"], "v", "m", 4, "k").collect()}
+    # a NULL sum comes first, the NULL value takes a rank, ties go by value, rank 5 falls out
+    assert got == {("a", "z"): 1, ("a", None): 2, ("a", "x"): 3, ("a", "y"): 4, ("b", "y"): 1, ("b", "x"): 2}
+    labelled = spark.createDataFrame([(1, "x"), (4, "x"), (None, "x"), (2, None)], "k int, v string")
+    assert [r.l for r in labelled.select(top_label("k", "v", 3).alias("l")).collect()] == [
+        "1.x", "99.others", "99.others", None]
