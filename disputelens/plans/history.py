@@ -162,6 +162,19 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
 
 # -- b: authorisations ------------------------------------------------------------
 
+def join_rules(df: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``df`` (user_id, auth_id) ⟕ the rule decisions that were acted on."""
+    acted = (decisions
+             .filter((F.col("is_shadow_mode") == "false") & (F.col("policy_result") == "criteria_met")
+                     & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
+                     & F.col("decision_outcome").isin(*codes.ACTED_RULE_OUTCOMES))
+             .select(F.col("user_id").alias("rta2_user_id"), F.col("auth_id").alias("rta2_auth_id"),
+                     F.col("policy_name").alias("rta2_policy_name"),
+                     F.col("decision_outcome").alias("rta2_decision_outcome")))
+    return df.join(acted, (F.col("user_id") == F.col("rta2_user_id")) & (F.col("auth_id") == F.col("rta2_auth_id")),
+                   "left")
+
+
 def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     """First messages of the accounts with follow-up, rule, override, card and dispute context.
 
@@ -176,15 +189,7 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
                     F.col("auth_id").alias("dual_auth_id"), F.col("auth_event_id").alias("dual_auth_event_id")))
     j = rta.join(dual, (F.col("user_id") == F.col("dual_user_id"))
                  & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
-    rta2 = (acc.keep(src.auth_decision, "user_id")
-            .filter((F.col("is_shadow_mode") == "false") & (F.col("policy_result") == "criteria_met")
-                    & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
-                    & F.col("decision_outcome").isin(*codes.ACTED_RULE_OUTCOMES))
-            .select(F.col("user_id").alias("rta2_user_id"), F.col("auth_id").alias("rta2_auth_id"),
-                    F.col("policy_name").alias("rta2_policy_name"),
-                    F.col("decision_outcome").alias("rta2_decision_outcome")))
-    j = j.join(rta2, (F.col("user_id") == F.col("rta2_user_id")) & (F.col("auth_id") == F.col("rta2_auth_id")),
-               "left")
+    j = join_rules(j, acc.keep(src.auth_decision, "user_id"))
     o = acc.keep(src.fraud_override, "user_id").select(
         F.col("user_id").alias("o_user_id"), F.col("realtime_auth_id").alias("o_realtime_auth_id"),
         F.col("decision_id").alias("o_decision_id"), F.col("is_suppressed").alias("o_is_suppressed"),
@@ -308,12 +313,16 @@ def hist_disputes(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE
 
 # -- e: logins ---------------------------------------------------------------------------
 
+def join_places(sessions: DataFrame, ip_geo_map: DataFrame, geo_city: DataFrame) -> DataFrame:
+    """``sessions`` (ip) ⟕ ip map ⟕ city: adds ``loc_time_zone``."""
+    ipm = ip_geo_map.select(F.col("ip").alias("map_ip"), F.col("geoname_id").alias("map_geoname_id"))
+    loc = geo_city.select(F.col("geoname_id").alias("loc_geoname_id"), F.col("time_zone").alias("loc_time_zone"))
+    return (sessions.join(ipm, F.col("ip") == F.col("map_ip"), "left")
+            .join(loc, F.col("loc_geoname_id") == F.col("map_geoname_id"), "left"))
+
+
 def hist_logins_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
-    ls = acc.keep(src.user_session, "user_id")
-    ipm = src.ip_geo_map.select(F.col("ip").alias("map_ip"), F.col("geoname_id").alias("map_geoname_id"))
-    loc = src.geo_city.select(F.col("geoname_id").alias("loc_geoname_id"), F.col("time_zone").alias("loc_time_zone"))
-    j = (ls.join(ipm, F.col("ip") == F.col("map_ip"), "left")
-         .join(loc, F.col("loc_geoname_id") == F.col("map_geoname_id"), "left"))
+    j = join_places(acc.keep(src.user_session, "user_id"), src.ip_geo_map, src.geo_city)
     # Only the highest alert score of a (user, device) survives the dedup, so
     # the alerts are reduced to it before the join instead of fanning out.
     atom = (acc.keep(src.login_alert, "user_id").filter(F.col("score") != 0)

@@ -20,7 +20,9 @@ from disputelens.operators.dedup import keep_first
 from disputelens.operators.joins import any_party_join, interval_join, semi_join
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import dispute_wow_detail, login_scores
-from disputelens.plans.history import HistorySources, hist_auths_joined, hist_disputes_joined
+from disputelens.plans.history import (
+    HistorySources, hist_auths_joined, hist_disputes_joined, join_places, join_rules,
+)
 from disputelens.plans.risk_cut import first_per_event, join_dispute, join_dual, join_override
 from disputelens.plans.weekly_cases import last_complete_week, ntz
 from disputelens.sources.fixtures import Fixtures
@@ -110,22 +112,14 @@ def join_card_last4(fx: Fixtures) -> DataFrame:
 
 @op("join_auth_decision")
 def join_auth_decision(fx: Fixtures) -> DataFrame:
-    r = (fx.auth_decision
-         .filter((C("is_shadow_mode") == "false") & (C("policy_result") == "criteria_met")
-                 & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
-                 & C("decision_outcome").isin(*codes.ACTED_RULE_OUTCOMES))
-         .select(C("user_id").alias("_ru"), C("auth_id").alias("_ra"), "policy_name", "decision_outcome"))
-    a = fx.auth_event.select("auth_event_id", "user_id", "auth_id")
-    return (a.join(r, (C("user_id") == C("_ru")) & (C("auth_id") == C("_ra")), "left")
-            .select("auth_event_id", "policy_name", "decision_outcome"))
+    return join_rules(fx.auth_event, fx.auth_decision).select(
+        "auth_event_id", C("rta2_policy_name").alias("policy_name"), C("rta2_decision_outcome").alias("decision_outcome"))
 
 
 @op("join_ip_geo")
 def join_ip_geo(fx: Fixtures) -> DataFrame:
-    m = fx.ip_geo_map.select(C("ip").alias("_mip"), C("geoname_id").alias("_mg"))
-    g = fx.geo_city.select(C("geoname_id").alias("_gg"), "time_zone")
-    return (fx.user_session.join(m, C("ip") == C("_mip"), "left").join(g, C("_gg") == C("_mg"), "left")
-            .select("user_id", "session_timestamp", "ip", "time_zone"))
+    return join_places(fx.user_session, fx.ip_geo_map, fx.geo_city).select(
+        "user_id", "session_timestamp", "ip", C("loc_time_zone").alias("time_zone"))
 
 
 def _session_logins(fx: Fixtures) -> DataFrame:
