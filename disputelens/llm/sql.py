@@ -20,19 +20,19 @@ def spaced_words(text: str, lower: bool) -> str:
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, {spaced_words('text', True)} AS w FROM documents
-), sets AS MATERIALIZED (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
-    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
-  FROM words
 ), members AS MATERIALIZED (
-  SELECT doc_id, unnest(s) AS shingle FROM sets
+  SELECT DISTINCT doc_id, concat_ws(' ', w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d,
+                                    lead(w, 4) OVER d) AS shingle
+  FROM (SELECT doc_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS i FROM words)
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i) QUALIFY i + 5 <= n OR i = 0
+), sets AS MATERIALIZED (
+  SELECT doc_id, count(shingle) AS n FROM words LEFT JOIN members USING (doc_id) GROUP BY doc_id
 ), shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter
   FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
 ), linked AS MATERIALIZED (
   SELECT x, y FROM shared JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
-  WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)
+  WHERE 100 * inter >= 75 * (a.n + b.n - inter)
 ), edges AS MATERIALIZED (
   SELECT x, y FROM linked UNION SELECT y, x FROM linked
 ), reach(doc_id, other) AS (
@@ -42,7 +42,7 @@ WITH RECURSIVE words AS MATERIALIZED (
 ), least AS (
   SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 )
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least USING (doc_id)
 """
 
@@ -54,10 +54,15 @@ WITH words AS MATERIALIZED (
 ), windows AS MATERIALIZED (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), running AS MATERIALIZED (
+  SELECT doc_id, i, left_over, concat_ws(' ', {", ".join(f"lead(w, {k}) OVER d" if k else "w" for k in range(10))}) AS ten,
+         w AS one
+  FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i, unnest(range(len(w), 0, -1)) AS left_over FROM words)
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), places AS (
-  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS words
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
-        FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+  SELECT doc_id, i, n, array_to_string(string_split(ten, ' ')[1:n], ' ') AS words
+  FROM running, (SELECT DISTINCT n FROM windows)
+  WHERE left_over >= n AND (n, one) IN (SELECT n, string_split(words, ' ')[1] FROM windows)
 ), found AS MATERIALIZED (
   SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, words)
 ), hit AS (
