@@ -2,8 +2,8 @@
 
 Base: the places where the words of a fixed phrase stand consecutively.
 
-Method. Every k-gram of words of a document is joined, by hash and then by its
-words, to the k-grams of the license templates. A match at document word p and
+Method. Every k-gram of words of a document is joined, by hash and then word by
+word, to the k-grams of the license templates. A match at document word p and
 template word t votes for the diagonal p - t. Votes are counted by (document,
 template, diagonal); diagonals at most ``GAP`` apart (inserted or left-out words)
 are merged into one span; a span is verified by the share of the template's
@@ -63,29 +63,34 @@ K = 3
 GAP = 4
 #: Least share of a template's words, and of the span's words, that matches cover.
 MIN_COVER, MIN_DENSITY = 0.75, 0.6
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The one character beyond ASCII whose lower case is an ASCII letter (the Kelvin sign), and a stand-in.
+KELVIN, OTHER = "\u212a", "\ufffd"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text lower-cased in A-Z.
 
-
-def _from(words: str, i: Column, n: int) -> list[Column]:
-    """Words i .. i+n-1 (null beyond the end)."""
-    return [F.get(words, i + j) for j in range(n)]
+    ``lower`` changes letters beyond ASCII too, but never into or out of ASCII
+    once the Kelvin sign is set aside, so places and ASCII words are the same.
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(OTHER))
+    return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))
 
 
 def _grams(words: str) -> Column:
-    """For each start of K words: struct(hash, gram)."""
-    def one(w: Column, i: Column) -> Column:
-        parts = [w, *[F.get(words, i + j) for j in range(1, K)]]
-        return F.struct(F.xxhash64(*parts).alias("hash"), F.concat_ws(" ", *parts).alias("gram"))
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (K - 1), F.lit(0))), one)
+    """struct(w0, .. w{K-1}) for each word: it and its followers, null beyond the end."""
+    array = F.col(words)
+    parts = [array if i == 0 else F.slice(array, i + 1, F.size(array)) for i in range(K)]
+    return F.arrays_zip(*[p.alias(f"w{i}") for i, p in enumerate(parts)])
+
 
+def _hash() -> Column:
+    return F.xxhash64(*[f"g.w{i}" for i in range(K)])
 
-def _phrase_at(words: str) -> Column:
-    """For each word, the number of the phrase that starts there (null if none)."""
+
+def _phrase_at(text: Column, words: str) -> Column:
+    """struct(at, phrase) for each place of a phrase. Texts that lack a word of every phrase are not walked."""
     def one(w: Column, i: Column) -> Column:
         cases = None
         for number, (phrase, _) in enumerate(PHRASES):
@@ -93,39 +98,53 @@ def _phrase_at(words: str) -> Column:
             hit = reduce(lambda a, b: a & b, [F.get(words, i + j) == v for j, v in enumerate(rest, 1)], w == first)
             cases = F.when(hit, number) if cases is None else cases.when(hit, number)
         return F.struct(i.alias("at"), cases.alias("phrase"))
-    return F.filter(F.transform(words, one), lambda s: s["phrase"].isNotNull())
+
+    low = F.lower(text)
+    may = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in p.split(" ")])
+                                      for p, _ in PHRASES])
+    found = F.filter(F.transform(words, one), lambda s: s["phrase"].isNotNull())
+    return F.when(may, found).otherwise(F.slice(found, 1, 0))
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, label, length, off, hash, gram; and one row that answers each document's own line."""
+    """template, label, length, off, hash, t0 .. t{K-1}; and one row that answers each document's own line."""
     rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text"))
                      for i, (label, text) in enumerate(templates)])
     words = spark.range(1).select(F.inline(rows)).withColumn("words", words_of(F.col("text")))
-    grams = words.select("template", "label", F.size("words").alias("length"), F.posexplode(_grams("words")).alias("off", "g"))
+    grams = words.select("template", "label", F.size("words").alias("length"),
+                         F.posexplode(_grams("words")).alias("off", "g")).filter(F.col("off") <= F.col("length") - K)
     own = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(0).alias("length"),
-                                F.lit(0).alias("off"), F.struct(F.lit(0).cast("long").alias("hash"),
-                                                                F.lit("").alias("gram")).alias("g"))
-    return grams.union(own).select("template", "label", "length", "off", "g.hash", "g.gram")
+                                F.lit(0).alias("off"), _own_line().alias("g"))
+    return grams.union(own).select("template", "label", "length", "off", _hash().alias("hash"),
+                                   *[F.col(f"g.w{i}").alias(f"t{i}") for i in range(K)])
+
+
+def _own_line() -> Column:
+    """A k-gram that no text has: empty words."""
+    return F.struct(*[F.lit("").alias(f"w{i}") for i in range(K)])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per row of ``docs``."""
     spark = prepare(docs.sparkSession)
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                        words_of(F.col(text_col).cast("string")).alias("words"))
-    based = split.withColumn("base", _phrase_at("words"))
-    # each document's own line travels as one more element, with an empty gram
-    own = F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit("").alias("gram")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"),
+                        words_of(text).alias("words"))
+    based = split.select("row", "id", "words", _phrase_at(F.col("text"), "words").alias("base"))
     seen = F.transform(F.lit([i for i in range(len(PHRASES))]), lambda p: F.exists("base", lambda s: s["phrase"] == p))
-    rows = based.select(
+    # each document's own line travels as one more k-gram
+    line = ("id", "n_words", "n_base", "first_word", "last_word", "seen")
+    lines = based.select(
         "row", "id", F.size("words").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"),
         F.array_min(F.col("base.at")).cast("long").alias("first_word"),
         F.array_max(F.col("base.at")).cast("long").alias("last_word"),
         F.aggregate(seen, F.lit(0), lambda a, x: a * 2 + x.cast("int")).alias("seen"),
-        F.posexplode(F.concat(_grams("words"), own)).alias("pos", "g"))
-    line = ("id", "n_words", "n_base", "first_word", "last_word", "seen")
-    votes = rows.select("row", *line, "pos", "g.hash", "g.gram").join(
-        F.broadcast(template_grams(spark, templates)), ["hash", "gram"]).select(
+        F.concat(_grams("words"), F.array(_own_line())).alias("grams"))
+    # only the line's few numbers go along with each k-gram
+    rows = lines.select("row", *line, F.posexplode("grams").alias("pos", "g"))
+    same = [F.col(f"g.w{i}") == F.col(f"t{i}") for i in range(K)]
+    votes = rows.withColumn("hash", _hash()).join(F.broadcast(template_grams(spark, templates)), "hash").filter(
+        reduce(lambda a, b: a & b, same)).select(
         "row", "template", "label", "length", "off", "pos",
         # the line's own diagonal is 0, and only its row carries the columns
         F.when(F.col("template") < 0, 0).otherwise(F.col("pos") - F.col("off")).alias("diagonal"),
