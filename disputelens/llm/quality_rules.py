@@ -7,6 +7,7 @@ the sum of log(target / raw) over its n-grams divided by their number; it is
 kept if the base rules pass and the score reaches ``THRESHOLD``. Every document
 is scored and judged by the same fixed threshold.
 
+Documents and labels meet in a shuffled join by id (labels grow with the corpus).
 Counts are added up in the task, then by bucket; the weights (BUCKETS doubles)
 are all that is broadcast.
 
@@ -64,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(target / raw) for each bucket, from all documents."""
     trusted = (labels.filter("quality = 1").select(F.col(id_col).alias("id")).distinct()
-               .withColumn("trusted", F.lit(True)))
+               .withColumn("trusted", F.lit(True)).hint("merge"))  # both sides dealt by id, at every size
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
         trusted, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counts = (rows.mapInArrow(_count, "bucket long, target long, raw long")
