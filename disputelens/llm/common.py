@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputelens.session import ensure_checkpoint_dir
+from disputelens.session import delete_path, ensure_checkpoint_dir
 
 #: Bytes of text that one numpy chunk holds (more only for a single long text).
 CHUNK_BYTES = 512 << 10
@@ -60,7 +60,15 @@ def store(df: DataFrame, name: str = "t", most_rows: int | None = None) -> DataF
     if most_rows is not None:
         df = df.coalesce(1 + most_rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``store`` that no later step reads."""
+    for t in tables:
+        delete_path(t.sparkSession, t.stored_at)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

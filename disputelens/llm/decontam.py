@@ -168,9 +168,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) without a hit word."""
-    numbered = store(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    found = decontaminate(numbered.select(F.col("row").alias("number"), F.col(f"doc.`{text_col}`").alias("text")), bench,
-                          "number", "text")
-    hit = found.filter("contaminated").select(F.col("number").alias("row"))
-    return numbered.join(hit, "row", "left_anti").select("doc.*")
+    """The rows of ``docs`` (all columns) without a hit word. Equal texts fare alike, so texts go by their MD5."""
+    name = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    found = decontaminate(docs.select(name.alias("name"), F.col(text_col).alias("text")), bench, "name", "text")
+    hit = found.filter("contaminated").select(F.col("name").alias("hit_name")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), name.alias("name"))
+    return rows.join(hit, F.col("name") == F.col("hit_name"), "left_anti").select("doc.*")

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import (NON_SPACE, U64, BitFilter, Rolling, Words, bitmap_of, lists_of, mix, prepare,
-                                    shingle_hash, store, text_chunks)
+from disputelens.llm.common import (NON_SPACE, U64, BitFilter, Rolling, Words, bitmap_of, discard, lists_of, mix,
+                                    prepare, shingle_hash, store, text_chunks)
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -195,7 +195,7 @@ def _star(buckets: DataFrame, rank: list[str], when: Column | None = None) -> Da
 
 
 def _confirm(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+    """The pairs whose full sets reach the similarity, stored."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = classes.join(ends, "cid", "left_semi").select("k1", "k2", "id_hash", "cid")
     bits = keyed.sparkSession.sparkContext.broadcast(_bitmap(wanted))
@@ -206,7 +206,9 @@ def _confirm(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             .join(members.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b"))
     inter = F.size(F.array_intersect("ma", "mb"))
     union = F.size("ma") + F.size("mb") - inter
-    return both.filter(inter * 100 >= union * PERCENT).select("a", "b")
+    links = store(both.filter(inter * 100 >= union * PERCENT).select("a", "b"), "links")
+    discard(members)
+    return links
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
     keyed = _keyed(docs, id_col, text_col)
     buckets = _shared_buckets(classes)
     tried = store(_star(buckets, []), "pairs")
-    links = store(_confirm(keyed, classes, tried), "links")
+    links = _confirm(keyed, classes, tried)
     roots = store(contract(links), "roots", 2 * links.count())
     while True:
         degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree"))
@@ -257,7 +259,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
                     "pairs")
         if new.isEmpty():
             return roots
-        more = store(_confirm(keyed, classes, new), "links")
+        more = _confirm(keyed, classes, new)
         if more.isEmpty():
             return roots
         tried, links = tried.union(new), links.union(more)
@@ -281,7 +283,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = linked_components(docs, classes, id_col, text_col).withColumnRenamed("node", "cid")
     named = classes.join(roots, "cid", "left").select("k1", "k2", "rep", F.coalesce("root", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_set = named.join(least, "comp").select("k1", "k2", "component_id")
+    of_set = store(named.join(least, "comp").select("k1", "k2", "component_id"), "components")
+    discard(classes)
     out = sig.select("id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     cid = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"),

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import U64, BitFilter, Rolling, bitmap_of, lists_of, prepare, store, text_chunks
+from disputelens.llm.common import U64, BitFilter, Rolling, bitmap_of, discard, prepare, store, text_chunks
 
 LENGTH = 200
 CORE = 100
@@ -316,11 +316,14 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     fragments = (places.filter(F.col("flanks").isNotNull()).groupBy("core", "key")
                  .agg(F.first("n").alias("n"), F.first("left").alias("left"), F.count("*").alias("weight"),
                       F.first("flanks").alias("flanks")).join(several, "core", "left_semi"))
-    runs = store(_runs(store(fragments, "fragments"), group), "runs")
+    fragments = store(fragments, "fragments")
+    runs = store(_runs(fragments, group), "runs")
     back = places.select("name", "core", "key", "at").join(runs, ["core", "key"])
     spans = alike.select("name", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("hi")).union(
         back.select("name", F.col("at") + F.col("first"), F.col("at") + F.col("last") + (LENGTH - 1)))
-    return spans.distinct().groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = store(spans.distinct().groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(cores, places, fragments, runs)
+    return found
 
 
 def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
