@@ -15,6 +15,12 @@ agrees for two sets with probability equal to their Jaccard similarity, and
   components and take the class with most confirmed links as centre, which
   finds the original of a family whose copies are too far from each other. The
   rounds end when one adds no link.
+* Stars don't test all pairs, so classes of buckets that then still hold several
+  components are joined exactly, on their full sets and only between different
+  components. Only shingles that two components hold can be common; a class
+  emits the rarest of those until too few are left to reach the similarity
+  (a prefix), and sizes and places in the order bound the pairs. A shingle of many
+  classes is compared in blocks.
 * Each candidate is confirmed on the full sets; components follow by
   contracting the links, with tables in the shared folder between the steps. Nothing but
   a fixed-size bitmap and row counts reaches the driver.
@@ -48,6 +54,8 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Bits of the filter that keeps sets of classes without a candidate edge from being shuffled.
 FILTER_BITS = 1 << 23
+#: Classes of one shingle that a block of the exact join compares with another's.
+BLOCK = 256
 #: Densification draws: for each attempt, the bin that each empty bin looks at.
 _DRAWS = np.random.Generator(np.random.PCG64(77)).integers(0, BINS, (1024, BINS))
 _BAND_MULT = np.random.Generator(np.random.PCG64(78)).integers(1, 2**63, BINS, dtype=np.uint64) * U64(2) + U64(1)
@@ -194,23 +202,85 @@ def _star(buckets: DataFrame, rank: list[str], when: Column | None = None) -> Da
     return pairs.select(F.least("cid", "centre.cid").alias("a"), F.greatest("cid", "centre.cid").alias("b")).distinct()
 
 
-def _confirm(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the similarity, stored."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = classes.join(ends, "cid", "left_semi").select("k1", "k2", "id_hash", "cid")
+def _members(keyed: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    """(cid, members): the full sets of the classes in ``cids``, stored."""
+    wanted = classes.join(cids, "cid", "left_semi").select("k1", "k2", "id_hash", "cid")
     bits = keyed.sparkSession.sparkContext.broadcast(_bitmap(wanted))
     found = keyed.mapInArrow(_sets(bits), "k1 long, k2 long, id_hash long, members array<long>")
     # copies of a representative (same id, same text) give equal sets: any of them will do
-    members = store(found.join(wanted, ["k1", "k2", "id_hash"]).dropDuplicates(["cid"]).select("cid", "members"), "sets")
+    return store(found.join(wanted, ["k1", "k2", "id_hash"]).dropDuplicates(["cid"]).select("cid", "members"), "sets")
+
+
+def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the similarity, stored."""
     both = (pairs.join(members.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
             .join(members.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b"))
     inter = F.size(F.array_intersect("ma", "mb"))
     union = F.size("ma") + F.size("mb") - inter
-    links = store(both.filter(inter * 100 >= union * PERCENT).select("a", "b"), "links")
+    return store(both.filter(inter * 100 >= union * PERCENT).select("a", "b"), "links")
+
+
+def _confirm(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the similarity, stored; the sets are made for them."""
+    members = _members(keyed, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    links = _linked(pairs, members)
     discard(members)
     return links
 
 
+def _prefixes(open_classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(shingle, cid, root, n, rest): the shingles of which a link to another component must hold the first.
+
+    Shingles that two components hold are ordered from rare to common. ``rest``
+    counts those of the class from this one on, itself included: a link whose
+    first common shingle this is has no larger intersection.
+    """
+    rows = open_classes.join(members, "cid").select("cid", "root", F.explode("members").alias("shingle"))
+    across = (rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+              .filter("lo < hi").select("shingle", "m"))
+    held = (rows.select("cid", "shingle").join(across, "shingle").groupBy("cid")
+            .agg(F.sort_array(F.collect_list(F.struct("m", "shingle"))).alias("held")))
+    rest = F.size("held") - F.col("at")
+    return store(held.join(open_classes, "cid").filter(F.size("held") * 100 >= F.col("n") * PERCENT)
+                 .select("cid", "root", "n", "held", F.posexplode("held").alias("at", "s"))
+                 .filter(rest * 100 >= F.col("n") * PERCENT)
+                 .select("s.shingle", "cid", "root", "n", rest.alias("rest")), "prefixes")
+
+
+def _prefix_pairs(prefixes: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of different components that may link, stored."""
+    several = (prefixes.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+               .filter("lo < hi").select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    rows = prefixes.join(several, "shingle").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    one = rows.select("shingle", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"),
+                      *[F.col(c).alias(f"{c}1") for c in ("cid", "root", "n", "rest")])
+    two = rows.select("shingle", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"),
+                      *[F.col(c).alias(f"{c}2") for c in ("cid", "root", "n", "rest")])
+    pairs = one.join(two, ["shingle", "x", "y"]).filter(
+        (F.col("root1") != F.col("root2")) & ((F.col("x") < F.col("y")) | (F.col("cid1") < F.col("cid2")))
+        & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT)
+        & (F.least("rest1", "rest2") * (100 + PERCENT) >= (F.col("n1") + F.col("n2")) * PERCENT))
+    return store(pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct(), "pairs")
+
+
+def _links_left(keyed: DataFrame, classes: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """All links between the components of ``roots`` among classes that share a bucket; None without such classes."""
+    rows = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    # the first star settled the buckets of two classes
+    left = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter(
+        "lo < hi and m > 2")
+    open_classes = store(rows.join(left.select("bucket"), "bucket", "left_semi").select("cid", "n", "root").distinct(), "open")
+    if open_classes.isEmpty():
+        return None
+    members = _members(keyed, classes, open_classes.select("cid"))
+    prefixes = _prefixes(open_classes, members)
+    pairs = _prefix_pairs(prefixes)
+    links = _linked(pairs, members)
+    discard(open_classes, members, prefixes, pairs)
+    return links
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node that it reaches.
 
@@ -241,6 +311,16 @@ def follow(roots: DataFrame, later: DataFrame) -> DataFrame:
     return roots.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the components that the links ``more`` connect as one."""
+    of = roots.select(F.col("node"), F.col("root"))
+    ends = (more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left")
+            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct())
+    merged = contract(store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                            "edges"))
+    return store(follow(roots, merged).union(merged.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) of the classes with a confirmed link."""
     keyed = _keyed(docs, id_col, text_col)
@@ -257,19 +337,16 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
         buckets = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
         new = store(_star(buckets, ["degree"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"),
                     "pairs")
+        buckets = buckets.select("bucket", "cid", "n")
         if new.isEmpty():
-            return roots
+            break
         more = _confirm(keyed, classes, new)
         if more.isEmpty():
-            return roots
+            break
         tried, links = tried.union(new), links.union(more)
-        of = roots.select(F.col("node"), F.col("root"))
-        ends = (more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left")
-                .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct())
-        merged = contract(store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                                "edges"))
-        roots = store(follow(roots, merged).union(merged.join(roots.select("node"), "node", "left_anti")), "roots")
-        buckets = buckets.select("bucket", "cid", "n")
+        roots = _joined(roots, more)
+    more = _links_left(keyed, classes, buckets, roots)
+    return roots if more is None or more.isEmpty() else _joined(roots, more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,6 +182,27 @@ def test_near_duplicate_families_and_chains(spark):
     assert got == components([(i, t) for i, t, _ in docs])
 
 
+def boilerplate_family(seed, pairs):
+    """Texts on one boilerplate: 0.74 to each other, but each has a partner at 0.755, by two words more."""
+    out = []
+    for k in range(pairs):
+        same = [*(f"b{seed}w{i}" for i in range(150)), f"s{seed}p{k}x", f"s{seed}p{k}y"]
+        out += [" ".join(same + [f"{side}{seed}p{k}z{i}" for i in range(24)]) for side in "ab"]
+    return out
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_near_duplicates_linked_to_each_other_only(spark, monkeypatch, block):
+    """A third text is the centre of most buckets that two linked texts share."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = boilerplate_family(1, 40) + boilerplate_family(2, 15) + family(6, 12, 120, 4)[1:]
+    random.Random(8).shuffle(texts)
+    docs = [(i, t, "en") for i, t in enumerate(texts)]
+    want = components([(i, t) for i, t, _ in docs])
+    assert sum(r[3] for r in want) >= 55
+    assert rows_of(minhash.near_duplicates(hard_docs(spark, docs)), *OP8) == want
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark):
     docs = hard_docs(spark)
     kept = minhash.keep_one(docs)
