@@ -8,7 +8,9 @@ template word t votes for the diagonal p - t. Votes are counted by (document,
 template, diagonal); diagonals at most ``GAP`` apart (inserted or left-out words)
 are merged into one span; a span is verified by the share of the template's
 words that its exact k-gram matches cover and by their density in the document.
-Verified spans add the template's label.
+Neighbouring diagonals may also be occurrences of a short template side by side,
+so each run of consecutive diagonals of a span is verified, and the best share
+counts. Verified spans add the template's label.
 
 The documents' words are exploded and joined in the scan stage: the templates are
 fixed text (a few hundred k-grams), so that side is broadcast. Only votes and
@@ -157,13 +159,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     merged = (diagonals.withColumn("apart", apart)
               .withColumn("span", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .groupBy("row", "template", "label", "length", "span")
-              .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("offs")).alias("offs"),
+              .agg(F.sort_array(F.collect_list(F.struct("diagonal", "lo", "hi", "offs"))).alias("parts"),
                    *[F.max(c).alias(c) for c in line]))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("offs", lambda o: F.sequence(o, o + (K - 1))))))
-    share = F.col("covered") / F.col("length")
-    density = F.col("covered") / (F.col("hi") - F.col("lo") + K)
-    spans = merged.withColumn("covered", covered).withColumn(
-        "share", F.when((F.col("template") >= 0) & (share >= MIN_COVER) & (density >= MIN_DENSITY), share))
+
+    def verified(run: Column) -> Column:
+        """The share of a run of diagonals that is verified, else null."""
+        covered = F.size(F.array_distinct(F.flatten(F.transform(
+            F.flatten(run["offs"]), lambda o: F.sequence(o, o + (K - 1))))))
+        share = covered / F.col("length")
+        density = covered / (F.array_max(run["hi"]) - F.array_min(run["lo"]) + K)
+        return F.when((F.col("template") >= 0) & (share >= MIN_COVER) & (density >= MIN_DENSITY), share)
+
+    # the density bounds a run's words and so its diagonals
+    most = F.greatest(F.ceil(F.col("length") / MIN_DENSITY).cast("int"), F.lit(1))
+    best = F.transform("parts", lambda _, i: F.array_max(F.transform(
+        F.sequence(F.lit(1), F.least(F.size("parts") - i, most)), lambda k: verified(F.slice("parts", i + 1, k)))))
+    spans = merged.withColumn("share", F.array_max(best))
     out = spans.groupBy("row").agg(
         *[F.max(c).alias(c) for c in line], F.max("share").alias("share"),
         F.collect_set(F.when(F.col("share").isNotNull(), F.col("label"))).alias("added"))

@@ -149,6 +149,25 @@ def test_license_spans(spark):
     assert found[1].score == 1.0 and found[3].score == 0.0 and 0.75 <= found[2].score <= 1
 
 
+def test_license_short_notices_side_by_side(spark):
+    released = "Released under the MIT License"
+    cases = {
+        1: ("All rights reserved. All rights reserved.", "all-rights-reserved"),
+        2: ("All rights reserved. " * 30, "all-rights-reserved"),
+        3: ("All rights reserved - all rights reserved", "all-rights-reserved"),
+        4: ("All rights reserved, x all rights reserved", "all-rights-reserved"),
+        5: ("Licensed under CC BY. Licensed under CC BY.", "cc-by,cc-short"),
+        6: (f"{released}. {released}.", "mit,mit-short"),
+        7: ("rights reserved all rights reserved all", "all-rights-reserved"),
+        8: ("all rights, rights reserved", ""),
+        # an occurrence with two words inserted, and the end of another
+        9: ("Licensed under the Apache x y License, Version 2.0 Apache License, Version 2.0", "apache,apache-short"),
+    }
+    got = license_scan.scan(hard_docs(spark, [(i, t, "en") for i, (t, _) in cases.items()]))
+    assert rows_of(got, "doc_id", "labels") == [(i, label) for i, (_, label) in cases.items()]
+    assert {r[1] for r in rows_of(got.filter("labels <> ''"), "doc_id", "score")} == {1.0}
+
+
 def test_license_plan_is_native(spark):
     plan = license_scan.scan(table(spark, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
