@@ -54,7 +54,7 @@ DEPTH = LENGTH - CORE + 1
 BLOCK = 1 << 20
 GROUP = 5000
 FILTER_BITS = 1 << 26
-#: Bits of a position within a chunk; longer texts are taken in overlapping pieces.
+#: Bits of a position within an array; longer texts are taken in overlapping pieces, each an array of its own.
 _POS_BITS = 26
 _PIECE = 1 << 25
 
@@ -70,20 +70,30 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 class Fragments:
-    """The fragments of several texts, in order: text, at (first window), n (windows), anchor, keys."""
+    """The fragments of several texts, in order: text, at (first window), n (windows), left (the anchor's place), keys."""
 
     def __init__(self, texts: list[bytes], rolling: Rolling):
-        pieces = [(i, o, t[o:o + _PIECE + LENGTH - 1] if len(t) > _PIECE else t)
-                  for i, t in enumerate(texts) if len(t) >= LENGTH
-                  for o in range(0, max(1, len(t) - LENGTH + 1), _PIECE)]
-        self.raw = b"".join([p[2] for p in pieces])
-        data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.texts = texts
+        parts, group, size = [], [], 0
+        for i, t in enumerate(texts):
+            for o in range(0, len(t) - LENGTH + 1, _PIECE):
+                piece = t[o:o + _PIECE + LENGTH - 1] if len(t) > _PIECE else t
+                if group and size + len(piece) > _PIECE + LENGTH - 1:  # positions start at 0 again
+                    parts.append(self._part(group, rolling))
+                    group, size = [], 0
+                group.append((i, o, piece))
+                size += len(piece)
+        if group:
+            parts.append(self._part(group, rolling))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 6
+        self.text, self.at, self.n, self.left, self.core_key, self.key = columns
+
+    @staticmethod
+    def _part(pieces: list[tuple[int, int, bytes]], rolling: Rolling) -> tuple[np.ndarray, ...]:
+        """The columns of the fragments of pieces (text, offset, bytes) that one array holds."""
+        data = np.frombuffer(b"".join([p[2] for p in pieces]), dtype=np.uint8)
         size = np.fromiter((len(p[2]) for p in pieces), dtype=np.int64, count=len(pieces))
         begin = np.cumsum(size) - size
-        if not len(data):
-            self.text = self.at = self.n = self.lo = self.anchor = np.zeros(0, dtype=np.int64)
-            self.core_key = self.key = np.zeros(0, dtype=np.int64)
-            return
         prefix = rolling.prefix(data)
         grams = len(data) - CORE + 1
         order = (prefix[CORE:] - prefix[:grams]) * rolling.down[:grams] * U64(0xD6E8FEB86659FD93)
@@ -95,18 +105,19 @@ class Fragments:
         start = np.flatnonzero(valid)
         anchor = (least[start] & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        self.n = np.diff(np.concatenate([first, [len(start)]]))
-        self.lo, self.anchor = start[first], anchor[first]
-        piece = np.searchsorted(begin, self.lo, side="right") - 1
-        self.text = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
-        self.at = self.lo - begin[piece] + np.array([p[1] for p in pieces], dtype=np.int64)[piece]
-        self.core_key = rolling.spans(prefix, self.anchor, self.anchor + CORE).view(np.int64)
-        self.key = rolling.spans(prefix, self.lo, self.lo + self.n + LENGTH - 1).view(np.int64)
+        n = np.diff(np.concatenate([first, [len(start)]]))
+        lo, anchor = start[first], anchor[first]
+        piece = np.searchsorted(begin, lo, side="right") - 1
+        text = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
+        at = lo - begin[piece] + np.array([p[1] for p in pieces], dtype=np.int64)[piece]
+        core_key = rolling.spans(prefix, anchor, anchor + CORE).view(np.int64)
+        key = rolling.spans(prefix, lo, lo + n + LENGTH - 1).view(np.int64)
+        return text, at, n, anchor - lo, core_key, key
 
     def flanks(self, i: int) -> bytes:
         """The fragment's bytes but for the k-gram."""
-        lo, a = int(self.lo[i]), int(self.anchor[i])
-        return self.raw[lo:a] + self.raw[a + CORE:lo + int(self.n[i]) + LENGTH - 1]
+        t, lo, a = self.texts[self.text[i]], int(self.at[i]), int(self.at[i] + self.left[i])
+        return t[lo:a] + t[a + CORE:lo + int(self.n[i]) + LENGTH - 1]
 
 
 def _count_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +146,7 @@ def _places(repeated, mixed):
             flanks = [f.flanks(j) if s else None for j, s in zip(i.tolist(), several(f.core_key[i]).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("name").take(pa.array(f.text[i])), *map(pa.array, (f.core_key[i], f.key[i], f.at[i], f.n[i])),
-                 pa.array(f.anchor[i] - f.lo[i]), pa.array(flanks, type=pa.binary())],
+                 pa.array(f.left[i]), pa.array(flanks, type=pa.binary())],
                 names=["name", "core", "key", "at", "n", "left", "flanks"])
     return run
 

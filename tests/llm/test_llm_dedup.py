@@ -121,6 +121,23 @@ def test_long_texts_in_pieces(monkeypatch):
     assert sorted(starts) == [(t, s) for t in (0, 2) for s in range(len(text) - 199)]
 
 
+def test_positions_of_long_texts_fit_their_bits(monkeypatch):
+    from disputelens.llm.common import Rolling
+
+    text = repeat_texts(5)[10][1].encode() * 9
+    whole = suffix_dedup.Fragments([text], Rolling())
+    monkeypatch.setattr(suffix_dedup, "_POS_BITS", 11)
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 1 << 10)
+    assert len(text) > 2 << 11
+    f = suffix_dedup.Fragments([text, b"short", text[:300]], Rolling())
+    starts = [(t, s) for t, a, n in zip(f.text.tolist(), f.at.tolist(), f.n.tolist()) for s in range(a, a + n)]
+    assert sorted(starts) == [(0, s) for s in range(len(text) - 199)] + [(2, s) for s in range(101)]
+    assert {len(f.flanks(i)) - n for i, n in enumerate(f.n.tolist())} == {suffix_dedup.LENGTH - suffix_dedup.CORE - 1}
+    keys = dict(zip((f.at + f.left).tolist(), f.core_key.tolist()))
+    assert len(set(keys.values())) == len({text[a:a + suffix_dedup.CORE] for a in keys})
+    assert set(whole.core_key.tolist()) & set(keys.values())
+
+
 def test_kept_texts(spark):
     docs = hard_docs(spark)
     cut = suffix_dedup.kept_texts(docs)
