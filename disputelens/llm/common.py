@@ -71,6 +71,12 @@ def discard(*tables: DataFrame) -> None:
         delete_path(t.sparkSession, t.stored_at)
 
 
+def file_bytes(path: str) -> bytes:
+    """A file of the driver, to be broadcast: executors needn't have it at that path."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -87,3 +87,82 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
 FROM first
 """
+
+#: SHA-256 of a turn, as the trie names it; turns of a conversation in order.
+_TURN_DIGEST = "sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE bits(b, v, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), step AS MATERIALIZED (
+  SELECT b, v FROM bits WHERE k = 8
+), turns AS MATERIALIZED (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS at
+  FROM (SELECT conv_id, turn, {_TURN_DIGEST} AS digest, len({spaced_words('text', False)}) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS MATERIALIZED (
+  SELECT conv_id, conv_id::VARCHAR AS s, count(*) AS n FROM turns GROUP BY 1
+), crc(conv_id, s, i, v) AS (
+  SELECT conv_id, s, 0, 4294967295::BIGINT FROM convs
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(crc.v >> 8, step.v) FROM crc
+  JOIN step ON step.b = xor(crc.v & 255, ascii(substr(s, i + 1, 1))) WHERE i < length(s)
+), plan AS MATERIALIZED (
+  SELECT c.conv_id, c.n, h, least(h, coalesce(d.n, 0)) AS taken, c.conv_id - c.conv_id % 20 AS donor
+  FROM (SELECT conv_id, n, xor(v, 4294967295) % 4 AS h FROM convs JOIN crc USING (conv_id) WHERE i = length(crc.s)) c
+  LEFT JOIN convs d ON d.conv_id = c.conv_id - c.conv_id % 20
+), rebuilt AS (
+  SELECT conv_id, at - h + taken AS depth, digest, words FROM turns JOIN plan USING (conv_id) WHERE at > h
+  UNION ALL
+  SELECT p.conv_id, t.at, digest, words FROM plan p JOIN turns t ON t.conv_id = p.donor AND t.at <= p.taken
+), prefixes AS MATERIALIZED (
+  SELECT conv_id, depth, words, sha256(string_agg(digest, '') OVER w) AS name,
+         depth = count(*) OVER (PARTITION BY conv_id) AS last
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL
+  SELECT conv_id, 0, 0, '', taken = 0 AND n <= h FROM plan
+), linked AS MATERIALIZED (
+  SELECT *, lag(name) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM prefixes
+), nodes AS MATERIALIZED (
+  SELECT name, any_value(above) AS above, any_value(depth) AS depth, any_value(words) AS words,
+         min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM linked GROUP BY name
+), children AS (
+  SELECT above AS name, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY 1
+), known AS MATERIALIZED (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (name)
+), subtrees AS (
+  SELECT p.name, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * k.words) AS saved_tokens
+  FROM known k JOIN prefixes p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY 1
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs,
+       k.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM known k JOIN subtrees USING (name) LEFT JOIN nodes p ON p.name = k.above
+"""
+
+#: A control string of the chat template, with the backslashes that escapes have put into it.
+_CONTROL = r"[<\[]\\*/?(s>|INST\])"
+
+CHAT_FORMAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL
+  SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, {_TURN_DIGEST} AS digest,
+         length(role) + length(text) + 3 + 4 + CASE WHEN role = 'assistant' THEN 7 ELSE 6 END
+         + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, digest)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, digest)) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
