@@ -99,7 +99,7 @@ WITH RECURSIVE bits(b, v, k) AS (
 ), step AS MATERIALIZED (
   SELECT b, v FROM bits WHERE k = 8
 ), turns AS MATERIALIZED (
-  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS at
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place
   FROM (SELECT conv_id, turn, {_TURN_DIGEST} AS digest, len({spaced_words('text', False)}) AS words
         FROM conversations WHERE conv_id IS NOT NULL)
 ), convs AS MATERIALIZED (
@@ -114,9 +114,9 @@ WITH RECURSIVE bits(b, v, k) AS (
   FROM (SELECT conv_id, n, xor(v, 4294967295) % 4 AS h FROM convs JOIN crc USING (conv_id) WHERE i = length(crc.s)) c
   LEFT JOIN convs d ON d.conv_id = c.conv_id - c.conv_id % 20
 ), rebuilt AS (
-  SELECT conv_id, at - h + taken AS depth, digest, words FROM turns JOIN plan USING (conv_id) WHERE at > h
+  SELECT conv_id, place - h + taken AS depth, digest, words FROM turns JOIN plan USING (conv_id) WHERE place > h
   UNION ALL
-  SELECT p.conv_id, t.at, digest, words FROM plan p JOIN turns t ON t.conv_id = p.donor AND t.at <= p.taken
+  SELECT p.conv_id, t.place, digest, words FROM plan p JOIN turns t ON t.conv_id = p.donor AND t.place <= p.taken
 ), prefixes AS MATERIALIZED (
   SELECT conv_id, depth, words, sha256(string_agg(digest, '') OVER w) AS name,
          depth = count(*) OVER (PARTITION BY conv_id) AS last
