@@ -50,10 +50,15 @@ RANGE = 32 << 10
 FAN = 8
 #: Linked id pairs that one broadcast holds, about.
 SLICE = 500_000
-#: Distinct words that a worker remembers.
-WORDS = 200_000
+#: Distinct words of a generation that a worker remembers, and words that are tokenized as one text.
+WORDS = 150_000
+TOGETHER = 1000
 
 _CUT = re.compile(r"(?<=\S) ")
+#: Fixed value: the parts into which byte-level BPE of this kind splits a text.
+_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words of Latin characters, on whose kinds all Unicode tables agree, that don't end in white space.
+_TOGETHER = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*[\x21-\x7e\xa1-\xac\xae-\u024f]")
 Tokens = list[tuple[int, int]]  # (id, end offset)
 
 
@@ -151,7 +156,10 @@ def compose(x: Fragment, y: Fragment, width: int) -> Fragment:
 # --- words and texts ------------------------------------------------------------------
 
 class Aligner:
-    """Both tokenizers and the closed fragments of known words."""
+    """Both tokenizers and the closed fragments of words.
+
+    A worker keeps the words of its last batches, in two generations of at most ``WORDS``.
+    """
 
     def __init__(self, spec_a: bytes, model_b: bytes):
         import sentencepiece
@@ -162,9 +170,10 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        model = json.loads(spec_a)["model"]
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        vocab = json.loads(spec_a)["model"]["vocab"]
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
+        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
+        self.plain = self._by_ranks(model)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         self.width = self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.width)]
@@ -173,64 +182,148 @@ class Aligner:
         self.space = pieces.index("▁")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        self.words: dict[str, tuple] = {}
-
-    def tokens(self, words: list[str]) -> Iterator[tuple[Tokens, Tokens, bool]]:
-        """(A's tokens, B's tokens, whether both give the bytes) of a space and each word."""
-        of_a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        of_b = self.b.encode(words, num_threads=1)
-        for word, ea, eb in zip(words, of_a, of_b):
-            want = b" " + word.encode()
-            eb = eb or [self.space]  # a lone space: the library adds none before an empty text
-            parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ea.ids], [self.bytes_b[i] for i in eb]
-            ok = b"".join(parts_a) == want and b"".join(parts_b) == want
-            yield _ends(ea.ids, parts_a), _ends(eb, parts_b), ok
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Make the closed fragments of words that aren't known."""
-        new = [w for w in set(words) if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words = {}
-            new = list(set(words))
-        for word, (a, b, ok) in zip(new, self.tokens(new)):
-            f = closed_fragment(a, b, self.width)
-            self.words[word] = (b";".join(f.groups), f.links, f.n_a, f.n_b, f.n_groups, ok, len(word.encode()) + 1)
-
-    def range_fragment(self, words: list[str], lo: int, hi: int) -> Fragment:
-        """The fragment of bytes lo..hi of the words, each with its space before it: closed fragments of the words
-        inside, composed by joining, and the tokens that end in the range of those that it cuts."""
-        known = [self.words[w] for w in words]
-        ends = np.cumsum([k[6] for k in known])
-        first = 0 if lo == 0 else 1  # the first word may begin before lo, the last one end after hi
-        last = len(known) - (1 if ends[-1] > hi else 0)
-        middle = Fragment()
-        middle.cut = last > first
-        for g, links, n_a, n_b, n_groups, ok, _ in known[first:last]:
-            middle.groups.append(g)
-            middle.links += links
-            middle.n_a += n_a
-            middle.n_b += n_b
-            middle.n_groups += n_groups
-        out = None
-        for k, part in ((0, None), (-1, middle), (len(known) - 1, None)):
-            if part is None:
-                if k in range(first, last) or (k == 0 and out is not None):
-                    continue
-                at = int(ends[k]) - known[k][6]
-                (a, b, _), = self.tokens([words[k]])
-                a, b = ([(i, at + e) for i, e in t if lo < at + e <= hi] for t in (a, b))
-                part = fragment_of(a, b, self.width)
-                if k and at > lo:  # the word begins in the range, at a common end
-                    start = Fragment()
-                    start.cut = True
-                    part = compose(start, part, self.width)
-            elif not part.cut:
-                continue
-            out = part if out is None else compose(out, part, self.width)
-        out = out or Fragment()
-        out.ok = all(k[5] for k in known)
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.size_b = np.array([len(p) for p in self.bytes_b])
+        self.decimal = [f"{i}{mark}".encode() for i in range(max(len(self.size_a), self.width)) for mark in ",|;"]
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def _by_ranks(self, model: dict):
+        """A's merges by rank for plain Latin text, if its ids are in the sequence of its merges; None otherwise."""
+        merges = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in model["merges"]]
+        vocab = model["vocab"]
+        if sorted(self.bytes_a)[:256] != list(range(256)) or any(len(self.bytes_a[i]) != 1 for i in range(256)) \
+                or any(vocab[x + y] != 256 + k for k, (x, y) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        ranks = {t: i for i, t in self.bytes_a.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("plain", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def tokens(self, word: str) -> tuple[Tokens, Tokens, bool]:
+        """A's tokens, B's tokens, and whether both give the bytes of a space and the word."""
+        ids_a = self.a.encode(" " + word, add_special_tokens=False).ids
+        ids_b = self.b.encode(word) or [self.space]  # a lone space: the library adds none before an empty text
+        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        want = b" " + word.encode()
+        return _ends(ids_a, parts_a), _ends(ids_b, parts_b), b"".join(parts_a) == want and b"".join(parts_b) == want
+
+    def known(self, words: set[str]) -> dict[str, tuple | None]:
+        """The closed fragment of each word: (groups, each with ";" after it, links as 8-byte numbers, n_a, n_b,
+        n_groups, bytes); None where tokens don't give back the bytes."""
+        out, new = {}, []
+        for w in words:
+            if w in self.young:
+                out[w] = self.young[w]
+            elif w in self.old:
+                out[w] = self.young[w] = self.old[w]
+            else:
+                new.append(w)
+        together = [w for w in new if _TOGETHER.fullmatch(w)] if self.plain else []
+        for at in range(0, len(together), TOGETHER):
+            out |= self._made_together(together[at:at + TOGETHER])
+        for w in new:
+            if w not in out:
+                out[w] = self._made(w)
+        for w in new:
+            self.young[w] = out[w]
+        if len(self.young) > WORDS:
+            self.old, self.young = self.young, {}
+        return out
+
+    def _made(self, word: str) -> tuple | None:
+        a, b, ok = self.tokens(word)
+        if not ok:
+            return None
+        f = closed_fragment(a, b, self.width)
+        return (b"".join(g + b";" for g in f.groups), np.array(f.links, dtype=np.int64).tobytes(), f.n_a, f.n_b, f.n_groups,
+                len(word.encode()) + 1)
+
+    def _made_together(self, words: list[str]) -> dict[str, tuple]:
+        """``_made`` of many words as one text: between them both tokenizers have a token end."""
+        text = " ".join(words)
+        ids_a, ids_b = self.plain.encode_ordinary(" " + text), self.b.encode(text)
+        want = (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != want or b"".join(map(self.bytes_b.__getitem__, ids_b)) != want:
+            return {}
+        ids_a, ids_b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        sizes = [len(w.encode()) + 1 for w in words]
+        ends = np.cumsum(sizes)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not np.isin(ends, common).all():
+            return {}
+        group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
+        kind = np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        order = np.argsort(group * 2 + kind, kind="stable")  # a group's A ids, then its B ids
+        side = (group * 2 + kind)[order]
+        closes = np.concatenate([side[1:] != side[:-1], [True]])
+        marks = np.where(closes, 1 + kind[order], 0)
+        texts = [self.decimal[i] for i in (np.concatenate([ids_a, ids_b])[order] * 3 + marks).tolist()]
+        n_a, n_b = np.searchsorted(ends_a, ends, side="right"), np.searchsorted(ends_b, ends, side="right")
+        # between neighbouring ends of either kind lies the common part of one token of each: a link
+        parts = np.union1d(ends_a, ends_b)
+        links = ids_a[np.searchsorted(ends_a, parts)] * self.width + ids_b[np.searchsorted(ends_b, parts)]
+        cut = [np.concatenate([[0], c]).tolist() for c in (
+            n_a + n_b, np.searchsorted(parts, ends, side="right"), n_a, n_b, np.searchsorted(common, ends, side="right"))]
+        t, k, a, b, g = cut
+        return {w: (b"".join(texts[t[i]:t[i + 1]]), links[k[i]:k[i + 1]].tobytes(), a[i + 1] - a[i], b[i + 1] - b[i],
+                    g[i + 1] - g[i], sizes[i]) for i, w in enumerate(words)}
+
+    def closed(self, words: list[str], known: dict[str, tuple | None]) -> Fragment:
+        """The composition of words: their closed fragments, joined."""
+        out = Fragment()
+        out.cut = bool(words)
+        found = [known[w] for w in words]
+        if None in found:
+            out.ok = False
+        elif found:
+            groups, links, n_a, n_b, n_groups, _ = zip(*found)
+            out.groups = [b"".join(groups)[:-1]]
+            out.links = np.frombuffer(b"".join(links), dtype=np.int64)
+            out.n_a, out.n_b, out.n_groups = sum(n_a), sum(n_b), sum(n_groups)
+        return out
+
+    def range_fragment(self, words: list[str], lo: int, hi: int, known: dict[str, tuple | None]) -> Fragment:
+        """The fragment of bytes lo..hi of the words, each with its space before it: the words inside, and the tokens
+        that end in the range of the words that it cuts (the first before lo, the last after hi)."""
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        first = 1 if lo > 0 else 0
+        last = len(words) - (1 if ends[-1] > hi else 0)
+        parts = []
+        if first:
+            parts.append(self._cut_word(words[0], 0, lo, hi))
+        if last > first:
+            parts.append(self.closed(words[first:last], known))
+            parts[-1].links = parts[-1].links if isinstance(parts[-1].links, list) else parts[-1].links.tolist()
+        if last < len(words) and last >= first:
+            at = int(ends[-1]) - len(words[-1].encode()) - 1
+            begin = Fragment()
+            begin.cut = True  # the word begins in the range, at a common end
+            parts.append(compose(begin, self._cut_word(words[-1], at, lo, hi), self.width))
+        out = parts[0]
+        for p in parts[1:]:
+            out = compose(out, p, self.width)
+        out.ok = all(known[w] is not None for w in words)
         return out
 
+    def _cut_word(self, word: str, at: int, lo: int, hi: int) -> Fragment:
+        a, b, _ = self.tokens(word)
+        a, b = ([(i, at + e) for i, e in t if lo < at + e <= hi] for t in (a, b))
+        return fragment_of(a, b, self.width)
+
+
+_ALIGNERS: dict[str, Aligner] = {}
+
+
+def _aligner(files) -> Aligner:
+    """The worker's aligner of the broadcast (name, A's file, B's file); tasks that follow each other share its words."""
+    name, spec_a, model_b = files.value
+    if name not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[name] = Aligner(spec_a, model_b)
+    return _ALIGNERS[name]
+
 
 def _ends(ids: list[int], parts: list[bytes]) -> Tokens:
     out, at = [], 0
@@ -295,13 +388,13 @@ def _finish(ids: pa.Array, found: list[Fragment | None], codes: list, times: lis
 def _whole(files) -> Callable:
     """Texts of one range."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*files.value)
+        aligner = _aligner(files)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 texts = [words_of(t.decode()) if t else None for t in as_bytes(rows.column("text"))]
-                aligner.learn(w for t in texts if t for w in t)
-                found = [aligner.range_fragment(t, 0, 1 << 62) if t else None for t in texts]
+                known = aligner.known({w for t in texts if t for w in t})
+                found = [aligner.closed(t, known) if t else None for t in texts]
                 counted = [_counted(f.links) if f else ([], []) for f in found]
                 yield _finish(rows.column("id"), found, *map(list, zip(*counted)))
     return run
@@ -330,13 +423,12 @@ def _cut_ranges(size: int) -> Callable:
 
 def _range_fragments(files) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*files.value)
+        aligner = _aligner(files)
         for batch in batches:
             found = []
             for lo, hi, base, text in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "base", "text"))):
                 words = words_of(text)
-                aligner.learn(words)
-                f = aligner.range_fragment(words, lo, hi)
+                f = aligner.range_fragment(words, lo, hi, aligner.known(set(words)))
                 f.prefix, f.suffix = (tuple([(i, base + e) for i, e in t] for t in side) for side in (f.prefix, f.suffix))
                 found.append(f)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "number")), *_columns(found)],
@@ -406,7 +498,8 @@ def align(docs: DataFrame, tokenizer_a: str, model_b: str, id_col: str = "doc_id
     The tree's steps run when called.
     """
     spark = prepare(docs.sparkSession)
-    files = spark.sparkContext.broadcast((file_bytes(tokenizer_a), file_bytes(model_b)))
+    specs = file_bytes(tokenizer_a), file_bytes(model_b)
+    files = spark.sparkContext.broadcast((hashlib.sha256(b"".join(specs)).hexdigest(), *specs))
     width = vocabulary_size(model_b)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
