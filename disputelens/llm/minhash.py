@@ -13,14 +13,18 @@ agrees for two sets with probability equal to their Jaccard similarity, and
   so a bucket of m classes gives m-1 pairs, never m*m. The first centres are
   arbitrary. Later rounds look at the buckets that still hold several
   components and take the class with most confirmed links as centre, which
-  finds the original of a family whose copies are too far from each other. The
-  rounds end when one adds no link.
+  finds the original of a family whose copies are too far from each other, or, by
+  turns, one drawn by a hash. The rounds end when two in a row add no link.
 * Stars don't test all pairs, so classes of buckets that then still hold several
   components are joined exactly, on their full sets and only between different
   components. Only shingles that two components hold can be common; a class
   emits the rarest of those until too few are left to reach the similarity
-  (a prefix), and sizes and places in the order bound the pairs. A shingle of many
-  classes is compared in blocks.
+  (a prefix). The join's condition bounds the similarity from above by sizes, by
+  places in the order, and by parity sketches: each set is folded to ``SKETCH``
+  bits, the parities of its members per bit, so two sketches differ in no more bits
+  than the sets have members that are not common. A pair that fails a bound cannot
+  link and is never put out. A shingle of many classes is compared in blocks.
+* Full sets are made once, for the classes that share a bucket, and stored.
 * Each candidate is confirmed on the full sets; components follow by
   contracting the links, with tables in the shared folder between the steps. Nothing but
   a fixed-size bitmap and row counts reaches the driver.
@@ -52,8 +56,11 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Bits of the filter that keeps sets of classes without a candidate edge from being shuffled.
-FILTER_BITS = 1 << 23
+#: Least and most bits of the filter that keeps sets of classes without a shared bucket from being shuffled
+#: (16 MB at most; the rows that pass it by chance are joined away).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Bits of a set's parity sketch (a multiple of 64).
+SKETCH = 2048
 #: Classes of one shingle that a block of the exact join compares with another's.
 BLOCK = 256
 #: Densification draws: for each attempt, the bin that each empty bin looks at.
@@ -120,6 +127,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(parts + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """SKETCH bits as longs: for each bit, whether an odd number of the members falls on it."""
+    odd = np.bincount((members % U64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
     for rows, texts in text_chunks(batches, "text"):
@@ -146,18 +159,22 @@ def _sets(wanted):
             if not hit.any():
                 continue
             at = np.flatnonzero(hit)
-            members = np.concatenate([values[offsets[i]:offsets[i + 1]] for i in at]).view(np.int64)
+            sets = [values[offsets[i]:offsets[i + 1]] for i in at]
+            members = np.concatenate(sets).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[at])])
+            words = np.concatenate([parity_sketch(x) for x in sets])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[at]), pa.array(k2[at]), pa.array(id_hash[at]), lists_of(members, ends)],
-                names=["k1", "k2", "id_hash", "members"])
+                [pa.array(k1[at]), pa.array(k2[at]), pa.array(id_hash[at]), lists_of(members, ends),
+                 lists_of(words, np.arange(len(at) + 1) * (SKETCH // 64))],
+                names=["k1", "k2", "id_hash", "members", "sketch"])
     return run
 
 
 def _bitmap(keys: DataFrame) -> bytes:
-    """FILTER_BITS bits, set at (k1 xor id_hash) of each row; at most 256 rows of 4 KB reach the driver."""
-    pos = F.col("k1").bitwiseXOR(F.col("id_hash")).bitwiseAND(F.lit(FILTER_BITS - 1))
-    return bitmap_of(keys, pos, FILTER_BITS)
+    """Bits set at (k1 xor id_hash) of each row, 8 to 16 per row within LEAST_BITS and MOST_BITS."""
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
+    pos = F.col("k1").bitwiseXOR(F.col("id_hash")).bitwiseAND(F.lit(n_bits - 1))
+    return bitmap_of(keys, pos, n_bits)
 
 
 _SIG_SCHEMA = "id {id}, id_hash long, n_shingles long, k1 long, k2 long, bands array<long>"
@@ -203,12 +220,14 @@ def _star(buckets: DataFrame, rank: list[str], when: Column | None = None) -> Da
 
 
 def _members(keyed: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
-    """(cid, members): the full sets of the classes in ``cids``, stored."""
-    wanted = classes.join(cids, "cid", "left_semi").select("k1", "k2", "id_hash", "cid")
+    """(cid, members, sketch): the full sets of the classes in ``cids``, stored."""
+    wanted = store(classes.join(cids, "cid", "left_semi").select("k1", "k2", "id_hash", "cid"), "wanted")
     bits = keyed.sparkSession.sparkContext.broadcast(_bitmap(wanted))
-    found = keyed.mapInArrow(_sets(bits), "k1 long, k2 long, id_hash long, members array<long>")
+    found = keyed.mapInArrow(_sets(bits), "k1 long, k2 long, id_hash long, members array<long>, sketch array<long>")
     # copies of a representative (same id, same text) give equal sets: any of them will do
-    return store(found.join(wanted, ["k1", "k2", "id_hash"]).dropDuplicates(["cid"]).select("cid", "members"), "sets")
+    sets = store(found.join(wanted, ["k1", "k2", "id_hash"]).dropDuplicates(["cid"]).select("cid", "members", "sketch"), "sets")
+    discard(wanted)
+    return sets
 
 
 def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -220,31 +239,24 @@ def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return store(both.filter(inter * 100 >= union * PERCENT).select("a", "b"), "links")
 
 
-def _confirm(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the similarity, stored; the sets are made for them."""
-    members = _members(keyed, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    links = _linked(pairs, members)
-    discard(members)
-    return links
-
-
 def _prefixes(open_classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(shingle, cid, root, n, rest): the shingles of which a link to another component must hold the first.
+    """(shingle, cid, root, n, rest, sketch): the shingles of which a link to another component must hold the first.
 
     Shingles that two components hold are ordered from rare to common. ``rest``
     counts those of the class from this one on, itself included: a link whose
     first common shingle this is has no larger intersection.
     """
-    rows = open_classes.join(members, "cid").select("cid", "root", F.explode("members").alias("shingle"))
+    rows = open_classes.join(members.select("cid", "members"), "cid").select("cid", "root", F.explode("members").alias("shingle"))
     across = (rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
               .filter("lo < hi").select("shingle", "m"))
     held = (rows.select("cid", "shingle").join(across, "shingle").groupBy("cid")
             .agg(F.sort_array(F.collect_list(F.struct("m", "shingle"))).alias("held")))
     rest = F.size("held") - F.col("at")
-    return store(held.join(open_classes, "cid").filter(F.size("held") * 100 >= F.col("n") * PERCENT)
-                 .select("cid", "root", "n", "held", F.posexplode("held").alias("at", "s"))
+    few = held.join(open_classes, "cid").filter(F.size("held") * 100 >= F.col("n") * PERCENT)
+    return store(few.join(members.select("cid", "sketch"), "cid")
+                 .select("cid", "root", "n", "held", "sketch", F.posexplode("held").alias("at", "s"))
                  .filter(rest * 100 >= F.col("n") * PERCENT)
-                 .select("s.shingle", "cid", "root", "n", rest.alias("rest")), "prefixes")
+                 .select("s.shingle", "cid", "root", "n", rest.alias("rest"), "sketch"), "prefixes")
 
 
 def _prefix_pairs(prefixes: DataFrame) -> DataFrame:
@@ -253,17 +265,22 @@ def _prefix_pairs(prefixes: DataFrame) -> DataFrame:
                .filter("lo < hi").select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     rows = prefixes.join(several, "shingle").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     one = rows.select("shingle", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"),
-                      *[F.col(c).alias(f"{c}1") for c in ("cid", "root", "n", "rest")])
+                      *[F.col(c).alias(f"{c}1") for c in ("cid", "root", "n", "rest", "sketch")])
     two = rows.select("shingle", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"),
-                      *[F.col(c).alias(f"{c}2") for c in ("cid", "root", "n", "rest")])
+                      *[F.col(c).alias(f"{c}2") for c in ("cid", "root", "n", "rest", "sketch")])
+    both = F.col("n1") + F.col("n2")
+    differ = sum((F.bit_count(F.get("sketch1", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH // 64)),
+                 F.lit(0))
     pairs = one.join(two, ["shingle", "x", "y"]).filter(
         (F.col("root1") != F.col("root2")) & ((F.col("x") < F.col("y")) | (F.col("cid1") < F.col("cid2")))
         & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT)
-        & (F.least("rest1", "rest2") * (100 + PERCENT) >= (F.col("n1") + F.col("n2")) * PERCENT))
+        & (F.least("rest1", "rest2") * (100 + PERCENT) >= both * PERCENT)
+        # the members that are not common are at least as many as the bits that differ
+        & ((both - differ) * (100 + PERCENT) >= both * (2 * PERCENT)))
     return store(pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct(), "pairs")
 
 
-def _links_left(keyed: DataFrame, classes: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame | None:
+def _links_left(members: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame | None:
     """All links between the components of ``roots`` among classes that share a bucket; None without such classes."""
     rows = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"))
@@ -273,33 +290,40 @@ def _links_left(keyed: DataFrame, classes: DataFrame, buckets: DataFrame, roots:
     open_classes = store(rows.join(left.select("bucket"), "bucket", "left_semi").select("cid", "n", "root").distinct(), "open")
     if open_classes.isEmpty():
         return None
-    members = _members(keyed, classes, open_classes.select("cid"))
     prefixes = _prefixes(open_classes, members)
     pairs = _prefix_pairs(prefixes)
     links = _linked(pairs, members)
-    discard(open_classes, members, prefixes, pairs)
+    discard(open_classes, prefixes, pairs)
     return links
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node that it reaches.
 
-    Each step sends a node to the least of itself and its neighbours and keeps
-    the edges that still join different nodes, so a family around one centre
-    is gone after two steps and the edges shrink from step to step.
+    Each step sends a node to the least of itself and its neighbours, then to that
+    node's own least (a jump, which halves a chain that runs in order), and keeps
+    the edges that still join different nodes. A family around one centre
+    is gone after two steps, and the edges shrink from step to step.
     """
     roots, n = None, edges.count()
+    most = n
     while True:
         near = (edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
                                               F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
                 .groupBy("node").agg(F.min("other").alias("other"))
                 .select("node", F.least("node", "other").alias("root")))
         near = store(near, "near", 2 * n)
-        edges = (edges.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-                 .join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-                 .filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        edges = store(edges, "edges", n)
-        roots = near if roots is None else follow(roots, near)
+        jumped = store(follow(near, near), "near", 2 * n)
+        left = (edges.join(jumped.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+                .join(jumped.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+                .filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = store(left, "edges", n)
+        discard(near)
+        if roots is not None:
+            before, roots = roots, store(follow(roots, jumped), "roots", 2 * most)
+            discard(before, jumped)
+        else:
+            roots = jumped
         n = edges.count()
         if not n:
             return roots
@@ -325,28 +349,36 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
     """(node, root) of the classes with a confirmed link."""
     keyed = _keyed(docs, id_col, text_col)
     buckets = _shared_buckets(classes)
+    members = _members(keyed, classes, buckets.select("cid").distinct())
     tried = store(_star(buckets, []), "pairs")
-    links = _confirm(keyed, classes, tried)
+    links = _linked(tried, members)
     roots = store(contract(links), "roots", 2 * links.count())
-    while True:
+    without, turn = 0, 0
+    while without < 2:
         degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree"))
         known = roots.withColumnRenamed("node", "cid").join(degree, "cid", "left")
+        rank = F.coalesce("degree", F.lit(0)) if turn % 2 == 0 else F.xxhash64("cid", F.lit(turn))
         rows = buckets.join(known, "cid", "left").select(
-            "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+            "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"), rank.alias("rank"))
         split = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        buckets = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
-        new = store(_star(buckets, ["degree"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"),
-                    "pairs")
-        buckets = buckets.select("bucket", "cid", "n")
-        if new.isEmpty():
-            break
-        more = _confirm(keyed, classes, new)
-        if more.isEmpty():
-            break
+        open_ = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
+        discard(buckets)
+        new = store(_star(open_, ["rank"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        buckets = open_.select("bucket", "cid", "n")
+        buckets.stored_at = open_.stored_at
+        turn += 1
+        more = None if new.isEmpty() else _linked(new, members)
+        if more is None or more.isEmpty():
+            without += 1
+            tried = tried.union(new)
+            continue
+        without = 0
         tried, links = tried.union(new), links.union(more)
         roots = _joined(roots, more)
-    more = _links_left(keyed, classes, buckets, roots)
-    return roots if more is None or more.isEmpty() else _joined(roots, more)
+    more = _links_left(members, buckets, roots)
+    found = roots if more is None or more.isEmpty() else _joined(roots, more)
+    discard(members)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,10 +394,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_set = store(named.join(least, "comp").select("k1", "k2", "component_id"), "components")
     discard(classes)
-    out = sig.select("id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
-    cid = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"),
-                      F.coalesce(F.col("id") == cid, F.lit(False)).alias("kept"))
+    # empty sets share a key, but need no component
+    full = sig.filter("n_shingles > 0").select("id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
+    out = full.select("id", "n_shingles", "component_id").union(
+        sig.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id",
+                      F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -254,3 +254,36 @@ def test_contract_reaches_least_node(spark):
             least[a] = least[b] = min(least[a], least[b])
     assert got == least
     assert minhash.contract(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_contract_takes_few_rounds_for_a_sorted_chain(spark, monkeypatch):
+    rounds = []
+    keep = minhash.store
+    monkeypatch.setattr(minhash, "store", lambda df, name="t", *a: (rounds.append(name), keep(df, name, *a))[1])
+    chain = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    assert minhash.contract(chain).filter("root = 0").count() == 1001
+    assert rounds.count("edges") <= 12
+
+
+def test_sketches_bound_the_intersection():
+    r = np.random.default_rng(5)
+    for n in (3, 40, 900, 5000):
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[n // 5:], r.integers(0, 2**63, n // 5, dtype=np.uint64)])
+        differ = sum(int(x).bit_count() for x in (minhash.parity_sketch(a) ^ minhash.parity_sketch(b)).view(np.uint64))
+        assert differ <= 2 * (n // 5) and (n > 1000 or differ > n // 5 - 1)
+
+
+def test_pairs_that_cannot_link_are_not_put_out(spark):
+    """A family of 150 texts at 0.74 to each other, and one linked pair: the exact join makes few rows."""
+    made = []
+    pairs = minhash._prefix_pairs
+    try:
+        minhash._prefix_pairs = lambda prefixes: (out := pairs(prefixes), made.append(out.count()))[0]
+        texts = boilerplate_family(3, 75)
+        docs = [(i, t, "en") for i, t in enumerate(texts)]
+        got = rows_of(minhash.near_duplicates(hard_docs(spark, docs)), *OP8)
+    finally:
+        minhash._prefix_pairs = pairs
+    assert got == components([(i, t) for i, t, _ in docs])
+    assert made and made[0] < 2000  # of 11,175
