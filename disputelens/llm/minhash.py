@@ -300,10 +300,10 @@ def _links_left(members: DataFrame, buckets: DataFrame, roots: DataFrame) -> Dat
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node that it reaches.
 
-    Each step sends a node to the least of itself and its neighbours, then to that
-    node's own least (a jump, which halves a chain that runs in order), and keeps
-    the edges that still join different nodes. A family around one centre
-    is gone after two steps, and the edges shrink from step to step.
+    Each step sends a node to the least of itself and its neighbours, follows these
+    pointers to their end by doubling, and keeps the edges that still join different
+    nodes. Ends are nodes less than all their neighbours, at most half of the nodes
+    that have edges, so the steps are logarithmic, and so are the doublings of a step.
     """
     roots, n = None, edges.count()
     most = n
@@ -312,23 +312,35 @@ def contract(edges: DataFrame) -> DataFrame:
                                               F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
                 .groupBy("node").agg(F.min("other").alias("other"))
                 .select("node", F.least("node", "other").alias("root")))
-        near = store(near, "near", 2 * n)
-        jumped = store(follow(near, near), "near", 2 * n)
-        left = (edges.join(jumped.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-                .join(jumped.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        near = _to_the_end(store(near, "near", 2 * n), 2 * n)
+        left = (edges.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+                .join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
                 .filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         edges = store(left, "edges", n)
-        discard(near)
-        if roots is not None:
-            before, roots = roots, store(follow(roots, jumped), "roots", 2 * most)
-            discard(before, jumped)
+        if roots is None:
+            roots = near
         else:
-            roots = jumped
+            before, roots = roots, store(follow(roots, near), "roots", 2 * most)
+            discard(before, near)
         n = edges.count()
         if not n:
             return roots
 
 
+def _to_the_end(near: DataFrame, most: int) -> DataFrame:
+    """Pointers (node, root) replaced by the ends of their paths; each pass doubles the way."""
+    while True:
+        far = near.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        passed = store(near.select("node", "root").join(far, "root").select(
+            "node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "near", most)
+        if passed.filter("moved").isEmpty():
+            discard(passed)
+            return near
+        discard(near)
+        near = passed.select("node", "root")
+        near.stored_at = passed.stored_at
+
+
 def follow(roots: DataFrame, later: DataFrame) -> DataFrame:
     """``roots`` (node, root) with each root replaced by its own root in ``later``."""
     far = later.select(F.col("node").alias("root"), F.col("root").alias("far"))
