@@ -13,8 +13,8 @@ agrees for two sets with probability equal to their Jaccard similarity, and
   so a bucket of m classes gives m-1 pairs, never m*m. The first centres are
   arbitrary. Later rounds look at the buckets that still hold several
   components and take the class with most confirmed links as centre, which
-  finds the original of a family whose copies are too far from each other, or, by
-  turns, one drawn by a hash. The rounds end when two in a row add no link.
+  finds the original of a family whose copies are too far from each other. The
+  rounds end when one adds no link, after ``STARS`` at the latest.
 * Stars don't test all pairs, so classes of buckets that then still hold several
   components are joined exactly, on their full sets and only between different
   components. Only shingles that two components hold can be common; a class
@@ -59,6 +59,8 @@ PERCENT = 75
 #: Least and most bits of the filter that keeps sets of classes without a shared bucket from being shuffled
 #: (16 MB at most; the rows that pass it by chance are joined away).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Star rounds after the first; what they leave open is joined exactly.
+STARS = 4
 #: Bits of a set's parity sketch (a multiple of 64).
 SKETCH = 2048
 #: Classes of one shingle that a block of the exact join compares with another's.
@@ -365,26 +367,20 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
     tried = store(_star(buckets, []), "pairs")
     links = _linked(tried, members)
     roots = store(contract(links), "roots", 2 * links.count())
-    without, turn = 0, 0
-    while without < 2:
+    for _ in range(STARS):
         degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("degree"))
         known = roots.withColumnRenamed("node", "cid").join(degree, "cid", "left")
-        rank = F.coalesce("degree", F.lit(0)) if turn % 2 == 0 else F.xxhash64("cid", F.lit(turn))
         rows = buckets.join(known, "cid", "left").select(
-            "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"), rank.alias("rank"))
+            "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         split = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         open_ = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
         discard(buckets)
-        new = store(_star(open_, ["rank"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = store(_star(open_, ["degree"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"), "pairs")
         buckets = open_.select("bucket", "cid", "n")
         buckets.stored_at = open_.stored_at
-        turn += 1
         more = None if new.isEmpty() else _linked(new, members)
         if more is None or more.isEmpty():
-            without += 1
-            tried = tried.union(new)
-            continue
-        without = 0
+            break
         tried, links = tried.union(new), links.union(more)
         roots = _joined(roots, more)
     more = _links_left(members, buckets, roots)
