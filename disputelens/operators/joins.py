@@ -3,8 +3,8 @@
 Every shape here keeps an equality on a high-cardinality key so Spark can plan
 a hash or sort-merge join; none falls back to a nested loop or a cartesian
 product. ``interval_join`` and ``range_lookup`` compare the pairs of a key that
-lie in the same or neighbouring time buckets; where only a maximum is wanted,
-``running_max_within`` forms no pairs at all.
+lie in the same or neighbouring time buckets; where only a maximum or the nearest
+event is wanted, ``running_max_within`` and ``nearest_within`` form no pairs at all.
 
 Callers give both sides distinct column names; conditions use names only.
 """
@@ -166,6 +166,41 @@ def running_max_within(points: DataFrame, events: DataFrame, key: str, ts: str,
             .select(key, ts, F.greatest("_middle", "_late", "_early").alias(value)))
 
 
+def nearest_within(points: DataFrame, events: DataFrame, keys: Keys, point_ts: str, event_ts: str, seconds: int,
+                   *, last: bool) -> DataFrame:
+    """``points`` with ``event_ts``: per row the least time e of the events of its ``keys`` with
+    ts - ``seconds`` <= e < ts, or with ``last`` the greatest with ts - ``seconds`` <= e <= ts (NULL without any).
+
+    An as-of join without pairs. Times are cut into segments of ``seconds``; what
+    is looked for lies in the segment of the range's inner end (a running
+    minimum or maximum over points and events in time order) or in the neighbouring one
+    (its minimum or maximum). A hot key is spread over its segments.
+    """
+    left, right = [k for k, _ in keys], [k for _, k in keys]
+    seg = lambda c: F.floor(_epoch(c) / F.lit(seconds))
+    marks = points.select(*left, point_ts).where(F.col(point_ts).isNotNull()).distinct()
+    at = F.col(point_ts) if last else F.timestamp_add("SECOND", F.lit(-seconds), F.col(point_ts))
+    marks = marks.withColumn("_at", at).withColumn("_seg", seg(F.col("_at")))
+    found = events.select(*[F.col(r).alias(l) for l, r in keys], F.col(event_ts).alias("_at")).where(F.col("_at").isNotNull())
+    found = found.withColumn("_seg", seg(F.col("_at")))
+    none = F.lit(None).cast(found.schema["_at"].dataType)
+    both = marks.withColumn("_e", none).unionByName(
+        found.withColumn("_e", F.col("_at")).withColumn(point_ts, F.lit(None).cast(marks.schema[point_ts].dataType)))
+    w = Window.partitionBy(*left, "_seg").orderBy("_at")
+    w = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if last
+         else w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    pick = F.max if last else F.min
+    here = both.withColumn("_here", pick("_e").over(w)).where(F.col(point_ts).isNotNull()).select(*left, point_ts, "_seg", "_here")
+    beside = (found.groupBy(*left, "_seg").agg(pick("_at").alias("_beside"))
+              .withColumn("_seg", F.col("_seg") + (1 if last else -1)))
+    near = F.coalesce("_here", "_beside")
+    ok = (near >= F.timestamp_add("SECOND", F.lit(-seconds), F.col(point_ts))) if last else near < F.col(point_ts)
+    hits = here.join(beside, [*left, "_seg"], "left").select(
+        *[F.col(k).alias(f"_k_{k}") for k in left], F.col(point_ts).alias("_k_ts"), F.when(ok, near).alias(event_ts))
+    on = [F.col(k) == F.col(f"_k_{k}") for k in left] + [F.col(point_ts) == F.col("_k_ts")]
+    return points.join(hits.where(F.col(event_ts).isNotNull()), _and(on), "left").drop("_k_ts", *[f"_k_{k}" for k in left])
+
+
 def _and(conds: list[Column]) -> Column:
     out = conds[0]
     for c in conds[1:]:

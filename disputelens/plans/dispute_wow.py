@@ -27,6 +27,7 @@ from disputelens.functions.semantics import month_diff, week_start
 from disputelens.operators.joins import running_max_within
 from disputelens.operators.topn import rank_groups, top_label
 from disputelens.session import materialized
+from disputelens.sources.versions import current_version, new_version
 
 # label specs: (value column, rank column, label column, top n)
 LABELS = (
@@ -113,7 +114,8 @@ def add_top_labels(base: DataFrame, n_mcc: int, n_merchant: int, n_state: int) -
                         for value, _, label in LABELS])
     long = latest_week_disputed(base).select("card_type", "settled_amt", F.inline(entries))
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in tops.items() for x in pair]), F.col("label"))
-    ranked = rank_groups(long, ["label", "card_type"], "value", "settled_amt", limit, "place")
+    ranked = rank_groups(long, ["label", "card_type"], "value", "settled_amt", limit, "place",
+                         most=max(tops.values()))
     key = F.struct("label", "card_type", "value")
     places = ranked.where(F.col("value").isNotNull()).select(
         F.map_from_entries(F.collect_list(F.struct(key, F.col("place"))))).scalar()
@@ -189,16 +191,28 @@ def run_dispute_wow(spark, sources, out_dir: str, day1: dt.date, day2: dt.date,
     """The scheduled procedure: write the detail, read it back, write the summary.
 
     ``sources`` provides ``settled_txn, disputed_txn, auth_event, dim_member,
-    login_alert``. Both outputs are parquet partitioned by week, replaced as a
-    whole on each run. The summary is computed from the written detail, so the
-    detail's joins run once.
+    login_alert``. Both outputs are parquet partitioned by week. They are written
+    to a new version's folder and become the current ones together, by one
+    rename, when both are complete; ``report_tables`` names them. A run that is
+    lost leaves the former version as it was. The summary is computed
+    from the written detail, so the detail's joins run once.
     """
     as_of = as_of or spark.sql("SELECT current_date()").first()[0]
-    detail_path, summary_path = f"{out_dir}/dispute_wow_detail", f"{out_dir}/dispute_wow_summary"
-    with materialized(detail_base(sources.settled_txn, sources.disputed_txn, sources.auth_event, sources.dim_member,
-                                  day1, day2, dispute_win, as_of)) as base:
-        # a week's rows meet in a few files of even size
-        (detail_of(base, sources.login_alert, day1, day2).hint("rebalance", "txn_week")
-         .write.mode("overwrite").partitionBy("txn_week").parquet(detail_path))
-    summary = dispute_wow_summary(spark.read.parquet(detail_path))
-    summary.write.mode("overwrite").partitionBy("txn_week").parquet(summary_path)
+    with new_version(spark, out_dir) as version:
+        detail_path, summary_path = f"{version}/{DETAIL}", f"{version}/{SUMMARY}"
+        with materialized(detail_base(sources.settled_txn, sources.disputed_txn, sources.auth_event, sources.dim_member,
+                                      day1, day2, dispute_win, as_of)) as base:
+            # a week's rows meet in a few files of even size
+            (detail_of(base, sources.login_alert, day1, day2).hint("rebalance", "txn_week")
+             .write.partitionBy("txn_week").parquet(detail_path))
+        summary = dispute_wow_summary(spark.read.parquet(detail_path))
+        summary.write.partitionBy("txn_week").parquet(summary_path)
+
+
+DETAIL, SUMMARY = "dispute_wow_detail", "dispute_wow_summary"
+
+
+def report_tables(spark, out_dir: str) -> tuple[str, str]:
+    """Paths of the current detail and summary."""
+    version = current_version(spark, out_dir)
+    return f"{version}/{DETAIL}", f"{version}/{SUMMARY}"

@@ -30,7 +30,8 @@ from disputelens.functions.semantics import (
     asc, desc, ilike_any, labelled, local_time, minute_start, safe_number, second_diff,
 )
 from disputelens.operators.dedup import keep_first
-from disputelens.operators.joins import any_party_join, either_key_join, interval_join, semi_join
+from disputelens.operators.joins import any_party_join, either_key_join, nearest_within, semi_join
+from disputelens.plans.risk_cut import follow_ups
 from disputelens.operators.sequence import lead_in_order
 from disputelens.session import materialized
 
@@ -184,9 +185,7 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     """
     rta = acc.keep(src.auth_event, "user_id").filter((F.col("original_auth_id") == 0) & (F.col("final_amt") >= 0))
     rta = rta.withColumn("_last4", F.right(F.col("pan"), F.lit(4)))
-    dual = (acc.keep(src.auth_event, "user_id").filter(F.col("original_auth_id") != 0)
-            .select(F.col("user_id").alias("dual_user_id"), F.col("original_auth_id").alias("dual_original_auth_id"),
-                    F.col("auth_id").alias("dual_auth_id"), F.col("auth_event_id").alias("dual_auth_event_id")))
+    dual = follow_ups(acc.keep(src.auth_event, "user_id"), rta)
     j = rta.join(dual, (F.col("user_id") == F.col("dual_user_id"))
                  & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
     j = join_rules(j, acc.keep(src.auth_decision, "user_id"))
@@ -330,15 +329,18 @@ def hist_logins_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
             .agg(F.max("score").alias("atom_score")))
     j = j.join(atom, (F.col("user_id") == F.col("atom_user_id")) & (F.col("device_id") == F.col("atom_device_id")),
                "left")
-    lr = acc.keep(src.login_request, "user_id").select(
+    # the keep-first shows the latest login of the minute before the session: one row per login time is left to find
+    lr = keep_first(acc.keep(src.login_request, "user_id").select(
         F.col("user_id").alias("lr_user_id"), F.col("segment_device_id").alias("lr_device_id"),
-        F.col("login_success_at").alias("lr_login_success_at"),
+        F.col("login_success_at").alias("lr_at"),
         F.col("login_started_at").alias("lr_login_started_at"),
-        F.col("tfa_method_deprecated").alias("lr_tfa_method_deprecated"))
-    s = F.col("lr_login_success_at")
-    j = interval_join(j, lr, [("user_id", "lr_user_id"), ("device_id", "lr_device_id")], "session_timestamp",
-                      s, F.timestamp_add("SECOND", F.lit(60), s),
-                      lo_inclusive=True, hi_inclusive=True, bucket_seconds=60)
+        F.col("tfa_method_deprecated").alias("lr_tfa_method_deprecated")),
+        ["lr_user_id", "lr_device_id", "lr_at"], [desc("lr_login_started_at"), asc("lr_tfa_method_deprecated")])
+    j = nearest_within(j, lr.withColumnRenamed("lr_at", "lr_login_success_at"),
+                       [("user_id", "lr_user_id"), ("device_id", "lr_device_id")], "session_timestamp",
+                       "lr_login_success_at", 60, last=True)
+    j = j.join(lr, (F.col("user_id") == F.col("lr_user_id")) & (F.col("device_id") == F.col("lr_device_id"))
+               & (F.col("lr_login_success_at") == F.col("lr_at")), "left").drop("lr_user_id", "lr_device_id", "lr_at")
     return keep_first(j, ["user_id", "session_timestamp", "device_id"], [
         desc("lr_login_success_at"), desc("lr_login_started_at"), asc("lr_tfa_method_deprecated"),
         asc("loc_time_zone"), asc("ip"), asc("device_model"), asc("platform"), asc("locale"), asc("timezone"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from disputelens.plans import params as P
 from disputelens.plans.dispute_wow import (
-    detail_base, detail_of, dispute_wow_summary, run_dispute_wow, wow_window_cols,
+    detail_base, detail_of, dispute_wow_summary, report_tables, run_dispute_wow, wow_window_cols,
 )
 from disputelens.plans.operator_queries import OPS
 from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history
@@ -97,7 +97,7 @@ def q_dispute_wow_run(fx: Fixtures) -> DataFrame:
     day1, day2 = P.wow_window(P.AS_OF)
     out = scratch_folder(spark, "wow-run")
     run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
-    return spark.read.parquet(f"{out}/dispute_wow_summary")
+    return spark.read.parquet(report_tables(spark, out)[1])
 
 
 @register("wow_window")

@@ -3,7 +3,7 @@ dispute outcome, one row per authorisation event, and its uniqueness check.
 
 Joins (all left outer, all keyed on a high-cardinality equality):
   auth ⟕ follow-up message   (user_id, original_auth_id = auth_id)
-  ⟕ fraud-rule override      (user_id, hour bucket) + o.ts < created <= o.ts + 1 h
+  ⟕ first fraud-rule override (user_id, hour segment), o.ts < created <= o.ts + 1 h
   ⟕ dispute                  (user_id, code) with code in {auth_id, follow-up auth_id}
 then the first row per event by (follow-up desc, override time, dispute time).
 """
@@ -19,7 +19,7 @@ from disputelens.functions import codes
 from disputelens.functions.mappings import dispute_flags, merchant_state
 from disputelens.functions.semantics import asc, day_diff, desc
 from disputelens.operators.dedup import keep_first, uniqueness_check
-from disputelens.operators.joins import either_key_join, interval_join
+from disputelens.operators.joins import either_key_join, interval_join, nearest_within, semi_join
 
 AUTH_COLUMNS = (
     "auth_event_id", "user_id", "auth_event_created_ts", "account_status_cd", "card_status_cd",
@@ -39,14 +39,16 @@ def eligible_auths(auth: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
         & (F.col("req_amt") < 0))
 
 
-def follow_ups(auth: DataFrame) -> DataFrame:
-    """Follow-up messages keyed by the auth they follow.
+def follow_ups(auth: DataFrame, followed: DataFrame) -> DataFrame:
+    """Messages keyed by the authorisation that they follow.
 
-    0 marks a first message and no authorisation has id 0, so those rows can
-    never match; dropping them keeps every user's first messages from piling
-    onto one join key.
+    0 marks a first message. It follows nothing unless an authorisation has id 0,
+    so first messages are kept for the accounts of ``followed`` that have one:
+    without any, no account's first messages pile onto one join key.
     """
-    return (auth.filter(F.col("original_auth_id") != 0)
+    zero = followed.filter(F.col("auth_id") == 0).select("user_id")
+    firsts = auth.filter(F.col("original_auth_id") == 0)
+    return (auth.filter(F.col("original_auth_id") != 0).unionByName(semi_join(firsts, zero, "user_id", "user_id"))
             .select(F.col("user_id").alias("dual_user_id"),
                     F.col("original_auth_id").alias("dual_original_auth_id"),
                     F.col("auth_id").alias("dual_auth_id"),
@@ -54,7 +56,7 @@ def follow_ups(auth: DataFrame) -> DataFrame:
 
 
 def join_dual(rae: DataFrame, auth: DataFrame) -> DataFrame:
-    d = follow_ups(auth)
+    d = follow_ups(auth, rae)
     return rae.join(d, (F.col("user_id") == F.col("dual_user_id"))
                     & (F.col("auth_id") == F.col("dual_original_auth_id")), "left").drop("dual_user_id")
 
@@ -68,6 +70,14 @@ def join_override(df: DataFrame, overrides: DataFrame, ts_col: str = "auth_event
                          lo_inclusive=False, hi_inclusive=True, bucket_seconds=3600).drop("o2_user_id")
 
 
+def join_first_override(df: DataFrame, overrides: DataFrame, ts_col: str = "auth_event_created_ts") -> DataFrame:
+    """``join_override`` cut to each row's earliest override, which is the one that the cut keeps; no pairs are formed."""
+    o = (overrides.filter(F.col("type") == codes.OVERRIDE_DISABLE_RULES)
+         .select(F.col("user_id").alias("o2_user_id"), F.col("timestamp").alias("o2_timestamp")))
+    out = nearest_within(df, o, [("user_id", "o2_user_id")], ts_col, "o2_timestamp", 3600, last=False)
+    return out.withColumn("o2_type", F.when(F.col("o2_timestamp").isNotNull(), codes.OVERRIDE_DISABLE_RULES))
+
+
 DISPUTE_COLUMNS = ("unique_transaction_id", "user_dispute_claim_txn_id", "dispute_created_at",
                    "resolution_decision", "reason", "resolution")
 
@@ -91,7 +101,7 @@ def risk_score_cut(auth: DataFrame, overrides: DataFrame, disputes: DataFrame,
                    start: dt.date, end: dt.date) -> DataFrame:
     rae = eligible_auths(auth, start, end)
     j = join_dual(rae, auth)
-    j = join_override(j, overrides)
+    j = join_first_override(j, overrides)
     # collapse=False: the keep-first below orders a real dispute match ahead of
     # the unmatched copy of the same (event, follow-up, override) row.
     j = join_dispute(j, disputes, collapse=False)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from disputelens.operators.joins import (
-    any_party_join, either_key_join, interval_join, range_lookup, running_max_within, semi_join,
+    any_party_join, either_key_join, interval_join, nearest_within, range_lookup, running_max_within, semi_join,
 )
 
 
@@ -152,3 +152,44 @@ def test_rank_groups_ties_null_groups_and_null_sums(spark):
     labelled = spark.createDataFrame([(1, "x"), (4, "x"), (None, "x"), (2, None)], "k int, v string")
     assert [r.l for r in labelled.select(top_label("k", "v", 3).alias("l")).collect()] == [
         "1.x", "99.others", "99.others", None]
+
+
+def _times(seconds):
+    return [None if s is None else dt.datetime(2020, 1, 1) + dt.timedelta(seconds=s) for s in seconds]
+
+
+@pytest.mark.parametrize("seed,last", [(1, True), (1, False), (2, True), (2, False)])
+def test_nearest_within_against_all_pairs(spark, seed, last):
+    r = random.Random(seed)
+    stamp = lambda: r.choice([None, *range(0, 400, 7)])
+    points = [(r.choice([1, 2, None]), t) for t in _times(stamp() for _ in range(120))]
+    events = [(r.choice([1, 2, None]), t) for t in _times(stamp() for _ in range(40))]
+    got = nearest_within(spark.createDataFrame(points, "u long, t timestamp_ntz"), spark.createDataFrame(events, "v long, e timestamp_ntz"),
+                         [("u", "v")], "t", "e", 60, last=last).select("u", "t", "e").collect()
+    minute = dt.timedelta(seconds=60)
+
+    def want(u, t):
+        near = [e for v, e in events if None not in (u, t, e) and u == v and t - minute <= e and (e <= t if last else e < t)]
+        return (max if last else min)(near) if near else None
+
+    fix = lambda rows: sorted(map(str, rows))
+    assert fix([tuple(x) for x in got]) == fix([(u, t, want(u, t)) for u, t in points])
+
+
+def test_nearest_within_makes_no_pairs_for_a_hot_device(spark):
+    """10,000 sessions and 10,000 logins of one device in a minute: a row each, not 10^8 pairs."""
+    n = 10_000
+    at = "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, {0})"
+    sessions = spark.range(n).selectExpr("1L AS u", f"{at.format('id * 0.005')} AS t")
+    logins = spark.range(n).selectExpr("1L AS v", f"{at.format('id * 0.005')} AS e")
+    out = nearest_within(sessions, logins, [("u", "v")], "t", "e", 60, last=True)
+    assert out.filter("e = t").count() == n and out.count() == n
+
+
+def test_follow_ups_of_an_authorisation_with_id_zero(spark):
+    from disputelens.plans.risk_cut import join_dual
+
+    rows = [(1, 0, 0, 10), (1, 5, 0, 11), (2, 7, 0, 12), (2, 8, 7, 13)]
+    auth = spark.createDataFrame(rows, "user_id long, auth_id long, original_auth_id long, auth_event_id long")
+    got = sorted((r.auth_event_id, r.dual_auth_event_id or 0) for r in join_dual(auth, auth).collect())
+    assert got == [(10, 10), (10, 11), (11, 0), (12, 13), (13, 0)]

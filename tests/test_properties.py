@@ -4,12 +4,13 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SMALL
 from disputelens.plans import params as P
-from disputelens.plans.dispute_wow import detail_base, dispute_wow_detail, dispute_wow_summary, run_dispute_wow
+from disputelens.plans.dispute_wow import detail_base, dispute_wow_detail, dispute_wow_summary, report_tables, run_dispute_wow
 from disputelens.plans.history import (
     FEEDS, AccountSet, HistorySources, account_history, account_timeline, hist_disputes, write_account_history,
 )
@@ -158,13 +159,13 @@ def test_run_dispute_wow_writes_detail_and_summary(spark):
     day1, day2 = P.wow_window(P.AS_OF)
     out = tempfile.mkdtemp(prefix="disputelens-wow-")
     run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
-    assert os.path.isdir(os.path.join(out, "dispute_wow_detail"))
-    for table in ("dispute_wow_detail", "dispute_wow_summary"):
-        parts = [p for p in os.listdir(os.path.join(out, table)) if p.startswith("txn_week=")]
+    detail, summary = report_tables(spark, out)
+    for table in (detail, summary):
+        parts = [p for p in os.listdir(table) if p.startswith("txn_week=")]
         assert parts, table  # partitioned by week: readers prune to the weeks they ask for
-    pruned = spark.read.parquet(os.path.join(out, "dispute_wow_detail")).filter(F.col("txn_week") == F.lit(day1))
+    pruned = spark.read.parquet(detail).filter(F.col("txn_week") == F.lit(day1))
     assert "PartitionFilters: [isnotnull(txn_week" in pruned._jdf.queryExecution().executedPlan().toString()
-    written = spark.read.parquet(os.path.join(out, "dispute_wow_summary"))
+    written = spark.read.parquet(summary)
     direct = dispute_wow_summary(dispute_wow_detail(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member,
                                                     fx.login_alert, day1, day2, P.DISPUTE_WIN, P.AS_OF))
     cols = sorted(direct.columns)
@@ -238,3 +239,41 @@ def test_drop_materialized_removes_this_apps_tables(spark):
     assert not any(k[0] == app for k in fixtures._BASES) and not any(k[0] == app for k in registry._FIXTURES)
     # later queries rebuild what they need
     assert q(spark, "user_set").count() > 0
+
+
+def test_a_lost_run_leaves_the_former_tables(spark, monkeypatch):
+    """The run breaks between the two tables: readers still get the former pair; the next run replaces both."""
+    from disputelens.plans import dispute_wow
+
+    fx = fixtures_for(spark, SMALL)
+    day1, day2 = P.wow_window(P.AS_OF)
+    out = tempfile.mkdtemp(prefix="disputelens-wow-")
+    with pytest.raises(FileNotFoundError):
+        report_tables(spark, out)
+    run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
+    before = report_tables(spark, out)
+    counts = [spark.read.parquet(t).count() for t in before]
+
+    def broken(detail):
+        raise RuntimeError("lost between the two tables")
+
+    monkeypatch.setattr(dispute_wow, "dispute_wow_summary", broken)
+    with pytest.raises(RuntimeError):
+        run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
+    assert report_tables(spark, out) == before
+    assert [spark.read.parquet(t).count() for t in before] == counts
+    monkeypatch.undo()
+    run_dispute_wow(spark, fx, out, day1, day2, P.DISPUTE_WIN, P.AS_OF)
+    after = report_tables(spark, out)
+    assert after != before and [spark.read.parquet(t).count() for t in after] == counts
+    assert len([p for p in os.listdir(out) if p.startswith("version-")]) == 2  # the lost one is gone
+
+
+def test_label_ranks_are_cut_before_the_shuffle(spark):
+    from disputelens.plans.dispute_wow import add_top_labels
+
+    fx = fixtures_for(spark, SMALL)
+    day1, day2 = P.wow_window(P.AS_OF)
+    base = detail_base(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member, day1, day2, P.DISPUTE_WIN, P.AS_OF)
+    plan = add_top_labels(base, 9, 20, 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and ", 20, Partial" in plan
