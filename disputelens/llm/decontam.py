@@ -15,7 +15,7 @@ necessary prefix is one shingle: the window's rarest over all documents.
 4. Hit words are the union of the occurrences' intervals, per document.
 
 Defined cases: null or empty texts have no words and are clean; an item with a
-null id is left out; repeated rows are each returned; repeated items count once
+null id marks words but is not listed or counted; repeated rows are each returned; repeated items count once
 per item id. Extra columns are ignored. An empty benchmark leaves every
 document clean.
 """
@@ -108,7 +108,7 @@ def _candidates(wanted, sizes: list[int], reach: int):
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (win, words, shingles), and (win, item_id) pairs."""
-    items = bench.select("item_id", F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull())
+    items = bench.select("item_id", F.col("text").cast("string").alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
     all_windows = store(items.mapInArrow(_windows(window, size),
                                          f"item_id {kind}, words array<string>, shingles array<long>"), "windows")
@@ -156,7 +156,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     covered = found.withColumn("before", F.coalesce(before, F.lit(0)))
     n_hit = covered.groupBy("row").agg(
         F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))).alias("n_hit"))
-    items = (found.select("row", "win").distinct().join(members, "win")
+    items = (found.select("row", "win").distinct().join(members.filter(F.col("item_id").isNotNull()), "win")
              .select("row", F.col("item_id").cast("string").alias("item")).distinct()
              .groupBy("row").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item")).alias("items")))
     out = places.select("row", "id", "n_words").join(n_hit, "row", "left").join(items, "row", "left")
@@ -171,6 +171,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> Dat
     """The rows of ``docs`` (all columns) without a hit word. Equal texts fare alike, so texts go by their MD5."""
     name = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     found = decontaminate(docs.select(name.alias("name"), F.col(text_col).alias("text")), bench, "name", "text")
-    hit = found.filter("contaminated").select(F.col("name").alias("hit_name")).distinct()
+    # stored first: the planner then knows its size, and shuffles the texts only if it is large
+    hit = store(found.filter("contaminated").select(F.unhex("name").alias("hit_name")).distinct(), "hit")
     rows = docs.select(F.struct("*").alias("doc"), name.alias("name"))
-    return rows.join(hit, F.col("name") == F.col("hit_name"), "left_anti").select("doc.*")
+    return rows.join(hit, F.unhex("name") == F.col("hit_name"), "left_anti").select("doc.*")

@@ -50,7 +50,7 @@ DECONTAMINATE = f"""
 WITH words AS MATERIALIZED (
   SELECT doc_id, {alnum_words('text')} AS w FROM documents
 ), items AS MATERIALIZED (
-  SELECT item_id, {alnum_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT item_id, {alnum_words('text')} AS w FROM benchmark
 ), windows AS MATERIALIZED (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
@@ -69,7 +69,7 @@ WITH words AS MATERIALIZED (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY 1
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -364,14 +364,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _named(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("name", F.unhex(F.md5(text))).withColumn("text", text)
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` (null: empty) and its ``name``; the caller's own columns are under other names."""
+    filled = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    return filled.withColumn("name", F.unhex(F.md5("text")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256; one row per row of ``docs``."""
-    rows = _named(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col).select("id", "name", "text")
+    rows = _named(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     spans = repeated_spans(rows.select("name", "text"), group)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.join(spans, "name", "left").select("id", "text", "spans").mapInArrow(
@@ -381,7 +382,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_texts(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``docs`` with its text cut: all columns stay. Bytes of a character cut in two are dropped."""
     inner = docs.select(F.struct("*").alias("doc"), F.col(f"{text_col}").cast("string").alias("text"))
-    rows = _named(inner, "text")
+    rows = _named(inner)
     spans = repeated_spans(rows.select("name", "text"), group)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,7 @@ def decontaminate(docs, items, window=10) -> list[tuple]:
     for item, text in items:
         w = alnum(text)
         n = min(window, len(w))
-        if item is not None and n:
+        if n:
             windows |= {(item, tuple(w[i:i + n])) for i in range(len(w) - n + 1)}
     out = []
     for doc, text in docs:
@@ -81,7 +81,8 @@ def decontaminate(docs, items, window=10) -> list[tuple]:
             for i in range(len(w) - n + 1):
                 if tuple(w[i:i + n]) == words:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
+                    if item is not None:
+                        found.add(str(item))
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), sha, bool(hit)))
     return ordered(out)

@@ -50,6 +50,13 @@ def test_decontaminate_random(spark, seed):
     assert got == decontaminate([(i, t) for i, t, _ in docs], items)
 
 
+def test_an_item_without_id_marks_words(spark):
+    items = [(None, BASE), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")]
+    got = rows_of(decontam.decontaminate(hard_docs(spark), bench(spark, items)), *OP1)
+    assert got == decontaminate([(i, t) for i, t, _ in hard_texts()], items)
+    assert any(r[2] >= 60 and r[3] == 1 and r[-1] for r in got)
+
+
 def test_decontaminate_empty_tables(spark):
     docs, none = hard_docs(spark), bench(spark, [])
     assert decontam.decontaminate(docs.limit(0), bench(spark, ITEMS)).count() == 0
@@ -111,6 +118,13 @@ def test_suffix_dedup_random(spark, monkeypatch, seed, group, block):
     assert sum(r[2] for r in got) > 3000
 
 
+def test_a_text_column_called_name(spark):
+    docs = [(i, t) for i, t, _ in repeat_texts(6)]
+    df = spark.createDataFrame([(t, i) for i, t in docs], "name string, text long")
+    got = rows_of(suffix_dedup.deduplicate(df, "text", "name"), "text", *OP3[1:])
+    assert got == expected_cuts([(i, t, None) for i, t in docs])
+
+
 def test_long_texts_in_pieces(monkeypatch):
     from disputelens.llm.common import Rolling
 
