@@ -3,15 +3,15 @@
 ``STAGES`` are applied in order; each takes all that the stage before it kept,
 written as parquet and read again, and its decisions take effect:
 
-1. language ID: texts in no known language (without letters, or like no
-   prototype) go;
+1. language ID: texts that get no language (null or without letters) go;
 2. near-dedup: one document of each group of near copies stays;
 3. suffix-array dedup: bytes that a repeated 200-byte string covers are cut out
    (``n_chars`` follows the text);
 4. decontamination: documents with a benchmark window go;
 5. BPE: token ids of each document, and digests of ids and decoded text.
 
-All stages but the last return the columns of ``documents``. Null texts leave at
+All stages but the last return the columns of ``documents``: doc_id, text and lang
+are needed, n_chars follows the text if it is there. Null texts leave at
 stage 1; texts that stage 3 empties stay as empty texts.
 """
 
@@ -39,6 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.kept_texts(docs)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
