@@ -128,42 +128,53 @@ def semi_join(df: DataFrame, keys_df: DataFrame, col: str, keys_col: str) -> Dat
 
 
 def running_max_within(points: DataFrame, events: DataFrame, key: str, ts: str, value: str,
-                       seconds: int, bucket_seconds: int = 3600) -> DataFrame:
-    """(key, ts, value): for each distinct (key, ts) of ``points`` the largest
+                       seconds: int, bucket_seconds: int = 3600, by: Sequence[str] | None = None) -> DataFrame:
+    """(``by``, ``value``): for each distinct (key, ts) of ``points`` the largest
     ``value`` of the ``events`` with ts - ``seconds`` <= event ts <= ts (NULL without any).
+    With ``by``, columns of ``points``, the largest over all points that agree in them.
+    Points without a time are left out; a NULL key matches nothing.
 
     No pair of a point and an event is ever formed. The range is cut at bucket
     borders: whole buckets inside it need one maximum per bucket, and the two
-    buckets at its ends a running maximum in time order. ``seconds`` is a whole
-    number of buckets, and both inputs name their columns alike. A
-    hot key is spread over its buckets; the window over a key's buckets has one
-    row per bucket.
+    buckets at its ends a running maximum in time order. A point sends two marks, one
+    to the bucket of each end, where the events are; the maximum of the whole
+    buckets comes to the later end's bucket as a row before all times. So the events
+    are shuffled once, and the points once as marks. ``seconds`` is a whole number of
+    buckets, and both inputs name their columns alike. A hot key is spread over its buckets;
+    the window over a key's buckets has one row per bucket.
     """
+    by = list(by or (key, ts))
     n = seconds // bucket_seconds
-    bucket = F.floor(_epoch(F.col(ts)) / F.lit(bucket_seconds))
-    p = points.select(key, ts).where(F.col(ts).isNotNull()).distinct().withColumn("_b", bucket)
-    e = events.select(key, ts, value).where(F.col(ts).isNotNull()).withColumn("_b", bucket)
+    bucket = F.floor(_epoch(F.col("_at")) / F.lit(bucket_seconds))
+    p = points.select(*dict.fromkeys([*by, key, ts])).where(F.col(ts).isNotNull()).distinct()
+    e = (events.select(F.col(key).alias("_k"), F.col(ts).alias("_at"), F.col(value).alias("_v"))
+         .where(F.col("_k").isNotNull() & F.col("_at").isNotNull() & F.col("_v").isNotNull()).withColumn("_b", bucket))
+    none = F.lit(None).cast(e.schema["_v"].dataType)
 
     # whole buckets strictly between the two ends
-    cells = (e.select(key, "_b", value).unionByName(p.select(key, "_b", F.lit(None).cast(e.schema[value].dataType).alias(value)))
-             .groupBy(key, "_b").agg(F.max(value).alias("_v")))
-    span = Window.partitionBy(key).orderBy("_b").rangeBetween(-(n - 1), -1)
-    middle = cells.select(key, "_b", F.max("_v").over(span).alias("_middle"))
-
-    def end(shift: int, frame) -> DataFrame:
-        """Largest value in the bucket of (ts - shift), on the frame's side of that time."""
-        at = F.timestamp_add("SECOND", F.lit(-shift), F.col(ts))
-        marks = p.select(key, F.col(ts).alias("_of"), at.alias(ts), F.lit(None).cast(e.schema[value].dataType).alias(value))
-        both = (marks.unionByName(e.select(key, F.lit(None).cast(p.schema[ts].dataType).alias("_of"), ts, value))
-                .withColumn("_b", bucket))
-        w = frame(Window.partitionBy(key, "_b").orderBy(ts))
-        return (both.withColumn("_v", F.max(value).over(w)).where(F.col("_of").isNotNull())
-                .select(key, F.col("_of").alias(ts), "_v"))
-
-    upto = end(0, lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).withColumnRenamed("_v", "_late")
-    since = end(seconds, lambda w: w.rangeBetween(Window.currentRow, Window.unboundedFollowing)).withColumnRenamed("_v", "_early")
-    return (p.join(middle, [key, "_b"], "left").join(upto, [key, ts], "left").join(since, [key, ts], "left")
-            .select(key, ts, F.greatest("_middle", "_late", "_early").alias(value)))
+    ends_here = (p.select(F.col(key).alias("_k"), F.col(ts).alias("_at")).withColumn("_b", bucket)
+                 .select("_k", "_b", none.alias("_v"), F.lit(True).alias("_point")))
+    cells = (e.select("_k", "_b", "_v", F.lit(False).alias("_point")).unionByName(ends_here)
+             .groupBy("_k", "_b").agg(F.max("_v").alias("_v"), F.max("_point").alias("_point")))
+    span = Window.partitionBy("_k").orderBy("_b").rangeBetween(-(n - 1), -1)
+    middle = (cells.withColumn("_v", F.max("_v").over(span))
+              .where(F.col("_point") & F.col("_v").isNotNull()).select("_k", "_b", "_v"))
+
+    # the two ends
+    ends = F.array(F.struct(F.lit(True).alias("_late"), F.col(ts).alias("_at")),
+                   F.struct(F.lit(False).alias("_late"),
+                            F.timestamp_add("SECOND", F.lit(-seconds), F.col(ts)).alias("_at")))
+    marks = (p.select(F.col(key).alias("_k"), F.struct(*by).alias("_of"), F.inline(ends))
+             .withColumn("_b", bucket).withColumn("_v", none))
+    rows = (marks.unionByName(e, allowMissingColumns=True).unionByName(middle, allowMissingColumns=True))
+    # both frames grow from the first row, so each window takes one pass
+    upto = Window.partitionBy("_k", "_b").orderBy(F.col("_at").asc_nulls_first())
+    since = Window.partitionBy("_k", "_b").orderBy(F.col("_at").desc_nulls_last())
+    grow = (Window.unboundedPreceding, Window.currentRow)
+    best = F.when(F.col("_late"), F.max("_v").over(upto.rangeBetween(*grow))).otherwise(
+        F.max("_v").over(since.rangeBetween(*grow)))
+    return (rows.withColumn("_best", best).where(F.col("_of").isNotNull())
+            .groupBy(*[F.col("_of")[c].alias(c) for c in by]).agg(F.max("_best").alias(value)))
 
 
 def nearest_within(points: DataFrame, events: DataFrame, keys: Keys, point_ts: str, event_ts: str, seconds: int,
@@ -186,9 +197,9 @@ def nearest_within(points: DataFrame, events: DataFrame, keys: Keys, point_ts: s
     none = F.lit(None).cast(found.schema["_at"].dataType)
     both = marks.withColumn("_e", none).unionByName(
         found.withColumn("_e", F.col("_at")).withColumn(point_ts, F.lit(None).cast(marks.schema[point_ts].dataType)))
-    w = Window.partitionBy(*left, "_seg").orderBy("_at")
-    w = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if last
-         else w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # the frame grows from the first row in either direction, so the window takes one pass
+    w = (Window.partitionBy(*left, "_seg").orderBy(F.col("_at").asc() if last else F.col("_at").desc())
+         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     pick = F.max if last else F.min
     here = both.withColumn("_here", pick("_e").over(w)).where(F.col(point_ts).isNotNull()).select(*left, point_ts, "_seg", "_here")
     beside = (found.groupBy(*left, "_seg").agg(pick("_at").alias("_beside"))

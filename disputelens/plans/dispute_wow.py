@@ -144,9 +144,7 @@ def login_scores(base: DataFrame, alerts: DataFrame) -> DataFrame:
     ts = "transaction_timestamp"
     txns = base.select("user_id", "authorization_code", ts).distinct()
     al = alerts.filter(F.col("score") > 0).select("user_id", F.col("session_timestamp").alias(ts), "score")
-    best = running_max_within(txns, al, "user_id", ts, "score", seconds=7 * 86400)
-    return (txns.join(best, ["user_id", ts], "left").groupBy("user_id", "authorization_code")
-            .agg(F.max("score").alias("score")))
+    return running_max_within(txns, al, "user_id", ts, "score", seconds=7 * 86400, by=["user_id", "authorization_code"])
 
 
 def dispute_wow_detail(settled: DataFrame, disputes: DataFrame, auth: DataFrame, members: DataFrame,

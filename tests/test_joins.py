@@ -141,6 +141,32 @@ def test_running_max_within_against_all_pairs(spark, seed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_running_max_within_by_other_columns_and_null_keys(spark):
+    t = dt.datetime(2020, 1, 10)
+    points = [(1, "a", t), (1, "a", t + dt.timedelta(days=9)), (1, "b", t), (None, "c", t), (2, None, t), (1, "d", None)]
+    events = [(1, t - dt.timedelta(days=7), 3), (1, t + dt.timedelta(days=8), 5), (None, t, 9), (2, t, None), (2, t, 4),
+              (1, None, 8)]
+    got = running_max_within(spark.createDataFrame(points, "u long, c string, t timestamp_ntz"),
+                             spark.createDataFrame(events, "u long, t timestamp_ntz, s long"), "u", "t", "s", 7 * 86400,
+                             by=["u", "c"])
+    assert {(x.u, x.c): x.s for x in got.collect()} == {(1, "a"): 5, (1, "b"): 3, (None, "c"): None, (2, None): 4}
+    assert got.columns == ["u", "c", "s"]
+
+
+def test_running_max_within_takes_one_pass_of_a_hot_hour(spark):
+    """200,000 points and 200,000 events of one account in an hour, in frames that grow from the first row."""
+    n = 200_000
+    at = "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.018)"
+    points = spark.range(n).selectExpr("1L AS u", "id AS c", f"{at} AS t")
+    events = spark.range(n).selectExpr("1L AS u", f"{at} AS t", "id AS s")
+    got = running_max_within(points, events, "u", "t", "s", 7 * 86400, by=["u", "c"])
+    assert got.filter("s = c").count() == n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    physical = got._jdf.queryExecution().sparkPlan().toString()
+    assert "unboundedfollowing" not in physical.lower()
+
+
 def test_rank_groups_ties_null_groups_and_null_sums(spark):
     from disputelens.operators.topn import rank_groups, top_label
 
@@ -186,6 +212,16 @@ def test_nearest_within_makes_no_pairs_for_a_hot_device(spark):
     assert out.filter("e = t").count() == n and out.count() == n
 
 
+def test_nearest_within_takes_one_pass_when_the_first_is_wanted(spark):
+    """200,000 sessions and logins of one device in a minute; the first login of the minute before each session."""
+    n = 200_000
+    at = "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.0003)"
+    sessions = spark.range(n).selectExpr("1L AS u", f"{at} AS t")
+    logins = spark.range(n).selectExpr("1L AS v", f"{at} AS e")
+    out = nearest_within(sessions, logins, [("u", "v")], "t", "e", 60, last=False)
+    assert out.filter("e = timestamp_ntz'2020-01-01 00:00:00'").count() == n - 1
+
+
 def test_follow_ups_of_an_authorisation_with_id_zero(spark):
     from disputelens.plans.risk_cut import join_dual
 
