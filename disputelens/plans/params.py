@@ -19,6 +19,8 @@ TOP_STATE = 9
 SUBSET_BELOW = 150
 # Ranks kept by the label_top_n query: fewer than there are groups, so that some fall out.
 LABEL_TOP = 3
+# Buckets of the stored facts (sources/bucketed.py): the test data's size, not a cluster's.
+BUCKETS = 16
 
 
 def wow_window(as_of: dt.date) -> tuple[dt.date, dt.date]:

@@ -21,6 +21,7 @@ from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
 from disputelens.session import materialize, scratch_folder
+from disputelens.sources.bucketed import BucketedSources
 from disputelens.sources.fixtures import Fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +67,7 @@ def q_risk_cut_check(fx: Fixtures) -> DataFrame:
     return risk_cut_check(_risk_cut(fx))
 
 
-def _wow_detail(fx: Fixtures) -> DataFrame:
+def _wow_detail(fx: Fixtures | BucketedSources) -> DataFrame:
     """The detail on a base written first, as the procedure does (it is read several times)."""
     day1, day2 = P.wow_window(P.AS_OF)
     base = materialize(detail_base(fx.settled_txn, fx.disputed_txn, fx.auth_event, fx.dim_member,
@@ -85,6 +86,17 @@ def q_dispute_wow_detail(fx: Fixtures) -> DataFrame:
     return _wow_detail(fx)
 
 
+@register("dispute_wow_bucketed")
+def q_dispute_wow_bucketed(fx: Fixtures) -> DataFrame:
+    """The detail from facts that are stored in buckets of their join keys."""
+    spark = fx.src.spark
+    folder = scratch_folder(spark, "facts")
+    facts = BucketedSources.store(spark, fx, folder, folder.rsplit("/", 1)[-1].replace("-", "_"), P.BUCKETS)
+    detail = _wow_detail(facts)
+    facts.drop()
+    return detail
+
+
 @register("dispute_wow_summary")
 def q_dispute_wow_summary(fx: Fixtures) -> DataFrame:
     return dispute_wow_summary(_wow_detail(fx))
