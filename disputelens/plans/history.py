@@ -32,8 +32,8 @@ from disputelens.functions.semantics import (
 from disputelens.operators.dedup import keep_first
 from disputelens.operators.joins import any_party_join, either_key_join, nearest_within, semi_join
 from disputelens.plans.risk_cut import follow_ups
+from disputelens.operators.ranges import order_by_points, split_points
 from disputelens.operators.sequence import lead_in_order
-from disputelens.session import materialized
 
 TIMELINE = (
     ("user_id", "bigint"), ("timestamp", "timestamp_ntz"), ("id", "string"), ("merchant_name", "string"),
@@ -481,26 +481,67 @@ def account_timeline(src: HistorySources, acc: AccountSet, tz: str = codes.TIMEL
 
 
 def account_history(src: HistorySources, users: DataFrame | AccountSet, tz: str = codes.TIMELINE_TZ,
-                    user_col: str = "user_id") -> DataFrame:
+                    user_col: str = "user_id", points: list[tuple] | None = None) -> DataFrame:
     """All nine feeds for the accounts in ``users``, ordered by account and time.
 
-    Lazy. The sort range-partitions on (account, time), so a hot account is split.
+    Lazy. Ranges of (account, time) are sorted, so a hot account is split. With the
+    ``points`` of ``history_points`` each feed runs once; without them Spark's sort runs the
+    feeds' last stages a second time to find the ranges.
     """
     acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
-    return account_timeline(src, acc, tz).orderBy(*timeline_order())
+    rows = account_timeline(src, acc, tz)
+    if points is None:
+        return rows.orderBy(*timeline_order())
+    return order_by_points(rows, _range_key("user_id", F.col("timestamp")), RANGE_TYPES, points, timeline_order())
 
 
 def timeline_order() -> list[Column]:
     return [asc("user_id"), asc("timestamp"), asc("type"), asc("id")]
 
 
+#: The keys that the timeline's ranges are cut by.
+RANGE_TYPES = ("bigint", "timestamp_ntz")
+#: Each feed's own table, its account and its time column (the last one's time is shown as stored).
+FEED_TIMES = (
+    ("posted_txn", "user_id", "transaction_timestamp"), ("auth_event", "user_id", "trans_ts"),
+    ("alert_auth_event", "user_id", "tran_timestamp"), ("disputed_txn", "user_id", "dispute_created_at"),
+    ("user_session", "user_id", "session_timestamp"), ("login_request", "user_id", "login_started_at"),
+    ("version_change", "item_id", "created_at"), ("menu_tap", "user_id", "original_timestamp"),
+    ("card", "user_id", "card_created_ts"),
+)
+
+
+def _range_key(user: Column | str, time: Column) -> list[Column]:
+    """Account and time as range keys; rows without a time come last in their account, as in the order."""
+    return [F.col(user) if isinstance(user, str) else user,
+            F.coalesce(time.cast("timestamp_ntz"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz"))]
+
+
+def history_points(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ,
+                   ranges: int | None = None) -> list[tuple]:
+    """Split points of (account, time) for the timeline of ``acc``, from a bounded sample of the feeds'
+    own tables (two columns each, cut to the accounts). Runs two jobs: a count and the sample.
+
+    The feeds' filters aren't applied, so the ranges are as even as the feeds are alike among accounts;
+    a wrong guess costs balance, never rows or order.
+    """
+    spark = acc.users.sparkSession
+    rows = None
+    for name, user, time in FEED_TIMES:
+        table = getattr(src, name)
+        at = F.col(time) if name == "card" else local_time(time, tz)
+        part = table.select(*[c.alias(n) for c, n in zip(
+            _range_key(safe_number(F.col(user).cast("string")), at), ("account", "time"))])
+        rows = part if rows is None else rows.unionByName(part)
+    return split_points(acc.keep(rows, "account"), rows.count(),
+                        ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_account_history(src: HistorySources, users: DataFrame | AccountSet, path: str, tz: str = codes.TIMELINE_TZ,
                           user_col: str = "user_id") -> None:
     """Write the timeline under ``path``: files ranged by (account, time) and sorted inside.
 
-    The nine feeds run once, into a table of the checkpoint folder that is deleted
-    when the ranged copy is written.
+    The nine feeds run once and nothing else is written: the ranges are known from ``history_points``.
     """
     acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
-    with materialized(account_timeline(src, acc, tz)) as rows:
-        rows.repartitionByRange(*timeline_order()).sortWithinPartitions(*timeline_order()).write.mode("overwrite").parquet(path)
+    account_history(src, acc, tz, points=history_points(src, acc, tz)).write.mode("overwrite").parquet(path)

@@ -17,7 +17,7 @@ from disputelens.plans.dispute_wow import (
     detail_base, detail_of, dispute_wow_summary, report_tables, run_dispute_wow, wow_window_cols,
 )
 from disputelens.plans.operator_queries import OPS
-from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history
+from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history, history_points
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
 from disputelens.session import materialize, scratch_folder
@@ -132,7 +132,8 @@ def all_members(fx: Fixtures) -> AccountSet:
 
 @register("account_history")
 def q_account_history(fx: Fixtures) -> DataFrame:
-    return account_history(HistorySources.from_fixtures(fx), all_members(fx))
+    src, acc = HistorySources.from_fixtures(fx), all_members(fx)
+    return account_history(src, acc, points=history_points(src, acc))
 
 
 @register("account_history_subset")
