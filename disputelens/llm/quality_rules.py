@@ -7,8 +7,8 @@ the sum of log(target / raw) over its n-grams divided by their number; it is
 kept if the base rules pass and the score reaches ``THRESHOLD``. Every document
 is scored and judged by the same fixed threshold.
 
-Documents and labels meet in a shuffled join by id (labels grow with the corpus).
-Counts are added up in the task, then by bucket; the weights (BUCKETS doubles)
+The raw corpus is counted in a scan. Trusted texts meet their labels in a shuffled join
+by id (labels grow with the corpus), after a bitmap of the trusted ids. Counts are added up in the task, then by bucket; the weights (BUCKETS doubles)
 are all that is broadcast.
 
 Defined cases: a null or empty text has no words and fails the base rules; its
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import U64, Rolling, prepare, shingle_hash, text_chunks
+from disputelens.llm.common import U64, BitFilter, Rolling, bitmap_of, prepare, shingle_hash, text_chunks
 from disputelens.llm.textstats import TextStats
 
 BUCKETS = 1 << 17
+#: Bits of the bitmap of trusted ids (1 MB); beyond some millions of them it saves less, the result is the same.
+ID_BITS = 1 << 23
 #: Added to each bucket's count.
 SMOOTHING = 0.5
 #: Least mean log ratio of a kept document.
@@ -50,32 +52,52 @@ def ngram_buckets(stats: TextStats) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
-    target, raw = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-    for rows, texts in text_chunks(batches, "text"):
-        stats = TextStats(texts, rolling)
-        bucket, text = ngram_buckets(stats)
-        trusted = rows.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-        raw += np.bincount(bucket, minlength=BUCKETS)
-        target += np.bincount(bucket[trusted[text]], minlength=BUCKETS)
-    used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(target[used]), pa.array(raw[used])],
-                                     names=["bucket", "target", "raw"])
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for _, texts in text_chunks(batches, "text"):
+        counts += np.bincount(ngram_buckets(TextStats(texts, rolling))[0], minlength=BUCKETS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
+
+
+def count_ngrams(texts: DataFrame) -> np.ndarray:
+    """N-grams per bucket in the column ``text``, added up in the tasks and then by bucket."""
+    found = (texts.select("text").mapInArrow(_count, "bucket long, n long")
+             .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[found.bucket] = found.n
+    return out
+
+
+def _passing(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = BitFilter(bits.value)
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column("at").to_numpy())))
+    return run
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text`` of each document that a label trusts. A bitmap of the trusted ids drops most of the
+    others in the scan; what passes is joined by id, so little more than the trusted texts is shuffled."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    trusted = (labels.filter("quality = 1").select(F.col(id_col).try_cast(kind).alias("id"))
+               .where(F.col("id").isNotNull()).distinct())
+    bits = spark.sparkContext.broadcast(bitmap_of(
+        trusted.select(F.xxhash64("id").alias("at")), F.pmod("at", F.lit(ID_BITS)), ID_BITS))
+    rows = docs.select(F.xxhash64(id_col).alias("at"), F.col(id_col).alias("id"),
+                       F.col(text_col).cast("string").alias("text"))
+    passed = rows.mapInArrow(_passing(bits), f"at long, id {kind}, text string")
+    return passed.join(trusted.hint("merge"), "id", "left_semi").select("text")  # dealt by id, at every size
 
 
 def fit_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(target / raw) for each bucket, from all documents."""
-    trusted = (labels.filter("quality = 1").select(F.col(id_col).alias("id")).distinct()
-               .withColumn("trusted", F.lit(True)).hint("merge"))  # both sides dealt by id, at every size
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
-        trusted, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counts = (rows.mapInArrow(_count, "bucket long, target long, raw long")
-              .groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas())
-    target, raw = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
-    target[counts.bucket] += counts.target
-    raw[counts.bucket] += counts.raw
-    if not counts.target.sum():
+    target = count_ngrams(trusted_texts(docs, labels, id_col, text_col))
+    if not target.any():
         return np.zeros(BUCKETS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw = count_ngrams(docs.select(F.col(text_col).cast("string").alias("text")))
+    return np.log((target + SMOOTHING) / (target + SMOOTHING).sum()) - np.log((raw + SMOOTHING) / (raw + SMOOTHING).sum())
 
 
 def _judge(weights, threshold: float):

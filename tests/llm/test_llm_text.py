@@ -14,6 +14,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 from disputelens.llm import bpe, langid, license_scan, quality_qda, quality_rules, toxicity, warc
+from disputelens.llm.common import Rolling
+from disputelens.llm.textstats import TextStats
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = ("op2_warc", "op4_language", "op5_quality", "op6_quality_rules", "op7_license", "op9_bpe", "op10_toxicity")
@@ -206,9 +208,6 @@ def test_rules_whole_table_and_verdict(spark):
 def test_rules_weights_by_hand(spark):
     docs = hard_docs(spark, [(1, "good good word", "en"), (2, "bad word", "en")])
     w = quality_rules.fit_weights(docs, labels_of(spark, [(1, 1, 0), (2, 0, 0)]))
-    from disputelens.llm.common import Rolling
-    from disputelens.llm.textstats import TextStats
-
     bucket, _ = quality_rules.ngram_buckets(TextStats([b"good bad word"], Rolling()))
     good, bad, word = w[bucket[:3]]
     n = quality_rules.BUCKETS * quality_rules.SMOOTHING
@@ -413,3 +412,26 @@ def test_words_of_both_classes():
     for k, t in enumerate(texts):
         span = range(w.range[k], w.range[k + 1])
         assert [w.raw[w.starts[i]:w.ends[i]].decode() for i in span] == alnum(t)
+
+
+def test_rules_scores_by_plain_counts(spark, monkeypatch):
+    """Weights and scores from counts made one text at a time; a crowded bitmap of ids changes nothing."""
+    texts = hard_texts()
+    labels = labels_of(spark, LABELS)
+    docs = hard_docs(spark, texts)
+    trusted = {d for d, quality, _ in LABELS if quality == 1}
+    target, raw = [np.full(quality_rules.BUCKETS, quality_rules.SMOOTHING) for _ in range(2)]
+    buckets = []
+    for doc, text, _ in texts:
+        found, _ = quality_rules.ngram_buckets(TextStats([(text or "").encode()], Rolling()))
+        buckets.append(found)
+        np.add.at(raw, found, 1)
+        if doc is not None and doc in trusted:
+            np.add.at(target, found, 1)
+    weights = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = sorted((d is None, d or 0, round(float(weights[b].sum()) / max(len(b), 1), 9))
+                  for (d, _, _), b in zip(texts, buckets))
+    for bits in (quality_rules.ID_BITS, 1 << 15):
+        monkeypatch.setattr(quality_rules, "ID_BITS", bits)
+        got = quality_rules.judge(docs, labels).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9)) for r in got) == want
