@@ -20,7 +20,7 @@ from disputelens.plans.operator_queries import OPS
 from disputelens.plans.history import FEEDS, AccountSet, HistorySources, account_history, history_points
 from disputelens.plans.risk_cut import risk_cut_check, risk_score_cut
 from disputelens.plans.weekly_cases import weekly_top_cases
-from disputelens.session import materialize, scratch_folder
+from disputelens.session import BYTES_PER_PARTITION, materialize, partitions_for, scratch_folder, size_shuffles
 from disputelens.sources.bucketed import BucketedSources
 from disputelens.sources.fixtures import Fixtures
 
@@ -41,7 +41,12 @@ def fixtures_for(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 def register(key: str):
     def deco(fn: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
-        QUERIES[key] = lambda spark, sf_dir: fn(fixtures_for(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            fx = fixtures_for(spark, sf_dir)
+            size_shuffles(spark, fx.source_bytes)
+            return fn(fx)
+
+        QUERIES[key] = run
         return fn
     return deco
 
@@ -86,12 +91,21 @@ def q_dispute_wow_detail(fx: Fixtures) -> DataFrame:
     return _wow_detail(fx)
 
 
+def fact_buckets(source_bytes: int) -> int:
+    """``P.BUCKETS`` at the test data's size; doubled with a larger input, so that a bucket fits a task."""
+    n = P.BUCKETS
+    while n * BYTES_PER_PARTITION < source_bytes:
+        n *= 2
+    return n
+
+
 @register("dispute_wow_bucketed")
 def q_dispute_wow_bucketed(fx: Fixtures) -> DataFrame:
     """The detail from facts that are stored in buckets of their join keys."""
     spark = fx.src.spark
     folder = scratch_folder(spark, "facts")
-    facts = BucketedSources.store(spark, fx, folder, folder.rsplit("/", 1)[-1].replace("-", "_"), P.BUCKETS)
+    facts = BucketedSources.store(spark, fx, folder, folder.rsplit("/", 1)[-1].replace("-", "_"),
+                                  fact_buckets(fx.source_bytes))
     detail = _wow_detail(facts)
     facts.drop()
     return detail
@@ -133,7 +147,8 @@ def all_members(fx: Fixtures) -> AccountSet:
 @register("account_history")
 def q_account_history(fx: Fixtures) -> DataFrame:
     src, acc = HistorySources.from_fixtures(fx), all_members(fx)
-    return account_history(src, acc, points=history_points(src, acc))
+    return account_history(src, acc, points=history_points(
+        src, acc, ranges=partitions_for(fx.src.spark, fx.source_bytes)))
 
 
 @register("account_history_subset")

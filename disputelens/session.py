@@ -24,6 +24,30 @@ SESSION_CONF = {
 }
 
 
+#: Stored input bytes per shuffle partition at most, so that a task's sort fits its memory.
+BYTES_PER_PARTITION = 16 << 20
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SIZED: dict[str, str] = {}
+
+
+def partitions_for(spark: SparkSession, input_bytes: int) -> int:
+    """Shuffle partitions for an input of that size: the session's number, or more if it is large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // BYTES_PER_PARTITION))
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Let shuffles start with partitions for the input's size, which Spark then merges at run time.
+
+    With a fixed number a partition grows with the input until each sort spills. A
+    number that the user has set stays.
+    """
+    app = spark.sparkContext.applicationId
+    if spark.conf.get(_INITIAL, None) not in (None, _SIZED.get(app)):
+        return
+    _SIZED[app] = str(partitions_for(spark, input_bytes))
+    spark.conf.set(_INITIAL, _SIZED[app])
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "disputelens", driver_memory: str | None = None) -> SparkSession:
     """A session with ``SESSION_CONF``. ``driver_memory`` matters in local mode

@@ -5,15 +5,16 @@ each relation is derived from the TPC-H-style driver tables by fixed integer
 rules on keys (``FIXTURES.md``). The same rules are written in DuckDB SQL in
 ``disputelens.oracle.fixtures_sql``; both sides must agree row for row.
 
-Most relations derive from one line-level base. The base joins ``lineitem``
-to ``orders`` on the order key and then groups by (order key, line number):
-the join's hash partitioning on the order key already satisfies the grouping,
-so it costs one shuffle of each input.
-
-The relations play the warehouse's stored tables, and one query reads several
-of them, several times. So each relation (and the base) is written once per
-session and source snapshot as a rebalanced parquet table into the shared
-checkpoint folder, and every query reads it back.
+Most relations derive from one line-level base. The base groups ``lineitem``
+by (order key, line number) and joins it to ``orders`` on the order key: lines
+are shuffled by the order key and sorted once, for the grouping and the join.
+
+The relations play the warehouse's stored tables. What takes a shuffle to derive
+(the base and the ``distinct`` ones) is written once per session and source
+snapshot as a parquet table into the shared checkpoint folder, and every query
+reads it back. The other relations are projections and filters of such a table or of a
+driver table, so they are views: storing them would shuffle and write
+every row again for each relation that a query reads.
 ``Fixtures(..., reuse_base=False)`` gives the plain lazy derivations instead
 (the tests compare those with their SQL twins).
 """
@@ -94,7 +95,7 @@ def add(unit: str, n, ts: Column) -> Column:
 
 
 def stored(fn):
-    """A relation computed once per session and source snapshot (see module doc)."""
+    """A table computed once per session and source snapshot (see module doc)."""
     name = fn.__name__
 
     @wraps(fn)
@@ -104,19 +105,12 @@ def stored(fn):
             return df
         key = (*self.snapshot_key, name)
         if key not in _BASES:
-            _BASES[key] = materialize(_spread(df))
+            _BASES[key] = materialize(df)
         return _BASES[key]
 
     return cached_property(get)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rebalance before writing: AQE sizes the output partitions (splitting
-    skewed ones), so a relation from a single-file source is not read back by
-    one task, and a big one is written in evenly sized files."""
-    return df.hint("rebalance")
-
-
 SOURCE_TABLES = ("lineitem", "orders", "customer", "events", "nation")
 
 
@@ -132,12 +126,17 @@ class Fixtures:
         return (self.src.spark.sparkContext.applicationId, self.src.sf_dir,
                 *(self._snapshot(t) for t in SOURCE_TABLES))
 
+    @cached_property
+    def source_bytes(self) -> int:
+        """Stored bytes of the driver tables."""
+        return sum(self.src.size(t) for t in SOURCE_TABLES)
+
     def materialize_all(self, threads: int = 4) -> None:
-        """Write every relation now. After the shared base, the writes are
+        """Write the stored tables now. After the shared base, the writes are
         independent Spark jobs, submitted from a few driver threads at once."""
         from concurrent.futures import ThreadPoolExecutor
 
-        for shared in ("line_base", "settled_ext", "disputed_ext", "auth_ext", "posted_ext", "claims", "pay_friend"):
+        for shared in ("line_base", "settled_ext", "disputed_ext", "auth_ext", "posted_ext", "claims"):
             getattr(self, shared)
         with ThreadPoolExecutor(max_workers=threads) as pool:
             list(pool.map(lambda n: getattr(self, n), RELATIONS))
@@ -156,21 +155,30 @@ class Fixtures:
             return path
 
     def derive_line_base(self) -> DataFrame:
+        """One row per (order key, line number, customer).
+
+        Lines are shuffled before they are grouped, not grouped on both sides of the shuffle:
+        few repeat, and the task that reads a split would sort it. An order that comes
+        several times for a customer counts that often in the amount.
+        """
         li = self.src.read("lineitem", [
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
             "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"])
+        lines = (li.where(c("l_orderkey").isNotNull()).repartition("l_orderkey")
+                 .groupBy("l_orderkey", "l_linenumber")
+                 .agg(F.min("l_shipdate").alias("ts"),
+                      F.sum(c("l_extendedprice").cast("decimal(18,2)")).alias("amt"),
+                      F.min("l_partkey").alias("pk"),
+                      F.min("l_suppkey").alias("sk"),
+                      F.min("l_returnflag").alias("rf"),
+                      F.round(F.min("l_discount") * 100).cast("int").alias("disc"),
+                      F.min("l_quantity").cast("int").alias("qty")))
         orders = self.src.read("orders", ["o_orderkey", "o_custkey"])
-        j = li.join(orders, li.l_orderkey == orders.o_orderkey)
-        return (j.groupBy("l_orderkey", "l_linenumber", "o_custkey")
-                .agg(F.min("l_shipdate").alias("ts"),
-                     F.sum(c("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("amt"),
-                     F.min("l_partkey").alias("pk"),
-                     F.min("l_suppkey").alias("sk"),
-                     F.min("l_returnflag").alias("rf"),
-                     F.round(F.min("l_discount") * 100).cast("int").alias("disc"),
-                     F.min("l_quantity").cast("int").alias("qty"))
-                .select((c("l_orderkey") * 10 + c("l_linenumber")).alias("code"),
-                        c("o_custkey").alias("u"), "ts", "amt", "pk", "sk", "rf", "disc", "qty"))
+        owners = (orders.where(c("o_orderkey").isNotNull()).repartition("o_orderkey")
+                  .groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("times")))
+        return (lines.join(owners, c("l_orderkey") == c("o_orderkey"))
+                .select((c("l_orderkey") * 10 + c("l_linenumber")).alias("code"), c("o_custkey").alias("u"), "ts",
+                        (c("amt") * c("times")).cast("decimal(18,2)").alias("amt"), "pk", "sk", "rf", "disc", "qty"))
 
     @cached_property
     def settled_ext(self) -> DataFrame:
@@ -190,7 +198,7 @@ class Fixtures:
         )
 
     # T24
-    @stored
+    @cached_property
     def settled_txn(self) -> DataFrame:
         return self.settled_ext.select(
             c("u").alias("user_id"), c("code").alias("authorization_code"),
@@ -227,7 +235,7 @@ class Fixtures:
             (c("code") * 10 + c("k")).alias("user_dispute_claim_txn_id"),
         )
 
-    @stored
+    @cached_property
     def disputed_txn(self) -> DataFrame:
         return self.disputed_ext.drop("pk", "sk", "qty", "k")
 
@@ -270,7 +278,7 @@ class Fixtures:
         )
 
     # T2
-    @stored
+    @cached_property
     def member_override(self) -> DataFrame:
         a = self.auth_ext.filter((c("_m") == 0) & (c("_qty") % 13 == 0))
         return a.select(
@@ -279,12 +287,12 @@ class Fixtures:
             add("MINUTE", -(c("_pk") % 91), c("auth_event_created_ts")).alias("timestamp"),
         )
 
-    @cached_property
+    @stored
     def claims(self) -> DataFrame:
         return self.disputed_ext.select(c("user_dispute_claim_id").alias("claim")).distinct()
 
     # T4
-    @stored
+    @cached_property
     def inspector_dispute(self) -> DataFrame:
         return self.claims.filter(c("claim") % 9 != 0).select(
             (c("claim") + INSPECTOR_ID_OFFSET).alias("id"),
@@ -304,12 +312,12 @@ class Fixtures:
         )
 
     # T6
-    @stored
+    @cached_property
     def member(self) -> DataFrame:
         return self.src.read("customer", ["c_custkey"]).select(c("c_custkey").alias("id"))
 
     # T25
-    @stored
+    @cached_property
     def dim_member(self) -> DataFrame:
         cu = self.src.read("customer", ["c_custkey", "c_nationkey"])
         return cu.select(
@@ -342,12 +350,12 @@ class Fixtures:
             "mcc_cd",
         )
 
-    @stored
+    @cached_property
     def posted_txn(self) -> DataFrame:
         return self.posted_ext.drop("pk", "sk", "qty")
 
     # T8
-    @stored
+    @cached_property
     def pay_friend(self) -> DataFrame:
         p = self.posted_ext.filter(c("description").isin(codes.PF_SENT, codes.PF_RECEIVED))
         sent = c("description") == codes.PF_SENT
@@ -363,13 +371,13 @@ class Fixtures:
         )
 
     # T10
-    @stored
+    @cached_property
     def pay_friend_score(self) -> DataFrame:
         return self.pay_friend.filter(c("id") % 3 != 0).select(
             c("id").alias("pay_friend_id"), ((c("id") % 100).cast("double") / 100).alias("score"))
 
     # T9
-    @stored
+    @cached_property
     def card(self) -> DataFrame:
         o = self.src.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
         return o.select(
@@ -385,7 +393,7 @@ class Fixtures:
         )
 
     # T11
-    @stored
+    @cached_property
     def auth_decision(self) -> DataFrame:
         a = self.auth_ext.filter(c("_pk") % 2 == 1)
         outcome = pick(DECISION_OUTCOMES, c("_pk") % 7)
@@ -400,7 +408,7 @@ class Fixtures:
         )
 
     # T12
-    @stored
+    @cached_property
     def fraud_override(self) -> DataFrame:
         a = self.auth_ext.filter(c("response_cd") == "59")
         a = a.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -416,7 +424,7 @@ class Fixtures:
         )
 
     # T13
-    @stored
+    @cached_property
     def alert_auth_event(self) -> DataFrame:
         s = self.settled_ext.filter((c("pk") % 10).isin(0, 1))
         return s.select(
@@ -430,13 +438,13 @@ class Fixtures:
         )
 
     # T14
-    @stored
+    @cached_property
     def dispute_claim(self) -> DataFrame:
         return self.claims.select(c("claim").alias("id"),
                                   pick(CLAIM_INTAKE, c("claim") % 4).alias("intake_type"))
 
     # T15
-    @stored
+    @cached_property
     def dispute_contact(self) -> DataFrame:
         # some claims have two contacts, which tell different stories
         contacts = self.claims.withColumn("m", F.explode(
@@ -455,7 +463,7 @@ class Fixtures:
         return e.filter(c("event_type").isin(*types))
 
     # T17
-    @stored
+    @cached_property
     def user_session(self) -> DataFrame:
         # some sessions come twice, from another place and device (m = 1)
         e = self._events("view").withColumn("m", F.explode(
@@ -482,14 +490,14 @@ class Fixtures:
         ).distinct()
 
     # T19
-    @stored
+    @cached_property
     def geo_city(self) -> DataFrame:
         n = self.src.read("nation", ["n_nationkey"]).filter(c("n_nationkey") < 18)
         return n.select(c("n_nationkey").cast("bigint").alias("geoname_id"),
                         pick(CITY_ZONES, c("n_nationkey") % 4).alias("time_zone"))
 
     # T20
-    @stored
+    @cached_property
     def login_alert(self) -> DataFrame:
         o = self.src.read("orders", ["o_orderkey", "o_custkey", "o_orderdate"])
         return o.select(
@@ -501,7 +509,7 @@ class Fixtures:
         )
 
     # T21
-    @stored
+    @cached_property
     def login_request(self) -> DataFrame:
         e = self._events("view", "error")
         ok = c("event_type") == "view"
@@ -523,7 +531,7 @@ class Fixtures:
         )
 
     # T22
-    @stored
+    @cached_property
     def version_change(self) -> DataFrame:
         o = self.src.read("orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
         field = pick(PROFILE_FIELDS, F.substring(c("o_orderpriority"), 1, 1).cast("int") - 1)
@@ -543,7 +551,7 @@ class Fixtures:
         )
 
     # T23
-    @stored
+    @cached_property
     def menu_tap(self) -> DataFrame:
         e = self._events("click")
         return e.select(
@@ -559,7 +567,7 @@ class Fixtures:
         )
 
     # T1
-    @stored
+    @cached_property
     def auth_event(self) -> DataFrame:
         return self.auth_ext.drop("_m", "_pk", "_sk", "_qty")
 

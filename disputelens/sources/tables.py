@@ -24,6 +24,13 @@ class TableSource:
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
+    def size(self, name: str) -> int:
+        """Stored bytes of a table, through Spark's file system (0 if it isn't there)."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
     def read(self, name: str, columns: list[str] | None = None) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
         return df.select(*columns) if columns else df
