@@ -30,7 +30,7 @@ from disputelens.functions.semantics import (
     asc, desc, ilike_any, labelled, local_time, minute_start, safe_number, second_diff,
 )
 from disputelens.operators.dedup import keep_first
-from disputelens.operators.joins import any_party_join, either_key_join, nearest_within, semi_join
+from disputelens.operators.joins import any_party_join, nearest_within, semi_join
 from disputelens.plans.risk_cut import follow_ups
 from disputelens.operators.ranges import order_by_points, split_points
 from disputelens.operators.sequence import lead_in_order
@@ -176,18 +176,35 @@ def join_rules(df: DataFrame, decisions: DataFrame) -> DataFrame:
                    "left")
 
 
+def first_disputes(disputes: DataFrame) -> DataFrame:
+    """The first dispute of each (account, code) in the order of the authorisations' keep-first."""
+    return keep_first(disputes, ["d_user_id", "d_authorization_code"],
+                      [asc("d_unique_transaction_id"), asc("d_claim_txn_id")])
+
+
 def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     """First messages of the accounts with follow-up, rule, override, card and dispute context.
 
-    The three joins keyed on (user_id, auth_id) run back to back so the left
-    side is shuffled once for all of them; the dispute join follows the
-    follow-up join because it matches the follow-up's auth id too.
+    The card join comes first; then all joins keyed on (user_id, auth_id) run back to
+    back, so the left side is shuffled once for all of them. A dispute may match the
+    follow-up's auth id too: that one is joined to the follow-ups, which are few, and
+    the earlier of the two in the keep-first's order is taken. It is the one that the
+    keep-first over both would keep.
     """
     rta = acc.keep(src.auth_event, "user_id").filter((F.col("original_auth_id") == 0) & (F.col("final_amt") >= 0))
     rta = rta.withColumn("_last4", F.right(F.col("pan"), F.lit(4)))
+    # the keep-first takes the least card id: only that card of an account and its last digits can be shown
+    dc = (acc.keep(src.card, "user_id")
+          .groupBy(F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"))
+          .agg(F.min("card_id").alias("dc_card_id"), F.min_by("card_type", "card_id").alias("dc_card_type")))
+    j = rta.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")), "left")
+    own = first_disputes(_disputes(src, acc))
+    other = own.select(*[F.col(c).alias(f"dual_{c}") for c in own.columns])
     dual = follow_ups(acc.keep(src.auth_event, "user_id"), rta)
-    j = rta.join(dual, (F.col("user_id") == F.col("dual_user_id"))
-                 & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
+    dual = dual.join(other, (F.col("dual_user_id") == F.col("dual_d_user_id"))
+                     & (F.col("dual_auth_id") == F.col("dual_d_authorization_code")), "left")
+    j = j.join(dual, (F.col("user_id") == F.col("dual_user_id"))
+               & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
     j = join_rules(j, acc.keep(src.auth_decision, "user_id"))
     o = acc.keep(src.fraud_override, "user_id").select(
         F.col("user_id").alias("o_user_id"), F.col("realtime_auth_id").alias("o_realtime_auth_id"),
@@ -196,15 +213,16 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
         F.col("response_received_at").alias("o_response_received_at"))
     j = j.join(o, (F.col("user_id") == F.col("o_user_id")) & (F.col("auth_id") == F.col("o_realtime_auth_id")),
                "left")
-    # the keep-first takes the least card id: only that card of an account and its last digits can be shown
-    dc = (acc.keep(src.card, "user_id")
-          .groupBy(F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"))
-          .agg(F.min("card_id").alias("dc_card_id"), F.min_by("card_type", "card_id").alias("dc_card_type")))
-    j = j.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")), "left")
-    # collapse=False: the keep-first below orders a real dispute match ahead of
-    # the unmatched copy of the same row (dispute keys sort before rule keys).
-    j = either_key_join(j, _disputes(src, acc), [("user_id", "d_user_id")], ["auth_id", "dual_auth_id"],
-                        "d_authorization_code", collapse=False)
+    j = j.join(own, (F.col("user_id") == F.col("d_user_id")) & (F.col("auth_id") == F.col("d_authorization_code")),
+               "left")
+    # NULLs last, as in the keep-first; of equal keys a real match first
+    place = lambda p: F.struct(*[x for c in ("unique_transaction_id", "claim_txn_id")
+                                 for x in (F.col(f"{p}d_{c}").isNull(), F.col(f"{p}d_{c}"))],
+                               F.col(f"{p}d_authorization_code").isNull())
+    j = j.withColumn("_of_dual", place("dual_") < place(""))
+    for c in own.columns:
+        j = j.withColumn(c, F.when(F.col("_of_dual"), F.col(f"dual_{c}")).otherwise(F.col(c)))
+    j = j.drop("_of_dual", *other.columns)
     return keep_first(j, ["auth_event_id"], [
         asc("o_response_received_at"), asc("dc_card_id"), asc("dual_auth_event_id"),
         asc("d_unique_transaction_id"), asc("d_claim_txn_id"), asc("rta2_policy_name"),
