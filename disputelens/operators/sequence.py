@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disputelens.functions.semantics import asc, desc
-from disputelens.operators.dedup import keep_first
 
 
 def _sort(order: Sequence[tuple[str, str]]) -> list[Column]:
@@ -26,24 +25,19 @@ def lead_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     segment, so an account with a third of all rows is as many tasks' work as it
     has days:
 
-    1. lead within each (group, segment);
-    2. the successor of a segment's last row is the first row of the group's
-       next segment that has rows: one first row per segment (keep-first), then
-       a lead over a group's segments;
-    3. an equi join puts it onto the segments' last rows.
+    1. lead within each (group, segment), with the segment's first values on its last row;
+    2. the successor of a segment's last row is the first row of the group's next segment
+       that has rows: a lead over the segments' last rows, which are all that is
+       shuffled again. The other rows are complete.
     """
     sort = _sort(order)
     s = df.withColumn("_seg", F.coalesce(segment.cast("bigint"), F.lit(2**62)))
     within = Window.partitionBy(*keys, "_seg").orderBy(*sort)
-    heads = keep_first(s.select("_seg", *dict.fromkeys([*keys, *[c for c, _ in order], *values])), [*keys, "_seg"], sort)
-    over = Window.partitionBy(*keys).orderBy("_seg")
-    following = heads.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"),
-                             *[F.lead(F.col(v)).over(over).alias(f"_f_{o}") for v, o in zip(values, out)])
     s = s.withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
     for v, o in zip(values, out):
-        s = s.withColumn(o, F.lead(F.col(v)).over(within))
-    on = F.col("_last") & (F.col("_seg") == F.col("_k_seg"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = s.join(following, on, "left")
-    return joined.select(*df.columns, *[F.when(F.col("_last"), F.col(f"_f_{o}")).otherwise(F.col(o)).alias(o) for o in out])
+        s = s.withColumn(f"_lead_{o}", F.lead(F.col(v)).over(within)).withColumn(
+            f"_head_{o}", F.first(F.col(v)).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = Window.partitionBy(*keys).orderBy("_seg")
+    inner = s.where(~F.col("_last")).select(*df.columns, *[F.col(f"_lead_{o}").alias(o) for o in out])
+    ends = s.where(F.col("_last")).select(*df.columns, *[F.lead(F.col(f"_head_{o}")).over(over).alias(o) for o in out])
+    return inner.unionByName(ends)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from disputelens.functions import codes
@@ -163,16 +163,20 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
 
 # -- b: authorisations ------------------------------------------------------------
 
+def acted_rules(decisions: DataFrame) -> DataFrame:
+    """The rule decisions that were acted on."""
+    return (decisions
+            .filter((F.col("is_shadow_mode") == "false") & (F.col("policy_result") == "criteria_met")
+                    & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
+                    & F.col("decision_outcome").isin(*codes.ACTED_RULE_OUTCOMES))
+            .select(F.col("user_id").alias("rta2_user_id"), F.col("auth_id").alias("rta2_auth_id"),
+                    F.col("policy_name").alias("rta2_policy_name"),
+                    F.col("decision_outcome").alias("rta2_decision_outcome")))
+
+
 def join_rules(df: DataFrame, decisions: DataFrame) -> DataFrame:
     """``df`` (user_id, auth_id) ⟕ the rule decisions that were acted on."""
-    acted = (decisions
-             .filter((F.col("is_shadow_mode") == "false") & (F.col("policy_result") == "criteria_met")
-                     & F.expr("policy_actions LIKE concat('%', decision_outcome, '%')")
-                     & F.col("decision_outcome").isin(*codes.ACTED_RULE_OUTCOMES))
-             .select(F.col("user_id").alias("rta2_user_id"), F.col("auth_id").alias("rta2_auth_id"),
-                     F.col("policy_name").alias("rta2_policy_name"),
-                     F.col("decision_outcome").alias("rta2_decision_outcome")))
-    return df.join(acted, (F.col("user_id") == F.col("rta2_user_id")) & (F.col("auth_id") == F.col("rta2_auth_id")),
+    return df.join(acted_rules(decisions), (F.col("user_id") == F.col("rta2_user_id")) & (F.col("auth_id") == F.col("rta2_auth_id")),
                    "left")
 
 
@@ -185,36 +189,92 @@ def first_disputes(disputes: DataFrame) -> DataFrame:
 def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     """First messages of the accounts with follow-up, rule, override, card and dispute context.
 
-    The card join comes first; then all joins keyed on (user_id, auth_id) run back to
-    back, so the left side is shuffled once for all of them. A dispute may match the
-    follow-up's auth id too: that one is joined to the follow-ups, which are few, and
-    the earlier of the two in the keep-first's order is taken. It is the one that the
-    keep-first over both would keep.
+    The messages are shuffled once, by (user_id, auth_id), where all context is: the cards
+    are looked up with the keys alone, and the keep-first per ``auth_event_id`` needs no
+    shuffle of its own, because an id that more than one (user_id, auth_id) claims is
+    decided beforehand, also with the keys alone. A dispute may match the follow-up's
+    auth id too: that one is joined to the follow-ups, which are few, and the earlier of
+    the two in the keep-first's order is taken. It is the one that the keep-first over
+    both would keep.
     """
-    rta = acc.keep(src.auth_event, "user_id").filter((F.col("original_auth_id") == 0) & (F.col("final_amt") >= 0))
-    rta = rta.withColumn("_last4", F.right(F.col("pan"), F.lit(4)))
-    # the keep-first takes the least card id: only that card of an account and its last digits can be shown
-    dc = (acc.keep(src.card, "user_id")
-          .groupBy(F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"))
-          .agg(F.min("card_id").alias("dc_card_id"), F.min_by("card_type", "card_id").alias("dc_card_type")))
-    j = rta.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")), "left")
+    firsts = acc.keep(src.auth_event, "user_id").filter((F.col("original_auth_id") == 0) & (F.col("final_amt") >= 0))
+    # messages without an auth id have a place of their own, where they meet cards only
+    rta = (firsts.withColumn("_last4", F.right(F.col("pan"), F.lit(4))).withColumn("_aid", F.coalesce("auth_id", F.lit(-1)))
+           .withColumn("_no_aid", F.col("auth_id").isNull()).drop("auth_id"))
     own = first_disputes(_disputes(src, acc))
-    other = own.select(*[F.col(c).alias(f"dual_{c}") for c in own.columns])
-    dual = follow_ups(acc.keep(src.auth_event, "user_id"), rta)
-    dual = dual.join(other, (F.col("dual_user_id") == F.col("dual_d_user_id"))
+    dual = follow_ups(acc.keep(src.auth_event, "user_id"), firsts)
+    dual = dual.join(own.select(*[F.col(c).alias(f"dual_{c}") for c in own.columns]),
+                     (F.col("dual_user_id") == F.col("dual_d_user_id"))
                      & (F.col("dual_auth_id") == F.col("dual_d_authorization_code")), "left")
-    j = j.join(dual, (F.col("user_id") == F.col("dual_user_id"))
-               & (F.col("auth_id") == F.col("dual_original_auth_id")), "left")
-    j = join_rules(j, acc.keep(src.auth_decision, "user_id"))
+    rules = acted_rules(acc.keep(src.auth_decision, "user_id"))
     o = acc.keep(src.fraud_override, "user_id").select(
         F.col("user_id").alias("o_user_id"), F.col("realtime_auth_id").alias("o_realtime_auth_id"),
         F.col("decision_id").alias("o_decision_id"), F.col("is_suppressed").alias("o_is_suppressed"),
         F.col("response_signal").alias("o_response_signal"),
         F.col("response_received_at").alias("o_response_received_at"))
-    j = j.join(o, (F.col("user_id") == F.col("o_user_id")) & (F.col("auth_id") == F.col("o_realtime_auth_id")),
-               "left")
-    j = j.join(own, (F.col("user_id") == F.col("d_user_id")) & (F.col("auth_id") == F.col("d_authorization_code")),
-               "left")
+    keys = rta.select("auth_event_id", "user_id", "_aid", "_no_aid", "_last4")
+    cards = first_cards(keys, acc.keep(src.card, "user_id"))
+    context = lambda rows: _auth_context(rows, cards, dual, rules, o, own)
+    order = [asc(c) for c in AUTH_ORDER]
+    contested = contested_auths(keys)
+    won = keep_first(context(contested), ["auth_event_id"], order).select(*contested.columns)
+    lost = (contested.withColumn("_won", F.lit(0)).unionByName(won.withColumn("_won", F.lit(1)))
+            .groupBy("auth_event_id", "user_id", "_aid", "_no_aid").agg(F.max("_won").alias("_won"))
+            .where(F.col("_won") == 0)
+            .select(F.col("user_id").alias("lost_user_id"), F.col("_aid").alias("lost_aid"),
+                    F.struct("auth_event_id", "_no_aid").alias("lost_message")))
+    left = rta.join(lost, (F.col("user_id") == F.col("lost_user_id")) & (F.col("_aid") == F.col("lost_aid"))
+                    & _beside("lost_message", F.struct("auth_event_id", "_no_aid")), "left_anti")
+    kept = keep_first(context(left), ["user_id", "_aid", "_no_aid", "auth_event_id"], order)
+    return kept.withColumn("auth_id", F.when(~F.col("_no_aid"), F.col("_aid")))
+
+
+#: Which of an authorisation's joined rows is kept: the first by these, NULLs last. (The card's id decides on its type;
+#: with both, contested messages need the same columns as the others and Spark reuses the cards' shuffle.)
+AUTH_ORDER = ("o_response_received_at", "dc_card_id", "dc_card_type", "dual_auth_event_id", "d_unique_transaction_id",
+              "d_claim_txn_id", "rta2_policy_name", "rta2_decision_outcome", "o_decision_id")
+
+
+def _beside(col: str, value: Column) -> Column:
+    """``col`` = ``value`` as a condition that isn't a join key, so that the join keeps its other keys' shuffle."""
+    return F.array_contains(F.array(col), value)
+
+
+def first_cards(keys: DataFrame, cards: DataFrame) -> DataFrame:
+    """The card with the least id of each message's account and last four digits, for (user, _aid, digits).
+
+    The keep-first takes the least card id: only that card of an account and its last digits can be shown.
+    """
+    card = F.when(F.col("card_id").isNotNull(), F.struct("card_id", "card_type"))
+    dc = (cards.groupBy(F.col("user_id").alias("dc_user_id"), F.right(F.col("card_number"), F.lit(4)).alias("dc_last4"))
+          .agg(F.min(card).alias("dc_card")))
+    return (keys.join(dc, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_last4") == F.col("dc_last4")))
+            .groupBy("dc_user_id", "dc_last4", F.col("_aid").alias("dc_aid")).agg(F.first("dc_card").alias("dc_card")))
+
+
+def contested_auths(keys: DataFrame) -> DataFrame:
+    """The distinct ``keys`` of event ids that more than one (user, auth id) has, and of those without an event id."""
+    w = Window.partitionBy("auth_event_id")
+    pair = F.struct("user_id", "_aid", "_no_aid")
+    several = (keys.where(F.col("auth_event_id").isNotNull())
+               .withColumn("_least", F.min(pair).over(w)).withColumn("_most", F.max(pair).over(w))
+               .where(F.col("_least") != F.col("_most")).drop("_least", "_most"))
+    return several.unionByName(keys.where(F.col("auth_event_id").isNull())).distinct()
+
+
+def _auth_context(rows: DataFrame, cards: DataFrame, dual: DataFrame, rules: DataFrame, overrides: DataFrame,
+                  own: DataFrame) -> DataFrame:
+    """``rows`` (user_id, _aid, _no_aid, _last4) ⟕ all context, every join on (user_id, _aid)."""
+    def on(user: str, code: str) -> Column:
+        return (F.col("user_id") == F.col(user)) & (F.col("_aid") == F.col(code)) & ~F.col("_no_aid")
+
+    j = rows.join(dual, on("dual_user_id", "dual_original_auth_id"), "left")
+    j = j.join(rules, on("rta2_user_id", "rta2_auth_id"), "left")
+    j = j.join(overrides, on("o_user_id", "o_realtime_auth_id"), "left")
+    j = j.join(own, on("d_user_id", "d_authorization_code"), "left")
+    j = j.join(cards, (F.col("user_id") == F.col("dc_user_id")) & (F.col("_aid") == F.col("dc_aid"))
+               & _beside("dc_last4", F.col("_last4")), "left")
+    j = j.withColumn("dc_card_id", F.col("dc_card.card_id")).withColumn("dc_card_type", F.col("dc_card.card_type"))
     # NULLs last, as in the keep-first; of equal keys a real match first
     place = lambda p: F.struct(*[x for c in ("unique_transaction_id", "claim_txn_id")
                                  for x in (F.col(f"{p}d_{c}").isNull(), F.col(f"{p}d_{c}"))],
@@ -222,11 +282,7 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     j = j.withColumn("_of_dual", place("dual_") < place(""))
     for c in own.columns:
         j = j.withColumn(c, F.when(F.col("_of_dual"), F.col(f"dual_{c}")).otherwise(F.col(c)))
-    j = j.drop("_of_dual", *other.columns)
-    return keep_first(j, ["auth_event_id"], [
-        asc("o_response_received_at"), asc("dc_card_id"), asc("dual_auth_event_id"),
-        asc("d_unique_transaction_id"), asc("d_claim_txn_id"), asc("rta2_policy_name"),
-        asc("rta2_decision_outcome"), asc("o_decision_id")])
+    return j.drop("_of_dual", *[f"dual_{c}" for c in own.columns])
 
 
 def hist_auths(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ) -> DataFrame:
@@ -284,17 +340,22 @@ def hist_disputes_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     # accounts touch, take the latest row over all accounts, and choose accounts last
     touched = acc.keep(src.disputed_txn, "user_id").select("unique_transaction_id")
     dt = semi_join(src.disputed_txn, touched, "unique_transaction_id", "unique_transaction_id")
+    # the latest row's own columns lead the order: only rows that tie in them need the context
+    newest = Window.partitionBy("unique_transaction_id").orderBy(desc("dispute_created_at"), desc("user_dispute_claim_txn_id"))
+    dt = dt.withColumn("_place", F.rank().over(newest)).where(F.col("_place") == 1).drop("_place")
     d = src.inspector_dispute.select(F.col("id").alias("r_inspector_dispute_id"),
                                      F.col("claim_ext_id").cast("string").alias("d_claim_ext_id"),
                                      F.col("intake_type").alias("d_intake_type"))
-    dc = src.dispute_claim.select(F.col("id").alias("dc_id"), F.col("intake_type").alias("dc_intake_type"))
+    dc = src.dispute_claim.select(F.col("id").cast("string").alias("dc_id"), F.col("intake_type").alias("dc_intake_type"))
     mc = (src.dispute_contact.filter(F.col("dispute_contact_category") == codes.CONTACT_CATEGORY_FILING)
-          .select(F.col("dispute_id").alias("mc_dispute_id"),
+          .select(F.col("dispute_id").cast("string").alias("mc_dispute_id"),
                   F.col("interactions_str_seq").alias("mc_interactions_str_seq"),
                   F.col("contact_flow").alias("mc_contact_flow")))
-    j = (dt.join(d, F.col("user_dispute_claim_id").cast("string") == F.col("d_claim_ext_id"), "left")
-         .join(dc, F.col("dc_id") == F.col("user_dispute_claim_id"), "left")
-         .join(mc, F.col("mc_dispute_id") == F.col("user_dispute_claim_id"), "left"))
+    # the external id is text: all three joins take the claim as text, so the rows are shuffled once for them
+    j = (dt.withColumn("_claim", F.col("user_dispute_claim_id").cast("string"))
+         .join(d, F.col("_claim") == F.col("d_claim_ext_id"), "left")
+         .join(dc, F.col("_claim") == F.col("dc_id"), "left")
+         .join(mc, F.col("_claim") == F.col("mc_dispute_id"), "left").drop("_claim"))
     j = j.withColumn("intake_type", intake_channel("dc_intake_type", "d_intake_type",
                                                    "mc_interactions_str_seq", "mc_contact_flow")) \
          .withColumn("transaction_id", txn_family("transaction_code")) \
