@@ -46,19 +46,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 #: Rows that one file of a table of known size holds.
 FILE_ROWS = 100_000
+#: Documents, or rows made of one each, that a task of a step with work to do takes; the same with whole texts.
+TASK_ROWS, TEXT_ROWS = 10_000, 2_000
 
 
-def store(df: DataFrame, name: str = "t", most_rows: int | None = None) -> DataFrame:
+def in_tasks(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` with its last step in a task for ``task_rows`` of ``rows``, two for each core at least, if that is fewer.
+
+    Each task takes whole partitions, one after the other, so it needs no more memory;
+    but tables of many nearly empty partitions get few files.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, 1 + rows // task_rows))
+
+
+def store(df: DataFrame, name: str = "t", most_rows: int | None = None, task_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     A lost executor then costs the running tasks only. The schema is passed on,
     so an empty table reads back too. ``most_rows`` is a bound on the rows, if
-    one is known: small tables then get few files.
+    one is known: small tables then get few files. With ``task_rows`` it is the rows
+    that the work goes by, see ``in_tasks``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     if most_rows is not None:
-        df = df.coalesce(1 + most_rows // FILE_ROWS)
+        df = df.coalesce(1 + most_rows // FILE_ROWS) if task_rows is None else in_tasks(df, most_rows, task_rows)
     df.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path

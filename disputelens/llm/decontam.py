@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import (ALNUM, BitFilter, Rolling, Words, bitmap_of, prepare, shingle_hash, store, text_chunks,
-                                    valid_starts)
+from disputelens.llm.common import (ALNUM, TASK_ROWS, BitFilter, Rolling, Words, bitmap_of, prepare, shingle_hash, store,
+                                    text_chunks, valid_starts)
 
 WINDOW = 10
 #: Words of a shingle (all of a shorter window).
@@ -113,7 +113,7 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW, size: int = SHINGL
     all_windows = store(items.mapInArrow(_windows(window, size),
                                          f"item_id {kind}, words array<string>, shingles array<long>"), "windows")
     windows = store(all_windows.select("words", "shingles").distinct()
-                    .withColumn("win", F.monotonically_increasing_id()), "windows")
+                    .withColumn("win", F.monotonically_increasing_id()), "windows", all_windows.count(), TASK_ROWS)
     return windows, all_windows.join(windows.select("words", "win"), "words").select("win", "item_id").distinct()
 
 
@@ -134,7 +134,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     ranked = shingles.join(counts, "shingle", "left").groupBy("win").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "off", "length")).alias("prefix"))
     prefixes = store(ranked.filter("prefix.n > 0").join(windows, "win").select(
-        "win", "prefix.shingle", "prefix.off", "prefix.length", "words"), "prefixes")
+        "win", "prefix.shingle", "prefix.off", "prefix.length", "words"), "prefixes", windows.count(), TASK_ROWS)
 
     wanted = spark.sparkContext.broadcast(bitmap_of(prefixes, low_bits, FILTER_BITS))
     kind = numbered.schema["id"].dataType.simpleString()
@@ -149,7 +149,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
              .filter(F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("length"))
                      == F.col("words"))
              .select("row", "win", start.alias("start"), (start + F.col("length")).alias("stop")))
-    found = store(found.distinct(), "found")
+    found = store(found.distinct(), "found", places.count(), TASK_ROWS)
 
     before = F.max("stop").over(Window.partitionBy("row").orderBy("start", "stop", "win")
                                 .rowsBetween(Window.unboundedPreceding, -1))
@@ -172,6 +172,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> Dat
     name = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     found = decontaminate(docs.select(name.alias("name"), F.col(text_col).alias("text")), bench, "name", "text")
     # stored first: the planner then knows its size, and shuffles the texts only if it is large
-    hit = store(found.filter("contaminated").select(F.unhex("name").alias("hit_name")).distinct(), "hit")
+    hit = store(found.filter("contaminated").select(F.unhex("name").alias("hit_name")).distinct(), "hit",
+                docs.count(), TASK_ROWS)
     rows = docs.select(F.struct("*").alias("doc"), name.alias("name"))
     return rows.join(hit, F.unhex("name") == F.col("hit_name"), "left_anti").select("doc.*")

@@ -48,8 +48,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import (NON_SPACE, U64, BitFilter, Rolling, Words, bitmap_of, discard, lists_of, mix,
-                                    prepare, shingle_hash, store, text_chunks)
+from disputelens.llm.common import (NON_SPACE, TASK_ROWS, TEXT_ROWS, U64, BitFilter, Rolling, Words, bitmap_of, discard,
+                                    in_tasks, lists_of, mix, prepare, shingle_hash, store, text_chunks)
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -200,14 +200,14 @@ def _classes(sig: DataFrame) -> DataFrame:
         F.min("id").alias("rep"), F.min_by("id_hash", "id").alias("by_id"), F.min("id_hash").alias("any_id"),
         F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     return store(same.select("k1", "k2", "rep", F.coalesce("by_id", "any_id").alias("id_hash"), "n", "bands",
-                             F.monotonically_increasing_id().alias("cid")), "classes")
+                             F.monotonically_increasing_id().alias("cid")), "classes", sig.count(), TASK_ROWS)
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:
     """(bucket, cid, n) of the buckets that hold two classes or more."""
     rows = classes.select(F.explode("bands").alias("bucket"), "cid", "n")
     several = rows.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi")
-    return store(rows.join(several.select("bucket"), "bucket", "left_semi"), "buckets")
+    return store(rows.join(several.select("bucket"), "bucket", "left_semi"), "buckets", classes.count(), TASK_ROWS)
 
 
 def _star(buckets: DataFrame, rank: list[str], when: Column | None = None) -> DataFrame:
@@ -223,22 +223,24 @@ def _star(buckets: DataFrame, rank: list[str], when: Column | None = None) -> Da
 
 def _members(keyed: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
     """(cid, members, sketch): the full sets of the classes in ``cids``, stored."""
-    wanted = store(classes.join(cids, "cid", "left_semi").select("k1", "k2", "id_hash", "cid"), "wanted")
+    wanted = store(classes.join(cids, "cid", "left_semi").select("k1", "k2", "id_hash", "cid"), "wanted",
+                   classes.count(), TASK_ROWS)
     bits = keyed.sparkSession.sparkContext.broadcast(_bitmap(wanted))
     found = keyed.mapInArrow(_sets(bits), "k1 long, k2 long, id_hash long, members array<long>, sketch array<long>")
     # copies of a representative (same id, same text) give equal sets: any of them will do
-    sets = store(found.join(wanted, ["k1", "k2", "id_hash"]).dropDuplicates(["cid"]).select("cid", "members", "sketch"), "sets")
+    sets = store(found.join(wanted, ["k1", "k2", "id_hash"]).dropDuplicates(["cid"]).select("cid", "members", "sketch"),
+                 "sets", wanted.count(), TEXT_ROWS)
     discard(wanted)
     return sets
 
 
 def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the similarity, stored."""
+    """The ``pairs`` (a stored table) whose full sets reach the similarity, stored."""
     both = (pairs.join(members.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
             .join(members.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b"))
     inter = F.size(F.array_intersect("ma", "mb"))
     union = F.size("ma") + F.size("mb") - inter
-    return store(both.filter(inter * 100 >= union * PERCENT).select("a", "b"), "links")
+    return store(both.filter(inter * 100 >= union * PERCENT).select("a", "b"), "links", pairs.count(), TASK_ROWS)
 
 
 def _prefixes(open_classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -258,7 +260,8 @@ def _prefixes(open_classes: DataFrame, members: DataFrame) -> DataFrame:
     return store(few.join(members.select("cid", "sketch"), "cid")
                  .select("cid", "root", "n", "held", "sketch", F.posexplode("held").alias("at", "s"))
                  .filter(rest * 100 >= F.col("n") * PERCENT)
-                 .select("s.shingle", "cid", "root", "n", rest.alias("rest"), "sketch"), "prefixes")
+                 .select("s.shingle", "cid", "root", "n", rest.alias("rest"), "sketch"),
+                 "prefixes", open_classes.count(), TEXT_ROWS)
 
 
 def _prefix_pairs(prefixes: DataFrame) -> DataFrame:
@@ -279,7 +282,8 @@ def _prefix_pairs(prefixes: DataFrame) -> DataFrame:
         & (F.least("rest1", "rest2") * (100 + PERCENT) >= both * PERCENT)
         # the members that are not common are at least as many as the bits that differ
         & ((both - differ) * (100 + PERCENT) >= both * (2 * PERCENT)))
-    return store(pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct(), "pairs")
+    return store(pairs.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct(),
+                 "pairs", prefixes.count(), TASK_ROWS)
 
 
 def _links_left(members: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame | None:
@@ -289,7 +293,8 @@ def _links_left(members: DataFrame, buckets: DataFrame, roots: DataFrame) -> Dat
     # the first star settled the buckets of two classes
     left = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter(
         "lo < hi and m > 2")
-    open_classes = store(rows.join(left.select("bucket"), "bucket", "left_semi").select("cid", "n", "root").distinct(), "open")
+    open_classes = store(rows.join(left.select("bucket"), "bucket", "left_semi").select("cid", "n", "root").distinct(),
+                         "open", members.count(), TASK_ROWS)
     if open_classes.isEmpty():
         return None
     prefixes = _prefixes(open_classes, members)
@@ -354,9 +359,11 @@ def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     of = roots.select(F.col("node"), F.col("root"))
     ends = (more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left")
             .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct())
+    n = more.count()
     merged = contract(store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                            "edges"))
-    return store(follow(roots, merged).union(merged.join(roots.select("node"), "node", "left_anti")), "roots")
+                            "edges", n))
+    return store(follow(roots, merged).union(merged.join(roots.select("node"), "node", "left_anti")), "roots",
+                 roots.count() + 2 * n)
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,7 +371,8 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
     keyed = _keyed(docs, id_col, text_col)
     buckets = _shared_buckets(classes)
     members = _members(keyed, classes, buckets.select("cid").distinct())
-    tried = store(_star(buckets, []), "pairs")
+    n = members.count()
+    tried = store(_star(buckets, []), "pairs", n, TASK_ROWS)
     links = _linked(tried, members)
     roots = store(contract(links), "roots", 2 * links.count())
     for _ in range(STARS):
@@ -373,9 +381,10 @@ def linked_components(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
         rows = buckets.join(known, "cid", "left").select(
             "bucket", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         split = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        open_ = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
+        open_ = store(rows.join(split.select("bucket"), "bucket", "left_semi"), "buckets", n, TASK_ROWS)
         discard(buckets)
-        new = store(_star(open_, ["degree"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = store(_star(open_, ["degree"], F.col("root") != F.col("centre.root")).join(tried, ["a", "b"], "left_anti"),
+                    "pairs", n, TASK_ROWS)
         buckets = open_.select("bucket", "cid", "n")
         buckets.stored_at = open_.stored_at
         more = None if new.isEmpty() else _linked(new, members)
@@ -400,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = linked_components(docs, classes, id_col, text_col).withColumnRenamed("node", "cid")
     named = classes.join(roots, "cid", "left").select("k1", "k2", "rep", F.coalesce("root", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_set = store(named.join(least, "comp").select("k1", "k2", "component_id"), "components")
+    of_set = store(named.join(least, "comp").select("k1", "k2", "component_id"), "components", classes.count(), TASK_ROWS)
     discard(classes)
     # empty sets share a key, but need no component
     full = sig.filter("n_shingles > 0").select("id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
@@ -424,4 +433,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rank = F.struct(of_doc.isNull().alias("unnamed"), of_doc.alias("id"), F.col("row"))
     found = near_duplicates(numbered.select(rank.alias("id"), F.col(f"doc.`{text_col}`").alias("text")), "id", "text")
     kept = found.filter("kept").select(F.col("id.row").alias("row"))
-    return numbered.join(kept, "row", "left_semi").select("doc.*")
+    return in_tasks(numbered.join(kept, "row", "left_semi").select("doc.*"), numbered.count(), TEXT_ROWS)

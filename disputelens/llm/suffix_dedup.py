@@ -44,7 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disputelens.llm.common import U64, BitFilter, Rolling, bitmap_of, discard, prepare, store, text_chunks
+from disputelens.llm.common import (TEXT_ROWS, U64, BitFilter, Rolling, bitmap_of, discard, in_tasks, prepare, store,
+                                    text_chunks)
 
 LENGTH = 200
 CORE = 100
@@ -313,9 +314,10 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     """(name, spans): byte ranges to remove, unmerged; ``texts``: name (MD5), text."""
     spark = prepare(texts.sparkSession)
     low_bits = F.col("core").bitwiseAND(F.lit(FILTER_BITS - 1))
+    n = texts.count()
     cores = store(texts.select("text").mapInArrow(_count_cores, "core long, n long, lo long, hi long").groupBy("core")
                   .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n >= 2")
-                  .select("core", (F.col("lo") == F.col("hi")).alias("alike")), "cores")
+                  .select("core", (F.col("lo") == F.col("hi")).alias("alike")), "cores", n, TEXT_ROWS)
     repeated = spark.sparkContext.broadcast(bitmap_of(cores, low_bits, FILTER_BITS))
     mixed = spark.sparkContext.broadcast(bitmap_of(cores.filter("not alike"), low_bits, FILTER_BITS))
     places = store(texts.mapInArrow(
@@ -327,12 +329,12 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     fragments = (places.filter(F.col("flanks").isNotNull()).groupBy("core", "key")
                  .agg(F.first("n").alias("n"), F.first("left").alias("left"), F.count("*").alias("weight"),
                       F.first("flanks").alias("flanks")).join(several, "core", "left_semi"))
-    fragments = store(fragments, "fragments")
-    runs = store(_runs(fragments, group), "runs")
+    fragments = store(fragments, "fragments", n, TEXT_ROWS)
+    runs = store(_runs(fragments, group), "runs", n, TEXT_ROWS)
     back = places.select("name", "core", "key", "at").join(runs, ["core", "key"])
     spans = alike.select("name", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("hi")).union(
         back.select("name", F.col("at") + F.col("first"), F.col("at") + F.col("last") + (LENGTH - 1)))
-    found = store(spans.distinct().groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    found = store(spans.distinct().groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans", n, TEXT_ROWS)
     discard(cores, places, fragments, runs)
     return found
 
@@ -392,7 +394,8 @@ def kept_texts(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> D
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(kept, type=pa.string())], names=["doc", "kept"])
 
     schema = rows.select("doc").schema.add("kept", "string")
-    done = rows.join(spans, "name", "left").select("doc", "text", "spans").mapInArrow(cut, schema)
+    done = in_tasks(rows.join(spans, "name", "left").select("doc", "text", "spans").mapInArrow(cut, schema),
+                    docs.count(), TEXT_ROWS)
     # a null text stays null
     kept = F.when(F.col(f"doc.{text_col}").isNotNull(), F.col("kept"))
     return done.select(*[kept.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

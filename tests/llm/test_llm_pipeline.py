@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage on its own input against brute force, whole runs, and the entry's guard."""
 
 import hashlib
+import random
 import subprocess
 import sys
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
-from disputelens.llm import suffix_dedup
+from disputelens.llm import decontam, minhash, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -109,3 +110,51 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), set(q) == set(e.oracle_sql()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
     assert said.stdout.split()[1:] == ["False", "True"], said.stderr
+
+
+def test_stages_write_few_files_when_dealt_over_many_partitions(spark, tmp_path, monkeypatch):
+    """Tables and results of small stages get files by their rows, not one for each of many nearly empty partitions."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(150)]
+    family = " ".join(r.choices(words, k=60)).split()
+    texts += [" ".join([*family[:i], f"x{i}", *family[i + 1:]]) for i in range(40)] + [texts[0]] * 10
+    # two documents share a passage with others, and a few hold a window of an item
+    passage, item = " ".join(r.choices(words, k=50)), " ".join(f"item{i}" for i in range(12))
+    texts += [f"{passage} {t}" for t in texts[:20]] + [f"{t} {item}" for t in texts[20:30]]
+    spark.createDataFrame([(i, t, "en", len(t)) for i, t in enumerate(texts)],
+                          "doc_id long, text string, lang string, n_chars long").coalesce(2).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(f"q{i}", " ".join(r.choices(words, k=30))) for i in range(20)] + [("q", item)],
+                          "item_id string, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    files = {}
+    for module in (minhash, suffix_dedup, decontam):
+        def counted(df, name="t", *rest, keep=module.store):
+            stored = keep(df, name, *rest)
+            files.setdefault(name, []).append(len(stored.inputFiles()))
+            return stored
+        monkeypatch.setattr(module, "store", counted)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    stages = {"near_duplicates", "repeated_passages", "decontaminated"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(str(tmp_path / "in"))
+        for name, stage in corpus_pipeline.STAGES:
+            if name in stages:
+                stage(spark, docs, str(tmp_path)).write.parquet(path := str(tmp_path / name))
+                docs = spark.read.parquet(path)
+                files[f"result of {name}"] = [len(docs.inputFiles())]
+                if name == "near_duplicates":
+                    want = [c[0] for c in components(list(enumerate(texts))) if c[3]]
+                    assert sorted(x.doc_id for x in docs.collect()) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"classes", "buckets", "sets", "links", "components", "cores", "spans", "windows", "found"} <= set(files)
+    # the last result is an anti join of whole texts, left to Spark's partitions
+    del files["result of decontaminated"]
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert {k: max(v) for k, v in files.items() if max(v) > most} == {}
