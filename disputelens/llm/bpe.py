@@ -41,8 +41,9 @@ from tokenizers import Tokenizer
 from disputelens.llm.common import prepare, text_chunks
 
 LONG = 128
-CACHE_WORDS = 600_000
-CHUNK_BYTES = 4 << 20
+#: Words that a worker keeps (some 300 bytes each): workers outlive the stage, and hold them while later steps run.
+CACHE_WORDS = 150_000
+CHUNK_BYTES = 1 << 20
 NONE = np.int64(2**62)
 SUFFIX = "</w>"
 #: White space of the file's pattern engine (fixed values).

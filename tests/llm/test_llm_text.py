@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import sys
 import unicodedata
 
 import numpy as np
@@ -435,3 +436,13 @@ def test_rules_scores_by_plain_counts(spark, monkeypatch):
         monkeypatch.setattr(quality_rules, "ID_BITS", bits)
         got = quality_rules.judge(docs, labels).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9)) for r in got) == want
+
+
+def test_known_words_take_little_memory(monkeypatch):
+    """Python workers are kept from stage to stage, and each holds its words meanwhile."""
+    vocab = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(vocab, "encode_words", lambda words: [[300, 301]] * len(words))
+    for a in range(0, 400_000, 50_000):
+        assert len(vocab.learn({f"word{i}" for i in range(a, a + 50_000)})) == 50_000
+    held = sys.getsizeof(vocab.known) + sum(sys.getsizeof(x) for w, v in vocab.known.items() for x in (w, v, *v))
+    assert held < 64 << 20
