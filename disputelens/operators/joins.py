@@ -127,6 +127,36 @@ def semi_join(df: DataFrame, keys_df: DataFrame, col: str, keys_col: str) -> Dat
     return df.join(ks, F.col(col) == F.col("_k"), "left_semi")
 
 
+#: Bits of a rough set. It is a table of a row per 64 bits at most, 4 MB, whatever it holds.
+ROUGH_BITS = 1 << 24
+
+
+def _rough_place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c.cast("bigint")), F.lit(ROUGH_BITS).cast("bigint"))
+
+
+def _rough_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+
+
+def rough_set(keys: DataFrame, col: str) -> DataFrame:
+    """A bit for each of the whole numbers in ``col``, by their hash, in at most ``ROUGH_BITS`` / 64 rows."""
+    place = _rough_place(F.col(col))
+    return (keys.where(F.col(col).isNotNull())
+            .groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(_rough_bit(place)).alias("_bits")))
+
+
+def in_rough_set(df: DataFrame, col: Column, rough: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be in the ``rough_set``: all that are, and some that aren't.
+
+    The set is bounded, so it is broadcast and no row of ``df`` is shuffled. A cut that is exact has to follow.
+    """
+    place = _rough_place(col)
+    found = df.withColumn("_place", F.when(col.isNotNull(), place)).join(
+        F.broadcast(rough), F.shiftright("_place", 6) == F.col("_word"))
+    return found.where(F.col("_bits").bitwiseAND(_rough_bit(F.col("_place"))) != 0).drop("_place", "_word", "_bits")
+
+
 def running_max_within(points: DataFrame, events: DataFrame, key: str, ts: str, value: str,
                        seconds: int, bucket_seconds: int = 3600, by: Sequence[str] | None = None) -> DataFrame:
     """(``by``, ``value``): for each distinct (key, ts) of ``points`` the largest

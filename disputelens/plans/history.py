@@ -15,6 +15,7 @@ partitioned by ``user_id`` as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +31,7 @@ from disputelens.functions.semantics import (
     asc, desc, ilike_any, labelled, local_time, minute_start, safe_number, second_diff,
 )
 from disputelens.operators.dedup import keep_first
-from disputelens.operators.joins import any_party_join, nearest_within, semi_join
+from disputelens.operators.joins import any_party_join, in_rough_set, nearest_within, rough_set, semi_join
 from disputelens.plans.risk_cut import follow_ups
 from disputelens.operators.ranges import order_by_points, split_points
 from disputelens.operators.sequence import lead_in_order
@@ -77,6 +78,33 @@ class AccountSet:
         c = F.col(col) if isinstance(col, str) else col
         return df.join(self.users, c == F.col("_uid"), "left_semi")
 
+    def exactly(self, df: DataFrame, col: str) -> DataFrame:
+        """``df``, which comes from tables that were kept, cut to the accounts alone."""
+        return df
+
+
+@dataclass
+class RoughAccounts(AccountSet):
+    """The accounts, with tables cut to those that may be among them.
+
+    A large account set can't be broadcast, and a semi-join would shuffle each of the feeds' twenty tables by the
+    account alone, a key that no other join has. ``rough`` is bounded and broadcast instead; the timeline is
+    cut exactly once, in its last shuffle. Until then a feed may hold other accounts too, which is no matter where
+    rows of two accounts don't meet.
+    """
+
+    rough: DataFrame
+
+    @classmethod
+    def of_set(cls, acc: AccountSet, keep: Callable[[DataFrame], DataFrame]) -> "RoughAccounts":
+        return cls(acc.users, keep(rough_set(acc.users, "_uid")))
+
+    def keep(self, df: DataFrame, col: Column | str) -> DataFrame:
+        return in_rough_set(df, F.col(col) if isinstance(col, str) else col, self.rough)
+
+    def exactly(self, df: DataFrame, col: str) -> DataFrame:
+        return AccountSet.keep(self, df, col)
+
 
 class HistorySources:
     """The 20 relations the feeds read, resolved lazily by attribute.
@@ -216,7 +244,8 @@ def hist_auths_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     cards = first_cards(keys, acc.keep(src.card, "user_id"))
     context = lambda rows: _auth_context(rows, cards, dual, rules, o, own)
     order = [asc(c) for c in AUTH_ORDER]
-    contested = contested_auths(keys)
+    # the one place where accounts meet: an event id that two of them claim
+    contested = acc.exactly(contested_auths(keys), "user_id")
     won = keep_first(context(contested), ["auth_event_id"], order).select(*contested.columns)
     lost = (contested.withColumn("_won", F.lit(0)).unionByName(won.withColumn("_won", F.lit(1)))
             .groupBy("auth_event_id", "user_id", "_aid", "_no_aid").agg(F.max("_won").alias("_won"))
@@ -548,30 +577,41 @@ FEEDS = (
     ("hist_app_views", hist_app_views),
     ("hist_card_replacements", lambda src, acc, tz=None: hist_card_replacements(src, acc)),
 )
+#: The feeds that shuffle rows; the others filter and project one table.
+SHUFFLING = ("hist_transfers", "hist_auths", "hist_force_posts", "hist_disputes", "hist_logins", "hist_card_replacements")
+
 
+def account_timeline(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ,
+                     keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The nine feeds for the accounts of ``acc``, unioned (lazy, unordered).
 
-def account_timeline(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELINE_TZ) -> DataFrame:
-    """The nine feeds for the accounts of ``acc``, unioned (lazy, unordered)."""
+    With ``keep`` (such as ``session.materialize``) it isn't lazy: the feeds that shuffle rows are stored
+    one after the other, each without the others' shuffles on the disks.
+    """
     out = None
-    for _, feed in FEEDS:
+    for name, feed in FEEDS:
         part = feed(src, acc, tz)
+        part = keep(part) if keep and name in SHUFFLING else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def account_history(src: HistorySources, users: DataFrame | AccountSet, tz: str = codes.TIMELINE_TZ,
-                    user_col: str = "user_id", points: list[tuple] | None = None) -> DataFrame:
+                    user_col: str = "user_id", points: list[tuple] | None = None,
+                    keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All nine feeds for the accounts in ``users``, ordered by account and time.
 
-    Lazy. Ranges of (account, time) are sorted, so a hot account is split. With the
-    ``points`` of ``history_points`` each feed runs once; without them Spark's sort runs the
-    feeds' last stages a second time to find the ranges.
+    Ranges of (account, time) are sorted, so a hot account is split. With the
+    ``points`` of ``history_points`` each feed runs once, and its tables are cut to the accounts without a
+    shuffle (``RoughAccounts``); without them Spark's sort runs the feeds' last stages a second time to find the
+    ranges. Lazy, unless ``keep`` stores the feeds (see ``account_timeline``), which needs the points too.
     """
     acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
-    rows = account_timeline(src, acc, tz)
     if points is None:
-        return rows.orderBy(*timeline_order())
-    return order_by_points(rows, _range_key("user_id", F.col("timestamp")), RANGE_TYPES, points, timeline_order())
+        return account_timeline(src, acc, tz).orderBy(*timeline_order())
+    rows = account_timeline(src, RoughAccounts.of_set(acc, keep or (lambda df: df)), tz, keep)
+    return order_by_points(rows, _range_key("user_id", F.col("timestamp")), RANGE_TYPES, points, timeline_order(),
+                           only=acc.users.select(F.col("_uid").alias("user_id")))
 
 
 def timeline_order() -> list[Column]:
@@ -612,15 +652,16 @@ def history_points(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
         part = table.select(*[c.alias(n) for c, n in zip(
             _range_key(safe_number(F.col(user).cast("string")), at), ("account", "time"))])
         rows = part if rows is None else rows.unionByName(part)
-    return split_points(acc.keep(rows, "account"), rows.count(),
-                        ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return split_points(rows.where(F.col("account").isNotNull()), rows.count(),
+                        ranges or int(spark.conf.get("spark.sql.shuffle.partitions")),
+                        cut=lambda found: acc.keep(found, "account"))
 
 
 def write_account_history(src: HistorySources, users: DataFrame | AccountSet, path: str, tz: str = codes.TIMELINE_TZ,
                           user_col: str = "user_id") -> None:
     """Write the timeline under ``path``: files ranged by (account, time) and sorted inside.
 
-    The nine feeds run once and nothing else is written: the ranges are known from ``history_points``.
+    The nine feeds run once in one job and nothing else is written: the ranges are known from ``history_points``.
     """
     acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
     account_history(src, acc, tz, points=history_points(src, acc, tz)).write.mode("overwrite").parquet(path)

@@ -147,7 +147,7 @@ def all_members(fx: Fixtures) -> AccountSet:
 @register("account_history")
 def q_account_history(fx: Fixtures) -> DataFrame:
     src, acc = HistorySources.from_fixtures(fx), all_members(fx)
-    return account_history(src, acc, points=history_points(
+    return account_history(src, acc, keep=materialize, points=history_points(
         src, acc, ranges=partitions_for(fx.src.spark, fx.source_bytes)))
 
 

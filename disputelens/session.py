@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -90,18 +91,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FREEING: dict[str, list] = {}
+_FREEING_LOCK = threading.Lock()
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that end within the block delete their shuffle files, on all executors.
+
+    Otherwise the files stay until the driver's JVM happens to collect the plan, and a job of several
+    writes holds the shuffles of all of them. For queries that run once, such as a write.
+    """
+    app = spark.sparkContext.applicationId
+    with _FREEING_LOCK:
+        users = _FREEING.setdefault(app, [])
+        users.append(spark.conf.get(_FREE, "false"))
+        spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        with _FREEING_LOCK:
+            # the setting that the first user found comes back with the last one
+            if len(users) == 1:
+                spark.conf.set(_FREE, users.pop())
+            else:
+                users.pop()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a parquet table in the shared checkpoint folder.
 
     Used for relations that later steps read several times (the report's
-    base, the derived warehouse relations). The table survives lost executors,
+    base, the derived warehouse relations) and to have the shuffles of one step
+    deleted before the next. The table survives lost executors,
     unlike ``persist`` or a local checkpoint, and reading it back keeps column
     pruning, row-group filtering and the vectorised reader, which a
     ``DataFrame.checkpoint`` (serialised rows) would lose.
     """
     spark = df.sparkSession
     path = f"{_tables_root(spark)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
