@@ -159,9 +159,13 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
         F.col("id").alias("pf_id"), F.col("sender_id").alias("pf_sender_id"),
         F.col("receiver_id").alias("pf_receiver_id"), F.abs("amount").alias("pf_amount"),
         minute_start("created_at").alias("pf_minute"), transfer_kind("type_code").alias("pf_txn_type"))
+    prs = src.pay_friend_score.select(F.col("pay_friend_id").alias("prs_pay_friend_id"),
+                                      F.col("score").alias("prs_score"))
+    # the score is the friend payment's: it joins the payments, not the postings, which are wider
     j = any_party_join(t, pf, "user_id", ["pf_sender_id", "pf_receiver_id"],
                        [("_minute", "pf_minute"), ("_abs_amt", "pf_amount")],
-                       cut=lambda parties, party: acc.keep(parties, party))
+                       cut=lambda parties, party: acc.keep(parties, party).join(
+                           prs, F.col("prs_pay_friend_id") == F.col("pf_id"), "left"))
     d = _disputes(src, acc)
     j = j.join(d, (F.col("user_id") == F.col("d_user_id"))
                & (F.col("authorization_code") == F.col("d_authorization_code")), "left")
@@ -170,9 +174,6 @@ def hist_transfers(src: HistorySources, acc: AccountSet, tz: str = codes.TIMELIN
                                                  F.col("card_number").alias("dc_card_number"))
     j = j.join(dc, (F.col("card_id").cast("string") == F.col("dc_card_id"))
                & (F.col("dc_user_id") == F.col("user_id")), "left")
-    prs = src.pay_friend_score.select(F.col("pay_friend_id").alias("prs_pay_friend_id"),
-                                      F.col("score").alias("prs_score"))
-    j = j.join(prs, F.col("prs_pay_friend_id") == F.col("pf_id"), "left")
     return timeline(
         j,
         user_id="user_id",
@@ -364,6 +365,50 @@ def hist_force_posts(src: HistorySources, acc: AccountSet, tz: str = codes.TIMEL
 
 # -- d: disputes ---------------------------------------------------------------------
 
+def _first_of(*cols: str) -> Column:
+    """The least values of ``cols`` together, NULLs last, as an aggregate."""
+    return F.min(F.struct(*[x for c in cols for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))]))
+
+
+def _dispute_context(src: HistorySources) -> Callable[[DataFrame, str], DataFrame]:
+    """(rows, name) -> ``rows`` with claim, contact and inspector context, one row each.
+
+    A claim's cases, entries and contacts and an inspected transaction's rows are joined independently, so the
+    row that the keep-first takes has the first of each in its order; the others are dropped before the joins.
+    The external id is text: all three joins take the claim as text (``name``), so the rows are shuffled once for them.
+    """
+    d = (src.inspector_dispute.select(F.col("id").alias("r_inspector_dispute_id"), F.col("intake_type").alias("d_intake_type"),
+                                      F.col("claim_ext_id").cast("string").alias("d_claim_ext_id"))
+         .where(F.col("d_claim_ext_id").isNotNull())
+         .groupBy("d_claim_ext_id").agg(_first_of("r_inspector_dispute_id", "d_intake_type").alias("_d"))
+         .select("d_claim_ext_id", "_d.r_inspector_dispute_id", "_d.d_intake_type"))
+    dc = (src.dispute_claim.where(F.col("id").isNotNull()).groupBy(F.col("id").cast("string").alias("dc_id"))
+          .agg(F.min("intake_type").alias("dc_intake_type")))
+    mc = (src.dispute_contact.filter((F.col("dispute_contact_category") == codes.CONTACT_CATEGORY_FILING)
+                                     & F.col("dispute_id").isNotNull())
+          .select(F.col("dispute_id").cast("string").alias("mc_dispute_id"),
+                  F.col("interactions_str_seq").alias("mc_interactions_str_seq"),
+                  F.col("contact_flow").alias("mc_contact_flow"))
+          .groupBy("mc_dispute_id").agg(_first_of("mc_interactions_str_seq", "mc_contact_flow").alias("_mc"))
+          .select("mc_dispute_id", "_mc.mc_interactions_str_seq", "_mc.mc_contact_flow"))
+    t = (src.inspector_txn.where(F.col("dispute_id").isNotNull() & F.col("transaction_ext_id").isNotNull())
+         .groupBy(F.col("dispute_id").alias("t_dispute_id"), F.col("transaction_ext_id").alias("t_ext_id"))
+         .agg(F.min("investigation_resolution").alias("investigation_resolution")))
+
+    def joined(rows: DataFrame, claim: str) -> DataFrame:
+        j = (rows.withColumn(claim, F.col("user_dispute_claim_id").cast("string"))
+             .join(d, F.col(claim) == F.col("d_claim_ext_id"), "left")
+             .join(dc, F.col(claim) == F.col("dc_id"), "left")
+             .join(mc, F.col(claim) == F.col("mc_dispute_id"), "left").drop(claim))
+        j = j.withColumn("intake_type", intake_channel("dc_intake_type", "d_intake_type",
+                                                       "mc_interactions_str_seq", "mc_contact_flow")) \
+             .withColumn("transaction_id", txn_family("transaction_code")) \
+             .withColumn("_ext_id", inspector_ext_id("transaction_code", "authorization_code"))
+        return j.join(t, (F.col("r_inspector_dispute_id") == F.col("t_dispute_id"))
+                      & (F.col("_ext_id") == F.col("t_ext_id")), "left")
+    return joined
+
+
 def hist_disputes_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     # a transaction's latest row may be another account's: cut to the transactions the
     # accounts touch, take the latest row over all accounts, and choose accounts last
@@ -372,31 +417,14 @@ def hist_disputes_joined(src: HistorySources, acc: AccountSet) -> DataFrame:
     # the latest row's own columns lead the order: only rows that tie in them need the context
     newest = Window.partitionBy("unique_transaction_id").orderBy(desc("dispute_created_at"), desc("user_dispute_claim_txn_id"))
     dt = dt.withColumn("_place", F.rank().over(newest)).where(F.col("_place") == 1).drop("_place")
-    d = src.inspector_dispute.select(F.col("id").alias("r_inspector_dispute_id"),
-                                     F.col("claim_ext_id").cast("string").alias("d_claim_ext_id"),
-                                     F.col("intake_type").alias("d_intake_type"))
-    dc = src.dispute_claim.select(F.col("id").cast("string").alias("dc_id"), F.col("intake_type").alias("dc_intake_type"))
-    mc = (src.dispute_contact.filter(F.col("dispute_contact_category") == codes.CONTACT_CATEGORY_FILING)
-          .select(F.col("dispute_id").cast("string").alias("mc_dispute_id"),
-                  F.col("interactions_str_seq").alias("mc_interactions_str_seq"),
-                  F.col("contact_flow").alias("mc_contact_flow")))
-    # the external id is text: all three joins take the claim as text, so the rows are shuffled once for them
-    j = (dt.withColumn("_claim", F.col("user_dispute_claim_id").cast("string"))
-         .join(d, F.col("_claim") == F.col("d_claim_ext_id"), "left")
-         .join(dc, F.col("_claim") == F.col("dc_id"), "left")
-         .join(mc, F.col("_claim") == F.col("mc_dispute_id"), "left").drop("_claim"))
-    j = j.withColumn("intake_type", intake_channel("dc_intake_type", "d_intake_type",
-                                                   "mc_interactions_str_seq", "mc_contact_flow")) \
-         .withColumn("transaction_id", txn_family("transaction_code")) \
-         .withColumn("_ext_id", inspector_ext_id("transaction_code", "authorization_code"))
-    t = src.inspector_txn.select(F.col("dispute_id").alias("t_dispute_id"),
-                                 F.col("transaction_ext_id").alias("t_ext_id"), "investigation_resolution")
-    j = j.join(t, (F.col("r_inspector_dispute_id") == F.col("t_dispute_id")) & (F.col("_ext_id") == F.col("t_ext_id")),
-               "left")
-    latest = keep_first(j, ["unique_transaction_id"], [
-        desc("dispute_created_at"), desc("user_dispute_claim_txn_id"), asc("r_inspector_dispute_id"),
-        asc("dc_intake_type"), asc("mc_interactions_str_seq"), asc("mc_contact_flow"),
+    dt = dt.withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy("unique_transaction_id")))
+    context = _dispute_context(src)
+    # a row that no other ties with has one row of context, so it isn't shuffled again for the keep-first
+    single = context(dt.where(F.col("_ties") == 1), "_claim")
+    tied = keep_first(context(dt.where(F.col("_ties") > 1), "_tied_claim"), ["unique_transaction_id"], [
+        asc("r_inspector_dispute_id"), asc("dc_intake_type"), asc("mc_interactions_str_seq"), asc("mc_contact_flow"),
         asc("investigation_resolution")])
+    latest = single.unionByName(tied).drop("_ties")
     return acc.keep(latest, "user_id")
 
 

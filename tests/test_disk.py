@@ -149,3 +149,80 @@ def test_points_are_cut_to_the_accounts_in_the_sample(spark):
 
     points = split_points(df, 200_000, 4, cut=cut)
     assert seen[0] < 1000 and all(u < 100_000 for u, in points)
+
+
+def _dispute_sources(spark, disputes, cases, claims, contacts, inspected):
+    """Relations of which only the disputes and their context have rows."""
+    fx = fixtures_for(spark, SMALL)
+    tables = {f: getattr(fx, f).limit(0) for f in H.HistorySources.FIELDS}
+    cols = ("unique_transaction_id", "user_dispute_claim_id", "user_dispute_claim_txn_id", "dispute_created_at",
+            "authorization_code", "user_id", "transaction_code")
+    keys = spark.createDataFrame([(u, c, x, START + dt.timedelta(hours=h), a, 1, "ADX") for u, c, x, h, a in disputes],
+                                 "unique_transaction_id bigint, user_dispute_claim_id bigint, user_dispute_claim_txn_id bigint, "
+                                 "dispute_created_at timestamp_ntz, authorization_code bigint, user_id bigint, transaction_code string")
+    tables["disputed_txn"] = keys.crossJoin(fx.disputed_txn.limit(1).drop(*cols)).select(*fx.disputed_txn.columns)
+    for name, rows in (("inspector_dispute", cases), ("dispute_claim", claims), ("dispute_contact", contacts),
+                       ("inspector_txn", inspected)):
+        if rows:
+            tables[name] = spark.createDataFrame(rows, ", ".join(
+                f"{f.name} {f.dataType.simpleString()}" for f in getattr(fx, name).schema))
+    return H.HistorySources(**tables), H.AccountSet.of_ids(spark, [1])
+
+
+def test_disputes_keep_the_first_context_of_tied_and_single_rows(spark):
+    """Against all pairs: several cases, entries and contacts of a claim, inspected twice, NULLs, ties over claims."""
+    from itertools import product
+
+    from disputelens.functions.mappings import inspector_ext_id
+
+    disputes = [(1, 10, 5, 0, 100), (2, 10, 6, 0, 200), (2, 11, 6, 0, 200), (3, 12, 7, 1, 300), (3, 10, 7, 0, 300),
+                (4, 12, None, 0, 400), (4, 13, None, 0, 401), (5, None, 8, 0, 500), (6, 14, 9, 0, None),
+                (7, 11, 9, 0, 700), (7, 11, 9, 0, 700), (8, 13, 1, 0, 401)]
+    cases = [(900, "10", "fax"), (901, "10", "web"), (None, "11", "paper_mail"), (903, "11", None), (904, "13", "web"),
+             (None, "14", "fax"), (905, None, "fax")]
+    claims = [(10, "mobile"), (10, None), (10, "fax"), (12, None), (13, "mobile"), (None, "mobile")]
+    contacts = [(10, "Filing", "b", None), (10, "Filing", "a>app", None), (10, "Filing", "a>app", "Phone"), (10, "Other", "a", "a"),
+                (12, "Filing", None, "EMAIL"), (12, "Filing", "z", None), (None, "Filing", "a", "b")]
+    ext = {a: spark.range(1).select(inspector_ext_id(F.lit("ADX"), F.lit(a).cast("bigint"))).first()[0] for a in (100, 200, 300, 401, 700)}
+    inspected = [(900, ext[100], "deny"), (900, ext[100], "approve"), (901, ext[100], "aaa"), (900, ext[200], None),
+                 (903, ext[200], "deny"), (903, ext[700], "x"), (904, ext[401], "approve"), (None, ext[300], "no")]
+    src, acc = _dispute_sources(spark, disputes, cases, claims, contacts, inspected)
+    low = lambda *v: [(x is None, x) if x is not None else (True, "") for x in v]
+    want = {}
+    for u in {r[0] for r in disputes}:
+        found = []
+        rows = [r for r in disputes if r[0] == u]
+        top = max(rows, key=lambda r: (r[3], r[2] is None, r[2] or 0))
+        for r in [r for r in rows if (r[3], r[2]) == (top[3], top[2])]:
+            c = [x[0] for x in cases if r[1] is not None and x[1] == str(r[1])] or [None]
+            e = [x[1] for x in claims if r[1] is not None and x[0] == r[1]] or [None]
+            k = [x[2:] for x in contacts if r[1] is not None and x[0] == r[1] and x[1] == "Filing"] or [(None, None)]
+            for i, d, m in product(c, e, k):
+                t = [x[2] for x in inspected if i is not None and x[0] == i and x[1] == ext.get(r[4])] or [None]
+                found += [(i, d, *m, y) for y in t]
+        want[u] = min(found, key=lambda f: low(*f))
+    got = H.hist_disputes_joined(src, acc).select(
+        "unique_transaction_id", "r_inspector_dispute_id", "dc_intake_type", "mc_interactions_str_seq", "mc_contact_flow",
+        "investigation_resolution").collect()
+    assert len(got) == len(want) and {r[0]: tuple(r)[1:] for r in got} == want
+
+
+def test_untied_disputes_pass_no_second_keep_first(spark, no_broadcasts):
+    """The merchant's name passes the exchanges of the transaction, the claim and the inspected id, and no more."""
+    fx = fixtures_for(spark, SMALL)
+    joined = H.hist_disputes_joined(H.HistorySources.from_fixtures(fx), H.RoughAccounts.of_set(
+        H.AccountSet.of(fx.member, "id"), lambda df: df))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    union = plan.index("Union")
+    assert "hashpartitioning(unique_transaction_id" not in plan[:union]
+    single = plan[union:plan.index("WindowGroupLimit", union)]
+    assert single.count("hashpartitioning(_claim") == 1 and "_tied_claim" not in single
+
+
+def test_scores_join_the_payments_and_not_the_postings(spark, no_broadcasts):
+    fx = fixtures_for(spark, SMALL)
+    acc = H.AccountSet.of(fx.member, "id")
+    plan = H.hist_transfers(H.HistorySources.from_fixtures(fx), acc)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    joins_ = [line for line in lines if "SortMergeJoin" in line]
+    assert "prs_pay_friend_id" not in joins_[0] and sum("prs_pay_friend_id" in line for line in joins_) == 1
