@@ -16,6 +16,7 @@ partitioned by ``user_id`` as well.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,7 @@ from disputelens.operators.joins import any_party_join, in_rough_set, nearest_wi
 from disputelens.plans.risk_cut import follow_ups
 from disputelens.operators.ranges import order_by_points, split_points
 from disputelens.operators.sequence import lead_in_order
+from disputelens.session import materialized
 
 TIMELINE = (
     ("user_id", "bigint"), ("timestamp", "timestamp_ntz"), ("id", "string"), ("merchant_name", "string"),
@@ -689,7 +691,10 @@ def write_account_history(src: HistorySources, users: DataFrame | AccountSet, pa
                           user_col: str = "user_id") -> None:
     """Write the timeline under ``path``: files ranged by (account, time) and sorted inside.
 
-    The nine feeds run once in one job and nothing else is written: the ranges are known from ``history_points``.
+    The nine feeds run once: the ranges are known from ``history_points``. The feeds that shuffle rows are stored one
+    after the other meanwhile, and deleted at the end (see ``account_timeline``).
     """
     acc = users if isinstance(users, AccountSet) else AccountSet.of(users, user_col)
-    account_history(src, acc, tz, points=history_points(src, acc, tz)).write.mode("overwrite").parquet(path)
+    with ExitStack() as tables:
+        account_history(src, acc, tz, points=history_points(src, acc, tz),
+                        keep=lambda df: tables.enter_context(materialized(df))).write.mode("overwrite").parquet(path)

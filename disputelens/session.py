@@ -129,11 +129,15 @@ def materialize(df: DataFrame) -> DataFrame:
     pruning, row-group filtering and the vectorised reader, which a
     ``DataFrame.checkpoint`` (serialised rows) would lose.
     """
+    return df.sparkSession.read.parquet(_store(df))
+
+
+def _store(df: DataFrame) -> str:
     spark = df.sparkSession
     path = f"{_tables_root(spark)}/{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -145,8 +149,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 def materialized(df: DataFrame):
     """``materialize`` for the length of a job: the table is deleted when the block ends."""
     spark = df.sparkSession
-    path = f"{_tables_root(spark)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = _store(df)
     try:
         yield spark.read.parquet(path)
     finally:

@@ -226,3 +226,18 @@ def test_scores_join_the_payments_and_not_the_postings(spark, no_broadcasts):
     lines = plan.splitlines()
     joins_ = [line for line in lines if "SortMergeJoin" in line]
     assert "prs_pay_friend_id" not in joins_[0] and sum("prs_pay_friend_id" in line for line in joins_) == 1
+
+
+def test_written_history_deletes_its_stored_feeds(spark, tmp_path):
+    import os
+
+    from disputelens.session import _tables_root
+
+    fx = fixtures_for(spark, SMALL)
+    src, acc = H.HistorySources.from_fixtures(fx), H.AccountSet.of_ids(spark, [3, 5])
+    want = H.account_timeline(src, acc).collect()
+    root = _tables_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    H.write_account_history(src, acc, str(tmp_path / "out"))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want))
+    assert set(os.listdir(root)) == before
